@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, langid, packing, quality, simhash
+from tessera.llm import chat, langid, licenses, neighbours, packing, pages, quality, sentencepieces, simhash, toxicity
 
-MODULES = (chat, quality, packing, langid, simhash)
+MODULES = (chat, sentencepieces, toxicity, neighbours, quality, packing, langid, simhash, pages, licenses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
