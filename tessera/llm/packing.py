@@ -9,6 +9,7 @@ fewer than k pieces left over in each class, at most CLASSES * CLASSES / 2 in al
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,10 @@ from tessera.llm.common import materialise, rows_of, small_batches, table
 CAPACITY, CLASSES, SLACK, END_ID = 4096, 256, 0.01, 2
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 500_000
+# The tokenizer's own splits, and the characters beyond which Python's classes may differ from its.
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+NOT_PLAIN = re.compile("[^\\x00-\u024f]|[\\x1c-\\x1f\\x85\\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]|<\\|(?:start|end)oftext\\|>")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,20 +38,38 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of whole texts by way of their words.
 
-    This tokenizer drops white space and never merges across it, so a text's ids are those of its white-space separated words, one after
-    the other; a word is encoded once and kept. Splitting at ASCII white space only is enough: other white space stays in a word.
+    This tokenizer lower-cases, drops white space and splits texts into runs of letters, digits and other characters before its
+    merges, so a text's ids are those of its splits, one after the other; a split is merged once and kept. Where all characters are
+    Latin ones for which Python's case and classes are the tokenizer's own (PLAIN), Python makes the splits and the merges run alone.
+    Any other text is parted at ASCII white space, which the tokenizer never merges across, and its words go through all of it.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.splits, self.words = self.tokenizer.model, {}, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # byte-level alphabet
+
+    def _merged(self, split: str) -> bytes:
+        return np.array([t.id for t in self.merges.tokenize(split.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.split() if text.isascii() and not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-        known = self.known
+        if NOT_PLAIN.search(text):
+            return self._encode_words([w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()])
+        splits, known = SPLIT.findall(text.lower()), self.splits
+        if len(known) > CACHE:
+            known.clear()
+        for s in set(splits).difference(known):
+            known[s] = self._merged(s)
+        return b"".join(map(known.__getitem__, splits))
+
+    def _encode_words(self, words: list[str]) -> bytes:
+        known = self.words
         if len(known) > CACHE:
             known.clear()
-        new = [w for w in set(words) if w not in known]
+        new = list(set(words).difference(known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
