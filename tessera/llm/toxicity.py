@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_mod, label_sample, rows_of, small_batches, table
 from tessera.llm.quality import platt
 
-#: Documented parameters: labelled rows of each class, n-gram lengths, vocabulary, hash space while terms are chosen, neighbours, block size.
-MAX_EXAMPLES, NS, TERMS, DIMS, K, BLOCK, SEED = 4000, (4, 5), 1024, 1 << 22, 25, 64, 3
+#: Documented parameters: labelled rows of each class, n-gram lengths, vocabulary, hash space while terms are chosen, neighbours, block size, blocks of the first pass.
+MAX_EXAMPLES, NS, TERMS, DIMS, K, BLOCK, FIRST, SEED = 4000, (4, 5), 1024, 1 << 22, 25, 64, 8, 3
 FOLDS, HELD_OUT = 5, 0
 #: A vote's weight is cosine to this power.
 SHARP = 4
@@ -68,7 +68,6 @@ class Index:
                 lists[a].append((i, b))
         self.at = [np.array([i for i, _ in x], np.int32) for x in lists]
         self.weight = [np.array([w for _, w in x]) for x in lists]
-        self.start = [np.searchsorted(a, np.arange(n_blocks + 1) * BLOCK) for a in self.at]
         self.top = np.zeros((len(terms), n_blocks), np.float32)
         for t, (a, w) in enumerate(zip(self.at, self.weight)):
             np.maximum.at(self.top[t], a // BLOCK, np.nextafter(w.astype(np.float32), np.float32(2)))
@@ -89,23 +88,27 @@ class Index:
         if not len(terms) or not len(self.vectors):
             return []
         bound = weights @ self.top[terms]
-        best: list[tuple[float, int, int]] = []
-        floor = -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < floor - 1e-6:
-                break
-            score = np.zeros(min(BLOCK, len(self.vectors) - b * BLOCK))
-            for t, w in zip(terms, weights):
-                lo, hi = self.start[t][b], self.start[t][b + 1]
-                if hi > lo:
-                    score[self.at[t][lo:hi] - b * BLOCK] += w * self.weight[t][lo:hi]
-            some = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
-            best += [(float(score[i]), -int(self.ids[b * BLOCK + i]), int(b * BLOCK + i)) for i in some if b * BLOCK + i != skip]
-            if len(best) > 4 * k:
-                best = sorted(best, reverse=True)[:k]
-            if len(best) >= k:
-                floor = sorted((x[0] for x in best), reverse=True)[k - 1]
-        return [(s, i) for s, _, i in sorted(best, reverse=True)[:k]]
+        at = np.concatenate([self.at[t] for t in terms])
+        part = np.concatenate([w * self.weight[t] for t, w in zip(terms, weights)])
+        block = at // BLOCK
+        done = np.zeros(len(bound), bool)
+        rows, cosines, floor = np.zeros(0, np.int64), np.zeros(0), -1.0
+        # Two passes: the FIRST blocks of highest bound give a floor, then all others that can still reach it are read.
+        for some in (np.argsort(-bound, kind="stable")[:FIRST], None):
+            use = np.zeros(len(bound), bool)
+            use[some if some is not None else (bound >= floor - 1e-6) & ~done] = True
+            use &= bound > 0
+            done |= use
+            mine = use[block]
+            score = np.bincount(at[mine], part[mine], len(self.vectors))
+            found = np.flatnonzero(score > 0)
+            found = found[found != skip]
+            rows, cosines = np.concatenate([rows, found]), np.concatenate([cosines, score[found]])
+            if len(rows) >= k:
+                floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+                rows, cosines = rows[cosines >= floor], cosines[cosines >= floor]
+        order = np.lexsort((self.ids[rows], -cosines))[:k]
+        return [(float(cosines[i]), int(rows[i])) for i in order]
 
     def raw(self, found: list[tuple[float, int]]) -> float:
         """Log odds of the weighted votes, each class's votes weighted so that the sample's balance does not matter."""
