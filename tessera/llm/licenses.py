@@ -14,9 +14,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 
-THRESHOLD = 0.7
+THRESHOLD = 0.75
+# Words that are frequent in running text. They only come last when prefixes are chosen; matches do not depend on them.
+FREQUENT = frozenset("a and any are as at by can copy following for free in into is it later may mit not of or that the this to under use with you".split())
 # SPDX identifiers and the customary notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -65,11 +67,11 @@ IDF, OTHER_IDF, VECTORS = _vectors()
 
 
 def prefix_words() -> list[str]:
-    """Of each template, its heaviest words, until the rest's length is under THRESHOLD: a match must hold one of them."""
+    """Of each template, its heaviest words (frequent ones last), until the rest's length is under THRESHOLD: a match must hold one of them."""
     out = set()
     for _, v in VECTORS:
         left = 1.0
-        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for w, x in sorted(v.items(), key=lambda p: (p[0] in FREQUENT, -p[1], p[0])):
             if left < (THRESHOLD - 1e-6) ** 2:
                 break
             out.add(w)
@@ -81,37 +83,52 @@ def prefix_pattern() -> str:
     return "(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, prefix_words())) + ")(?:[^a-z0-9]|$)"
 
 
-def _literal(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A constant table without Python rows."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
+def _map(rows: dict[str, Column]) -> Column:
+    return F.create_map(*[x for w, c in rows.items() for x in (F.lit(w), c)])
+
+
+def best_template(unit: Column) -> Column:
+    """(score, license) of the template nearest to a text, by one pass over its sorted words; ties to the last name.
+
+    The pass keeps the word at hand with its count, the squared length so far, and the product with every template.
+    """
+    idf = _map({w: F.lit(x) for w, x in sorted(IDF.items())})
+    rows: dict[str, list[float]] = {}
+    for i, (_, v) in enumerate(VECTORS):
+        for w, x in v.items():
+            rows.setdefault(w, [0.0] * len(VECTORS))[i] = x
+    weights = _map({w: F.array(*map(F.lit, r)) for w, r in sorted(rows.items())})
+    zeros = F.array(*[F.lit(0.0)] * len(VECTORS))
+
+    def close(s: Column) -> Column:
+        """The state once the word at hand is counted."""
+        w = F.when(s["n"] > 0, (1 + F.log(s["n"].cast("double"))) * F.coalesce(idf[s["word"]], F.lit(OTHER_IDF))).otherwise(0.0)
+        known = weights[s["word"]]
+        dots = F.when(known.isNull(), s["dots"]).otherwise(F.zip_with(s["dots"], known, lambda d, x: d + w * x))
+        return F.struct((s["square"] + w * w).alias("square"), dots.alias("dots"))
+
+    def step(s: Column, word: Column) -> Column:
+        same, done = s["word"] == word, close(s)
+        return F.struct(word.alias("word"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.when(same, s["square"]).otherwise(done["square"]).alias("square"), F.when(same, s["dots"]).otherwise(done["dots"]).alias("dots"))
+
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.lit(0.0).alias("square"), zeros.alias("dots"))
+    total = F.aggregate(F.sort_array(F.regexp_extract_all(unit, F.lit(WORD), F.lit(0))), start, step, close)
+    names = F.array(*[F.lit(name) for name, _ in VECTORS])
+    scores = F.zip_with(total["dots"], names, lambda d, name: F.struct(F.round(d / F.sqrt(total["square"]), 6).alias("score"), name.alias("license")))
+    return F.array_max(scores)
 
 
 def own_licenses(files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, license, score: the best template of each file with a candidate at THRESHOLD or more."""
-    spark = files.sparkSession
+    """keys, license, score: the best template of each file with a candidate at THRESHOLD or more. Nothing is shuffled."""
     pattern = prefix_pattern()
     low = F.lower("text")
     # A file without any prefix word is left where it is read.
     able = files.where(low.rlike(pattern)).select(*keys, "base", low.alias("low"))
     whole = F.when(F.col("base").rlike(LICENCE_FILE), F.array(F.col("low"))).otherwise(F.array().cast("array<string>"))
-    units = F.concat(F.filter(F.split("low", BREAKS), lambda u: u.rlike(pattern)), whole)
-    unit = able.select(*keys, F.explode(units).alias("unit"))
-    bags = unit.select(*keys, F.md5("unit").alias("u"), F.explode(F.regexp_extract_all("unit", F.lit(WORD), F.lit(0))).alias("word"))
-    tf = bags.groupBy(*keys, "u", "word").count()
-    vocab = _literal(spark, sorted(IDF.items()), ["word", "idf"])
-    posting = _literal(spark, [(i, name, w, x) for i, (name, v) in enumerate(VECTORS) for w, x in v.items()], ["template", "license", "word", "weight"])
-    # Both constant tables have as many rows as TEMPLATES has words, whatever the input.
-    w = tf.join(F.broadcast(vocab), "word", "left").select(*keys, "u", "word", ((1 + F.log(F.col("count"))) * F.coalesce("idf", F.lit(OTHER_IDF))).alias("w"))
-    # The same unit repeated in a file scales its counts, not its direction by much: units are told apart by their text.
-    norm = w.groupBy(*keys, "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dot = w.join(F.broadcast(posting), "word").groupBy(*keys, "u", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [F.col("d.u") == F.col("n.u")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    scored = dot.alias("d").join(norm.alias("n"), on).select(*[F.col(f"d.{k}").alias(k) for k in keys], "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
-    best = F.max(F.struct(F.col("score"), F.col("license"))).alias("best")
-    return scored.where(F.col("score") >= THRESHOLD).groupBy(*keys).agg(best).select(*keys, F.col("best.license").alias("license"), F.col("best.score").alias("score"))
+    units = F.concat(F.filter(F.split("low", BREAKS), lambda u: u.rlike(pattern)), F.filter(whole, lambda u: u.rlike(pattern)))
+    found = able.select(*keys, F.explode(units).alias("unit")).select(*keys, best_template(F.col("unit")).alias("best")).where(F.col("best.score") >= THRESHOLD)
+    # Few rows are left: files that match.
+    return found.groupBy(*keys).agg(F.max("best").alias("best")).select(*keys, F.col("best.license").alias("license"), F.col("best.score").alias("score"))
 
 
 def _parent(path: Column) -> Column:
@@ -135,7 +152,8 @@ def scan(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """
     names = list(dict.fromkeys([*keys, "path"]))
     named = files.select(*names, F.coalesce("path", F.lit("")).alias("at"), "text").withColumns({"base": F.regexp_extract("at", "[^/]*$", 0), "dir": _parent(F.col("at"))})
-    own = own_licenses(named, names)
+    # Written once: the texts are scanned for it alone, all joins below read small columns.
+    own = materialise(own_licenses(named, names), "licenses")
     rows = named.select(*names, "base", "dir").distinct()
     same = [rows[k].eqNullSafe(own[k]) for k in names]
     on = same[0]
@@ -167,7 +185,7 @@ def _oracle() -> str:
 WITH vocab(word, idf) AS (VALUES {vocab}), posting(template, license, word, weight) AS (VALUES {posting}),
 files AS (SELECT doc_id, {PATH.format(n='doc_id // 1000', s='VARCHAR')} AS path, coalesce(text, '') AS text FROM documents),
 named AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS dir, lower(text) AS low FROM files),
-parts AS (SELECT doc_id, path, unnest(list_concat(string_split_regex(low, '\n|[.!?]\s+'), CASE WHEN regexp_matches(base, '{LICENCE_FILE}') THEN [low] ELSE [] END)) AS unit FROM named WHERE regexp_matches(low, '{prefix_pattern()}')),
+parts AS (SELECT DISTINCT doc_id, path, unnest(list_concat(string_split_regex(low, '\n|[.!?]\s+'), CASE WHEN regexp_matches(base, '{LICENCE_FILE}') THEN [low] ELSE [] END)) AS unit FROM named WHERE regexp_matches(low, '{prefix_pattern()}')),
 bags AS (SELECT doc_id, path, md5(unit) AS u, unnest(regexp_extract_all(unit, '{WORD}')) AS word FROM parts WHERE regexp_matches(unit, '{prefix_pattern()}')),
 tf AS (SELECT doc_id, path, u, word, count(*) AS n FROM bags GROUP BY ALL),
 w AS (SELECT doc_id, path, u, tf.word, (1 + ln(n)) * coalesce(idf, {OTHER_IDF!r}) AS w FROM tf LEFT JOIN vocab USING (word)),
