@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A batch that goes to Python holds at most this many rows; whole texts stay whole, so few long ones still fit.
-ARROW_ROWS = 1024
+#: A batch that goes to Python holds at most so many rows and about so many bytes (or one row, as whole texts stay whole).
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits, so that batches of long texts stay small in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

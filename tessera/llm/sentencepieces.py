@@ -5,8 +5,8 @@ how many characters beyond the cut its piece at the cut reaches. So a chunk is a
 chunks combine by the (max, +) product, which is associative, and once the scan has fixed both states of each chunk its best path is
 traced back in the chunk alone. Short texts are one chunk; giant documents are many, spread over all workers.
 
-Words: in this kind of vocabulary a blank only stands at the start of a piece (runs of blanks aside, which are one word here),
-so every path passes between a character and the blank after it, and a word's best path is found once and kept.
+Words: in this kind of vocabulary a blank only stands at the start of a piece (runs of blanks aside, which are one word here), and
+letters, digits and other characters do not mix, so every path passes between them, and a word's best path is found once and kept.
 """
 
 from __future__ import annotations
@@ -26,14 +26,41 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from tessera.llm.common import materialise, rows_of, small_batches, table
 
 #: Code points of a chunk, words that a worker keeps.
-CHUNK, CACHE = 16_384, 400_000
+CHUNK, CACHE = 65_536, 600_000
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: What an unknown character costs beside the worst ordinary piece.
 UNKNOWN_PENALTY = 10.0
 NONE = -np.inf
-WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+
+
+def word_pattern(pieces: list[str]) -> re.Pattern:
+    """Words that no piece passes. Characters that stand side by side in a piece are of one kind; a word is blanks, then a run of a kind.
+
+    Kinds are the two largest sets so connected (letters and marks, in practice) and all other characters together.
+    """
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        root.setdefault(c, c)
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for p in pieces:
+        plain = p.lstrip(BLANK)
+        if BLANK in plain:  # no place is safe: a text is one word
+            return re.compile("(?s).+")
+        for a, b in zip(plain, plain[1:]):
+            root[find(a)] = find(b)
+    sets: dict[str, list[str]] = {}
+    for c in list(root):
+        sets.setdefault(find(c), []).append(c)
+    first, second = ("".join(re.escape(c) for c in sorted(x)) for x in [*sorted(sets.values(), key=len, reverse=True), [], []][:2])
+    runs = [f"[{first}]+", f"[{second}]+"] if second else []
+    return re.compile(f"{BLANK}*(?:{'|'.join([*runs, f'[^{BLANK}{first}{second}]+'])})|{BLANK}+")
 
 
 class Vocabulary:
@@ -53,8 +80,11 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(1, len(p))} | self.score
-        self.first_text = max([*self.bytes, 2]) + 1
+        self.words = word_pattern(list(self.score)).findall
+        self.shown = [chr(self.bytes[i]) if self.bytes.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
+        self.high = np.array([self.bytes.get(i, 0) >= 128 for i in range(len(self.pieces))])
         self.known: dict[str, bytes] = {}
+        self.scores: dict[str, float] = {}
 
     def normalise(self, text: str) -> str:
         """Blanks become BLANK, and one stands before the text (none before an empty one). Other characters stay."""
@@ -104,28 +134,33 @@ class Vocabulary:
             end = i
         return self.ids(text, path[::-1])
 
-    def word(self, w: str) -> bytes:
-        """Ids of a word (all paths pass its ends)."""
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.trace(w, 0, len(w), self.forward(w, 0, len(w))[1])
-            if len(w) <= 64:
-                self.known[w] = got
-        return got
+    def learn(self, words: list[str]) -> None:
+        """Find the best paths of new words (all paths pass a word's ends); a worker keeps their ids and scores."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.scores.clear()
+        for w in set(words).difference(self.known):
+            best, back = self.forward(w, 0, len(w))
+            self.known[w], self.scores[w] = self.trace(w, 0, len(w), back), best[-1]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole normalised text, little-endian unsigned 32-bit."""
-        known = self.known
-        return b"".join([known.get(w) or self.word(w) for w in WORD.findall(text)])
+        words = self.words(text)
+        self.learn(words)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def total(self, text: str) -> float:
+        """The score of encode(text)."""
+        words = self.words(text)
+        self.learn(words)
+        return sum(map(self.scores.__getitem__, words))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the inverse of normalise() after encode(), but that BLANK itself comes back as a blank."""
-        out, run = [], bytearray()
-        if len(ids) and ids.min() >= self.first_text:
-            text = "".join(map(self.pieces.__getitem__, ids.tolist())).replace(BLANK, " ")
+        if not self.high[ids].any():  # a byte below 128 is a character by itself
+            text = "".join(map(self.shown.__getitem__, ids.tolist())).replace(BLANK, " ")
             return text[1:] if self.prefix and text[:1] == " " else text
+        out, run = [], bytearray()
         for i in ids.tolist():
             if i in self.bytes:
                 run.append(self.bytes[i])
@@ -149,14 +184,18 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return _loaded[path]
 
 
-def cuts(text: str, stop: int) -> tuple[int, int]:
-    """The first and the last place up to stop that every path passes (a character, then a blank), or (-1, -1)."""
-    first = re.search(f"(?<=[^{BLANK}]){BLANK}", text)
-    if not first or first.start() > stop:
+CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
+
+
+def cuts(text: str, least: int, stop: int) -> tuple[int, int]:
+    """The first place from `least` on and the last below `stop` that every path passes (a character, then a blank), or (-1, -1)."""
+    first = CUT.search(text, least, stop)
+    if not first:
         return -1, -1
-    at = first.start()
-    last = max((m.start() for m in re.finditer(f"(?<=[^{BLANK}]){BLANK}", text[max(at, stop - 4096) : stop + 1])), default=None)
-    return (at, at) if last is None else (at, max(at, max(at, stop - 4096) + last))
+    last = stop - 1
+    while text[last] != BLANK or text[last - 1] == BLANK:
+        last -= 1
+    return first.start(), last
 
 
 def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
@@ -166,11 +205,11 @@ def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
     """
     n = v.longest
     out = np.full((n, n), NONE)
-    first, last = cuts(text, size)
-    if first > n and last >= first and last < size:
+    first, last = cuts(text, n, size)
+    if first >= 0:
         # All paths pass first and last: head[s] + middle + tail[t].
-        head, middle = np.full(n, NONE), word_score(v, text[first:last])
-        for s in range(min(n, first + 1)):
+        head, middle = np.full(n, NONE), v.total(text[first:last])
+        for s in range(n):
             head[s] = v.forward(text[:first], s, first)[0][first]
         tail = np.array(v.forward(text[last:], 0, size - last)[0][size - last : size - last + n])
         out[:, : len(tail)] = (head + middle)[:, None] + tail[None, :]
@@ -184,10 +223,6 @@ def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
     return out
 
 
-def word_score(v: Vocabulary, text: str) -> float:
-    return sum(v.forward(w, 0, len(w))[0][len(w)] for w in WORD.findall(text))
-
-
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -233,8 +268,8 @@ def trace_chunk(v: Vocabulary, text: str, size: int, enter: int, leave: int) ->
     end = size + leave
     if enter >= end:
         return b""
-    first, last = cuts(text[:end], size)
-    if first > v.longest and first < last < size:
+    first, last = cuts(text, v.longest, size)
+    if first >= 0:
         back1, back2 = v.forward(text[:first], enter, first)[1], v.forward(text[last:end], 0, size - last)[1]
         return v.trace(text, enter, first, back1) + v.encode(text[first:last]) + v.trace(text[last:end], 0, end - last, back2)
     return v.trace(text, enter, end, v.forward(text[:end], enter, size)[1])
