@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, rows_of, small_batches, table
 
-#: Documented parameters: longest n-gram, training documents and word types of a language, folds, words that a worker keeps.
-ORDER, MAX_DOCS, MAX_WORDS, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 100_000, 4, 2, 250_000, 7
+#: Documented parameters: longest n-gram; training documents and word types of a language; one document in DEV calibrates; folds; words that a worker keeps.
+ORDER, MAX_DOCS, MAX_WORDS, DEV, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 100_000, 25, 4, 2, 250_000, 7
 #: A text is rejected when its cross-entropy (bits a character) passes this quantile of its language's held-back texts plus the margin.
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.75
 UNKNOWN = "und"
@@ -61,25 +61,19 @@ class Model:
 
     def __init__(self, counts: dict[str, Counter]):
         self.languages = sorted(counts)
-        self.orders, alphabet = [], set()
-        per = {lang: count_orders(words) for lang, words in counts.items()}
-        for words in counts.values():
-            alphabet.update(*words)
-        self.uniform = 1 / (len(alphabet) + 2)
-        for n in range(1, ORDER + 1):
-            probs, backs = defaultdict(lambda: np.zeros(len(self.languages))), defaultdict(lambda: np.ones(len(self.languages)))
-            for k, lang in enumerate(self.languages):
-                grams, top = per[lang][n - 1], Counter()
-                times = Counter(grams.values())
-                d = times[1] / (times[1] + 2 * times[2]) if times[1] else 0.5
-                for g, c in grams.items():
-                    top[g[:-1]] += c
-                kinds = Counter(g[:-1] for g in grams)
-                for g, c in grams.items():
-                    probs[g][k] = max(c - d, 0) / top[g[:-1]]
-                for g, c in kinds.items():
-                    backs[g][k] = d * c / top[g]
-            self.orders.append((*_sorted(probs, n, True), *_sorted(backs, n, False)))
+        self.uniform = 1 / (len(set().union(*[set("".join(words)) for words in counts.values()])) + 2)
+        grams = [[] for _ in range(ORDER)]
+        contexts = [[] for _ in range(ORDER)]
+        for lang in self.languages:  # one language's dictionaries at a time
+            for n, found in enumerate(count_orders(counts[lang]), 1):
+                c = np.fromiter(found.values(), float, len(found))
+                chars = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+                d = (c == 1).sum() / ((c == 1).sum() + 2 * (c == 2).sum()) if (c == 1).any() else 0.5
+                before, place = np.unique(_hash(chars[:, :-1], n), return_inverse=True)
+                total, kinds = np.bincount(place, c), np.bincount(place)
+                grams[n - 1].append((_hash(chars, n), np.maximum(c - d, 0) / total[place]))
+                contexts[n - 1].append((before, d * kinds / total))
+        self.orders = [(*_merged(g, 0.0), *_merged(c, 1.0)) for g, c in zip(grams, contexts)]
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         """Sum of log2 probabilities of each word's characters, by language (float64, words x languages)."""
@@ -99,20 +93,21 @@ def _look(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-def _sorted(rows: dict[str, np.ndarray], n: int, gram: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash array in order, and the rows beside it."""
-    h = np.array([hash_of(g, n, gram) for g in rows], np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array(list(rows.values()))[order]
+def _hash(chars: np.ndarray, n: int) -> np.ndarray:
+    """The hashes that _grams gives to n-grams, or to the contexts of n-grams: one row of chars each."""
+    h = np.full(len(chars), n, np.uint64)
+    for j in range(chars.shape[1]):
+        h = h * _B + chars[:, j] + np.uint64(1)
+    return _finish(h)
 
 
-def hash_of(g: str, n: int, gram: bool) -> int:
-    """The hash that _grams gives an n-gram, or the context of an n-gram."""
-    h = n
-    m = (1 << 64) - 1
-    for ch in g:
-        h = (h * int(_B) + ord(ch) + 1) & m
-    return int(_finish(np.array([h], np.uint64))[0])
+def _merged(tables: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[np.ndarray, np.ndarray]:
+    """All languages' hashes in order, and a matrix of values beside them with a column for each."""
+    keys = np.unique(np.concatenate([h for h, _ in tables] or [np.zeros(0, np.uint64)]))
+    out = np.full((len(keys), len(tables)), absent)
+    for k, (h, v) in enumerate(tables):
+        out[np.searchsorted(keys, h), k] = v
+    return keys, out
 
 
 def count_orders(words: Counter) -> list[Counter]:
@@ -193,9 +188,9 @@ def _sample(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Identifier:
-    """Fitted on the word counts of the bounded sample; every tenth sampled document is held back to calibrate."""
+    """Fitted on the word counts of the bounded sample; one sampled document in DEV is held back to calibrate."""
     small_batches(docs.sparkSession)
-    sample = _sample(docs).withColumn("dev", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(10)) == 0)
+    sample = _sample(docs).withColumn("dev", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(DEV)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, Counter] = defaultdict(Counter)
@@ -206,17 +201,23 @@ def train(docs: DataFrame) -> Identifier:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["lang", "doc", "word", "n"])
 
     got = sample.select("doc_id", "lang", "text", "dev").mapInArrow(count, "lang string, doc long, word string, n long")
-    counted = got.groupBy("lang", "doc", "word").agg(F.sum("n").alias("n")).toPandas()
-    fit = counted[counted["doc"].isna()].sort_values(["n", "word"], ascending=[False, True])
-    counts = {lang: Counter(dict(zip(g["word"][:MAX_WORDS], g["n"][:MAX_WORDS].astype(int)))) for lang, g in fit.groupby("lang")}
+    counted = got.groupBy("lang", "doc", "word").agg(F.sum("n").alias("n")).orderBy("lang", F.desc("n"), "word").toArrow()
+    counts: dict[str, Counter] = {}
+    dev: dict[tuple, Counter] = defaultdict(Counter)
+    for batch in counted.to_batches(max_chunksize=50_000):
+        for lang, doc, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            own = counts.setdefault(lang, Counter()) if doc is None else dev[lang, doc]
+            if doc is not None or len(own) < MAX_WORDS:
+                own[word] = n
+    del counted
     model = Model(counts)
     key = hash(tuple((k, len(v), v.total()) for k, v in counts.items()))
     n = len(model.languages)
     at = {lang: i for i, lang in enumerate(model.languages)}
     bits, truth, chars = [], [], []
-    for (lang, _), g in counted[counted["doc"].notna()].groupby(["lang", "doc"]):
+    for (lang, _), found in sorted(dev.items()):
         if lang in at:
-            words, times = g["word"].tolist(), g["n"].to_numpy(float)
+            words, times = list(found), np.array(list(found.values()), float)
             size = (times * np.array([len(w) + 1 for w in words])).sum()
             bits.append((times[:, None] * -model.log_probs(words)).sum(axis=0) / size)
             truth.append(at[lang])
