@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,23 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a Python worker keeps.
 CACHE = 500_000
 # The tokenizer's own splits, and the characters beyond which Python's classes may differ from its.
-SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-NOT_PLAIN = re.compile("[^\\x00-\u024f]|[\\x1c-\\x1f\\x85\\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]|<\\|(?:start|end)oftext\\|>")
+SPLIT = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|(?:[^\\w\\s]|_)+")  # of lower-cased plain texts
+NOT_PLAIN = re.compile("[^\\x00-\u017f]|[\\x1c-\\x1f\\x85\\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]|<\\|(?:start|end)oftext\\|>")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class Kept(dict):
+    """Values found once by a function of the key."""
+
+    def __init__(self, find: Callable):
+        self.find = find
+
+    def __missing__(self, key):
+        value = self[key] = self.find(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts by way of their words.
 
@@ -46,7 +57,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.splits, self.words = self.tokenizer.model, {}, {}
+        self.merges, self.splits, self.words = self.tokenizer.model, Kept(self._merged), {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # byte-level alphabet
@@ -58,12 +69,9 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids."""
         if NOT_PLAIN.search(text):
             return self._encode_words([w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()])
-        splits, known = SPLIT.findall(text.lower()), self.splits
-        if len(known) > CACHE:
-            known.clear()
-        for s in set(splits).difference(known):
-            known[s] = self._merged(s)
-        return b"".join(map(known.__getitem__, splits))
+        if len(self.splits) > CACHE:
+            self.splits.clear()
+        return b"".join(map(self.splits.__getitem__, SPLIT.findall(text.lower())))
 
     def _encode_words(self, words: list[str]) -> bytes:
         known = self.words
