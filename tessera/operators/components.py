@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.select(F.col("v").alias("src"), F.col("m").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """edges with lineage cut, the path, and a count with an order-free hash sum, taken while they are written."""
+    seen = Observation()
+    marks = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s"))
+    now, path = cut_lineage(marks, "components")
+    return now, path, (seen.get["n"], seen.get["s"])
+
+
 def component_labels(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the least node that edges reach, in either direction.
 
@@ -49,15 +57,16 @@ def component_labels(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.select(F.col("src"), F.col("dst")).where("src is not null and dst is not null and src <> dst").distinct()
-    now, path = cut_lineage(now, "components")
-    seen, old = None, [path]
+    now, path, mark = _marked(now)
+    old = [path]
     for _ in range(max_steps):
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if (mark := tuple(row)) == seen or not row[0]:
+        if not mark[0]:
             break
         seen = mark
-        now, path = cut_lineage(_star(_star(now, True), False), "components")
+        now, path, mark = _marked(_star(_star(now, True), False))
         old.append(path)
         if len(old) > 2:
             drop_table(spark, old.pop(0))
+        if mark == seen:
+            break
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select("dst", "dst").distinct())

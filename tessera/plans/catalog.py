@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules, text
 from tessera.operators import clusters, graph, jurisdiction, ladder, links, macro, names, profile, scoring
+from tessera.operators.components import cut_lineage
 from tessera.plans import pipelines
 from tessera.sources import adapter, files
 
@@ -41,6 +42,22 @@ class At:
         return adapter.canonical(self._spark, self._dir, name)
 
 
+class Shared(At):
+    """The same, for queries that read a table many times: what costs a join of large tables is written once, in the shared folder."""
+
+    WRITTEN = ("domestic", "parents", "relationships")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        given = {n: getattr(self, n) for n in adapter.NEEDS.get(name, [])}
+        df = adapter.canonical(self._spark, self._dir, name, given)
+        if name in self.WRITTEN:
+            df, _ = cut_lineage(df, name)
+        setattr(self, name, df)
+        return df
+
+
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles to six places, so that the order of sums does not show."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
@@ -151,22 +168,22 @@ def combined_entities(spark, sf):
 
 @query(f"{EDGES}, {DEGREES} SELECT * FROM degrees", "entities", "relationships")
 def graph_degrees(spark, sf):
-    return graph.degrees(*_graph(At(spark, sf)))
+    return graph.degrees(*_graph(Shared(spark, sf)))
 
 
 @query(f"{EDGES}, {REACH} SELECT lei, component, weakly_connected_component_size FROM comps", "entities", "relationships")
 def component_sizes(spark, sf):
-    return graph.components(*_graph(At(spark, sf)))
+    return graph.components(*_graph(Shared(spark, sf)))
 
 
 @query(f"{EDGES}, {PAGERANK} SELECT lei, round(r, 6) AS pagerank FROM pr{RANKS}", "entities", "relationships")
 def pagerank(spark, sf):
-    return r6(graph.pagerank(*_graph(At(spark, sf)), max_iter=RANKS, tol=0), "pagerank")
+    return r6(graph.pagerank(*_graph(Shared(spark, sf)), max_iter=RANKS, tol=0), "pagerank")
 
 
 @query(f"{EDGES}, {CENTRALITY} SELECT lei, round(degree_centrality, 6) AS degree_centrality FROM centrality", "entities", "relationships")
 def degree_centrality(spark, sf):
-    return r6(graph.degree_centrality(*_graph(At(spark, sf))), "degree_centrality")
+    return r6(graph.degree_centrality(*_graph(Shared(spark, sf))), "degree_centrality")
 
 
 SUMMARY = f"{EDGES}, {DEGREES}, {REACH}, {PAGERANK}, {CENTRALITY}, summary AS (SELECT n.lei, legal_name, category, legal_form, country_legal AS country, city_legal AS city, in_degree, out_degree, weakly_connected_component_size, r AS pagerank, degree_centrality, in_degree + out_degree + weakly_connected_component_size + r * 1000 + degree_centrality * 100 AS size_proxy FROM nodes n LEFT JOIN entities USING (lei) JOIN degrees USING (lei) JOIN comps USING (lei) JOIN pr{RANKS} USING (lei) JOIN centrality USING (lei))"
@@ -179,14 +196,14 @@ def _summary(a: At) -> DataFrame:
 
 @query(f"{SUMMARY} SELECT lei, legal_name, category, legal_form, country, city, in_degree, out_degree, weakly_connected_component_size FROM summary", "entities", "relationships")
 def graph_summary(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     out = graph.sorted_summary(graph.graph_summary(a.entities, a.relationships, ranks=False))
     return out.withColumnsRenamed({"country_legal": "country", "city_legal": "city"})
 
 
 @query(f"{SUMMARY} SELECT lei, round(size_proxy, 4) AS size_proxy FROM summary", "entities", "relationships")
 def size_proxy(spark, sf):
-    return _summary(At(spark, sf)).select("lei", F.round("size_proxy", 4).alias("size_proxy"))
+    return _summary(Shared(spark, sf)).select("lei", F.round("size_proxy", 4).alias("size_proxy"))
 
 
 EXC = "exc AS (SELECT lei, exception_reason FROM (SELECT *, row_number() OVER (PARTITION BY lei ORDER BY _ord) AS k FROM exceptions) WHERE k = 1)"
@@ -211,7 +228,7 @@ def exceptions_to_scan(spark, sf):
 
 @query("SELECT CAST(greatest(1, least(30, CASE WHEN hi = lo THEN 1 ELSE floor((out_degree - lo) / ((hi - lo) / 30.0)) + 1 END)) AS INT) AS bin, count(*) AS n FROM degrees, (SELECT min(out_degree) AS lo, max(out_degree) AS hi FROM degrees) GROUP BY 1".join([f"{EDGES}, {DEGREES} ", ""]), "entities", "relationships")
 def out_degree_histogram(spark, sf):
-    return profile.out_degree_histogram(graph.degrees(*_graph(At(spark, sf))))
+    return profile.out_degree_histogram(graph.degrees(*_graph(Shared(spark, sf))))
 
 
 # ---- Names. ----
@@ -248,12 +265,12 @@ def _matches(a: At, threshold: int = 100) -> DataFrame:
 
 @query(f"{BRANDS}, {EXACT} SELECT * FROM exact", "domestic", "parents", "relationships")
 def name_match_exact(spark, sf):
-    return _matches(At(spark, sf))
+    return _matches(Shared(spark, sf))
 
 
 @query()
 def name_match_fuzzy(spark, sf):
-    return _matches(At(spark, sf), 90)
+    return _matches(Shared(spark, sf), 90)
 
 
 @query(f"{BRANDS}, {EXACT} SELECT lei AS source_lei, matched_parent_lei AS target_lei, 'inferred_name_match' AS relationship_type, 'INFERRED' AS relationship_status, match_score AS inference_score FROM exact", "domestic", "parents", "relationships")
@@ -325,7 +342,7 @@ def address_clusters(spark, sf):
 
 @query(f"{CLUSTERS}, {INFERRED} SELECT * FROM inferred", "addresses", "relationships")
 def address_inferred_parents(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return clusters.infer_cluster_parents(clusters.cluster_by_address(a.addresses), a.relationships)
 
 
@@ -383,7 +400,7 @@ def _assignments(a: At) -> DataFrame:
 
 @query(f"{LADDER} SELECT * FROM uie", *LADDER_TABLES)
 def uie_assignments(spark, sf):
-    return ladder.sorted_assignments(_assignments(At(spark, sf)))
+    return ladder.sorted_assignments(_assignments(Shared(spark, sf)))
 
 
 @query("SELECT lei, legal_name, country_legal FROM domestic WHERE country_legal = 'SG'", "domestic")
@@ -393,7 +410,7 @@ def domestic_scope(spark, sf):
 
 @query(f"{LADDER} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(uie_confidence), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
 def investor_economy_summary(spark, sf):
-    return ladder.investor_summary(_assignments(At(spark, sf)))
+    return ladder.investor_summary(_assignments(Shared(spark, sf)))
 
 
 MIX = """mix AS (SELECT host_country AS country, count(*) AS uie_rows, count(*) FILTER (uie_country <> host_country) AS foreign_uie_count, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_count, count(*) FILTER (uie_source = 'phase3_jurisdiction_model') AS model_fallback_count,
@@ -403,7 +420,7 @@ count(*) FILTER (uie_source = 'manual_verified') AS manual_verified, count(*) FI
 
 @query(f"{LADDER}, {MIX} SELECT * FROM mix", *LADDER_TABLES)
 def uie_source_mix(spark, sf):
-    return macro.uie_mix(_assignments(At(spark, sf)))
+    return macro.uie_mix(_assignments(Shared(spark, sf)))
 
 
 # ---- Score and review. ----
@@ -427,12 +444,12 @@ def _scored(a: At) -> DataFrame:
 
 @query(f"{LADDER}, {SCORED} SELECT lei, round(size_scaled, 6) AS size_scaled, round(score, 6) AS coverage_gap_score FROM scored_rows", *SCORE_TABLES)
 def coverage_score(spark, sf):
-    return r6(_scored(At(spark, sf)).select("lei", "size_scaled", "coverage_gap_score"), "size_scaled", "coverage_gap_score")
+    return r6(_scored(Shared(spark, sf)).select("lei", "size_scaled", "coverage_gap_score"), "size_scaled", "coverage_gap_score")
 
 
 @query(f"{LADDER}, {SCORED} SELECT lei, reason_flags FROM scored_rows", *SCORE_TABLES)
 def reason_flags(spark, sf):
-    return _scored(At(spark, sf)).select("lei", "reason_flags")
+    return _scored(Shared(spark, sf)).select("lei", "reason_flags")
 
 
 def _any(column: str, markers: list[str]) -> str:
@@ -461,12 +478,12 @@ def _queue(a: At, limit: int | None = None) -> DataFrame:
 
 @query(f"{LADDER}, {SCORED}, {REVIEW} SELECT {', '.join(QUEUE_COLUMNS)} FROM queue", *REVIEW_TABLES)
 def review_targets(spark, sf):
-    return r6(_queue(At(spark, sf)).select(*QUEUE_COLUMNS), "coverage_gap_priority_score")
+    return r6(_queue(Shared(spark, sf)).select(*QUEUE_COLUMNS), "coverage_gap_priority_score")
 
 
 @query(f"{LADDER}, {SCORED}, {REVIEW} SELECT lei, legal_name, review_status FROM queue WHERE entity_type = 'fund_or_product_vehicle'", *REVIEW_TABLES)
 def product_vehicle_targets(spark, sf):
-    return scoring.split_vehicles(_queue(At(spark, sf)))[1].select("lei", "legal_name", "review_status")
+    return scoring.split_vehicles(_queue(Shared(spark, sf)))[1].select("lei", "legal_name", "review_status")
 
 
 @query(f"SELECT lei, {TYPE.replace('given_type', 'NULL').replace('uie_source', 'NULL')} AS entity_type FROM entities", "entities")
@@ -518,12 +535,12 @@ def cdis_positions(spark, sf):
 
 @query(f"{LADDER}, {COUNTS} SELECT * FROM counts", *LADDER_TABLES)
 def bilateral_counts(spark, sf):
-    return _counts(At(spark, sf))
+    return _counts(Shared(spark, sf))
 
 
 @query(f"{LADDER}, {MIX.replace('host_country', 'entity_country')}, {INWARD} SELECT country, foreign_uie_count, round(fdi, 6) AS inward_fdi_usd_bn, round(foreign_uie_count / fdi, 6) AS inward_lei_density FROM mix LEFT JOIN (SELECT host AS country, sum(fdi_usd_mn) / 1000 AS fdi FROM inward GROUP BY 1) USING (country)", *LADDER_TABLES, "positions")
 def inward_density(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     mix = macro.uie_mix(_assignments(a).withColumn("host_country", F.col("entity_country")))
     return r6(macro.inward_density(mix, _positions(a, "Inward")).select("country", "foreign_uie_count", "inward_fdi_usd_bn", "inward_lei_density"), "inward_fdi_usd_bn", "inward_lei_density")
 
@@ -533,13 +550,13 @@ BILATERAL = f"bilateral AS (SELECT c.parent AS source, c.host AS destination, en
 
 @query(f"{LADDER}, {COUNTS}, {OUTWARD}, {BILATERAL} SELECT source, destination, entity_count, round(fdi_usd_mn, 6) AS fdi_usd_mn, round(fdi_usd_bn, 6) AS fdi_usd_bn, round(outward_lei_density, 6) AS outward_lei_density FROM bilateral", *LADDER_TABLES, "positions")
 def outward_bilateral(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return r6(macro.outward_bilateral(_counts(a), _positions(a, "Outward")), "fdi_usd_mn", "fdi_usd_bn", "outward_lei_density")
 
 
 @query(f"{LADDER}, {COUNTS}, {OUTWARD}, {BILATERAL} SELECT source AS country, count(DISTINCT destination) AS destination_count, CAST(sum(entity_count) AS BIGINT) AS my_owned_or_source_owned_leis, round(sum(fdi_usd_mn), 6) AS outward_fdi_usd_mn, round(sum(fdi_usd_mn) / 1000, 6) AS outward_fdi_usd_bn, round(sum(entity_count) / (sum(fdi_usd_mn) / 1000), 6) AS asean_outward_lei_density FROM bilateral GROUP BY 1", *LADDER_TABLES, "positions")
 def outward_source_summary(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return r6(macro.outward_source_summary(macro.outward_bilateral(_counts(a), _positions(a, "Outward"))), "outward_fdi_usd_mn", "outward_fdi_usd_bn", "asean_outward_lei_density")
 
 
@@ -547,19 +564,19 @@ def outward_source_summary(spark, sf):
 ranked AS (SELECT host, rank() OVER (PARTITION BY host ORDER BY x) + (count(*) OVER (PARTITION BY host, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY host ORDER BY y) + (count(*) OVER (PARTITION BY host, y) - 1) / 2.0 AS ry FROM both_)
 SELECT host, count(*) AS n_pairs, round(corr(rx, ry), 6) AS rho FROM ranked GROUP BY 1 HAVING count(*) >= 3 OR host = 'ALL'""", *LADDER_TABLES, "positions")
 def spearman_by_host(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return r6(macro.spearman_by_host(_counts(a), _positions(a, "Inward"), with_p=False), "rho")
 
 
 @query()
 def spearman_significance(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return macro.spearman_by_host(_counts(a), _positions(a, "Inward"))
 
 
 @query(f"{LADDER}, {COUNTS}, {INWARD} SELECT parent, CAST(sum(entity_count) AS BIGINT) AS total_entities, round(sum(fdi_usd_mn), 6) AS total_fdi_usd_mn, count(DISTINCT host) AS n_hosts, round(sum(fdi_usd_mn) / 1000, 3) AS fdi_usd_bn, round(sum(entity_count) / (sum(fdi_usd_mn) / 1000) * 10, 1) AS entities_per_10bn FROM counts JOIN inward USING (host, parent) GROUP BY 1 HAVING sum(fdi_usd_mn) >= 500", *LADDER_TABLES, "positions")
 def entities_per_10bn(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return r6(macro.entities_per_10bn(_counts(a), _positions(a, "Inward")), "total_fdi_usd_mn").withColumn("fdi_usd_bn", F.round("fdi_usd_bn", 3))
 
 
@@ -592,7 +609,7 @@ def jurisdiction_features(spark, sf):
 
 @query()
 def jurisdiction_predictions(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return pipelines.jurisdiction_prediction(pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions), trees=40, folds=0)["predictions"]
 
 
@@ -605,7 +622,7 @@ SELECT source_lei, target_lei, round(coalesce(cn, 0)::DOUBLE / nullif(coalesce(s
 CAST(sc.component = tc.component AS INT) AS same_component, sd.out_degree AS source_out_degree, td.in_degree AS target_in_degree, round(sp.r, 6) AS source_pagerank, round(tp.r, 6) AS target_pagerank, sc.weakly_connected_component_size AS source_component_size, tc.weakly_connected_component_size AS target_component_size
 FROM pairs LEFT JOIN common USING (source_lei, target_lei) LEFT JOIN sz s ON s.lei = source_lei LEFT JOIN sz t ON t.lei = target_lei JOIN comps sc ON sc.lei = source_lei JOIN comps tc ON tc.lei = target_lei JOIN degrees sd ON sd.lei = source_lei JOIN degrees td ON td.lei = target_lei JOIN pr{RANKS} sp ON sp.lei = source_lei JOIN pr{RANKS} tp ON tp.lei = target_lei""", "entities", "relationships")
 def pair_features(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     nodes, edges = _graph(a)
     pairs = a.domestic.where("_ord < 60").select(F.col("lei").alias("source_lei")).crossJoin(a.parents.where("_ord < 8").select(F.col("lei").alias("target_lei")))
     return r6(graph.pair_features(pairs, edges, graph.pair_stats(nodes, edges, max_iter=RANKS, tol=0)), "jaccard_coefficient", "adamic_adar", "source_pagerank", "target_pagerank")
@@ -619,7 +636,7 @@ best AS (SELECT lei, hops, min(label) AS label FROM (SELECT *, min(hops) OVER (P
 votes AS (SELECT component, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY component) AS whole FROM known JOIN comps USING (lei) GROUP BY 1, 2)
 SELECT best.lei, best.label AS propagated_country, round(n / whole * (1.0 / (1 + hops)), 4)::DOUBLE AS confidence, hops FROM best JOIN comps USING (lei) JOIN votes ON votes.component = comps.component AND votes.label = best.label""", "entities", "relationships")
 def label_propagation(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     labels = jurisdiction.training_labels(a.relationships, a.parents).select("lei", F.col("parent_country").alias("label"))
     return graph.propagate_labels(*_graph(a), labels, HOPS)
 
@@ -630,7 +647,7 @@ def label_propagation(spark, sf):
 round((SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6) AS density, round((SELECT count(DISTINCT source_lei) FROM relationships WHERE source_lei IN (SELECT lei FROM domestic))::DOUBLE / (SELECT count(*) FROM domestic), 4) AS labeled_ratio,
 50 AS min_edges_threshold, 0.05::DOUBLE AS min_labeled_ratio_threshold, 10 AS min_parent_nodes_threshold""", "entities", "relationships")
 def graph_readiness(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return graph.readiness(a.domestic, a.relationships, a.entities)
 
 
@@ -642,13 +659,13 @@ def link_candidates(spark, sf):
 
 @query()
 def training_pairs(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     return links.training_pairs(a.relationships, a.domestic, a.parents)
 
 
 @query()
 def link_predictions(spark, sf):
-    a = At(spark, sf)
+    a = Shared(spark, sf)
     nodes, edges = _graph(a)
     trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents), folds=1, trees=30, kinds=("random_forest",))
     return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents.where("_ord < 50")), nodes, edges))

@@ -91,10 +91,10 @@ SQL["entities"] = "SELECT * FROM domestic UNION ALL SELECT lei, legal_name, cate
 NEEDS = {"entities": ["domestic", "parents"]}
 
 
-def canonical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One canonical table over the Parquet tables of sf_dir; nothing is read before it is used."""
+def canonical(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One canonical table over the Parquet tables of sf_dir; nothing is read before it is used. given: canonical tables to build on."""
     reads = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", SQL[name])}
-    reads |= {t: canonical(spark, sf_dir, t) for t in NEEDS.get(name, [])}
+    reads |= {t: (given or {}).get(t) or canonical(spark, sf_dir, t) for t in NEEDS.get(name, [])}
     text = SQL[name]
     for t in sorted(reads, key=len, reverse=True):
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
