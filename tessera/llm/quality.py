@@ -106,7 +106,7 @@ def margin(text: str, words: list[bytes], weights: np.ndarray, bias: float) -> f
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [features(t, t.encode("utf-8", "surrogatepass").split()) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("y"), b.column("fold"), pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], ["y", "fold", "at", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("fold"), pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())], ["doc_id", "y", "fold", "at", "v"])
 
 
 def fit_sparse(rows: list[tuple[int, int, np.ndarray, np.ndarray]], dims: int, steps: int, scale: float = 30.0) -> tuple[np.ndarray, float]:
@@ -122,20 +122,18 @@ def fit_sparse(rows: list[tuple[int, int, np.ndarray, np.ndarray]], dims: int, s
     if len(set(ys[~held])) < 2 or len(set(ys[held])) < 2:
         held[:] = False
     size = np.array([len(r[2]) for r in rows])
-    row, col = np.repeat(np.arange(len(rows)), size), np.concatenate([r[2] for r in rows])
-    val = np.concatenate([r[3] for r in rows]).astype(float) * scale
-    use = ~held[row]
-    r, c, v = row[use], col[use], val[use]
-    share = np.where(ys == 1, 0.5 / max(ys[~held].sum(), 1), 0.5 / max((1 - ys[~held]).sum(), 1)) * ~held
+    row, col = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([r[2] for r in rows])
+    val = np.concatenate([r[3] for r in rows]) * np.float32(scale)
+    share = np.where(ys == 1, 0.5 / max(ys[~held].sum(), 1), 0.5 / max((1 - ys[~held]).sum(), 1)) * ~held  # held rows weigh nothing
     w, b, m, s = np.zeros(dims), 0.0, np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(r, w[c] * v, len(rows)) + b
+        z = np.bincount(row, w.astype(np.float32)[col] * val, len(rows)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - ys) * share
-        grad = np.append(np.bincount(c, g[r] * v, dims) + 1e-4 * w, g.sum())
+        grad = np.append(np.bincount(col, g.astype(np.float32)[row] * val, dims) + 1e-4 * w, g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    z = np.bincount(row, w[col] * val, len(rows)) + b
+    z = np.bincount(row, w.astype(np.float32)[col] * val, len(rows)) + b
     slope, offset = platt(z[held], ys[held]) if held.any() else (1.0, 0.0)
     return (w * scale * slope).astype(np.float32), float(b * slope + offset)
 
@@ -159,18 +157,20 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3) / sd, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fitted on the executors' feature vectors of at most 2 * MAX_ROWS labelled documents; quality 1 is the positive class."""
-    sample = label_sample(labels, "quality", docs, MAX_ROWS, SEED).select("y", "fold", "text", "doc_id")
-    got = sample.mapInArrow(lambda it: _with_id(it), "doc_id long, y int, fold int, at binary, v binary").collect()
-    got.sort(key=lambda r: (r[0], r[1]))
-    return fit_sparse([(r["y"], r["fold"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], DIMS, STEPS)
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the weights and the bias fitted on all feature rows, which MAX_ROWS bounds."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "fold", "at", "v")))]
+    rows.sort(key=lambda r: r[:2])
+    weights, bias = fit_sparse([(y, fold, np.frombuffer(at, np.int32), np.frombuffer(v, np.float32)) for _, y, fold, at, v in rows], DIMS, STEPS)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for f in _featurise(iter([b])):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *f.columns], ["doc_id", "y", "fold", "at", "v"])
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Fitted in one task on the feature vectors of at most 2 * MAX_ROWS labelled documents; quality 1 is the positive class."""
+    sample = label_sample(labels, "quality", docs, MAX_ROWS, SEED).select("y", "fold", "text", "doc_id")
+    vectors = sample.mapInArrow(_featurise, "doc_id long, y int, fold int, at binary, v binary")
+    got = vectors.repartition(1).mapInArrow(_fit, "weights binary, bias double").first()
+    return np.frombuffer(got["weights"], np.float32), got["bias"]
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_good double"
