@@ -9,21 +9,35 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that this process wrote and has not dropped, for drop_written().
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where spark.checkpoint.dir is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints"
+    """The folder that all executors see: spark.checkpoint.dir of the session, a temporary one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def cut_lineage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written as a table in the shared folder, and its path."""
+    """df written as a table in the shared folder, and its path: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all tables that cut_lineage wrote in this process: for when the results that rest on them are stored."""
+    for path in list(WRITTEN):
+        drop_table(spark, path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
