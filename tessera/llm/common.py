@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.components import cut_lineage
+
 #: A batch that goes to Python holds at most so many rows and about so many bytes (or one row, as whole texts stay whole).
 ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
 
@@ -24,18 +24,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (only where that is unset) a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or f"{tempfile.gettempdir()}/checkpoints"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as a table in the session's shared folder and read it again; drop_written() of the components module deletes such tables."""
+    return cut_lineage(df, label)[0]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, label_sample, rows_of, small_batches, table
+from tessera.llm.common import crc_mod, label_sample, materialise, rows_of, small_batches, table
 from tessera.llm.quality import platt
 
 #: Documented parameters: labelled rows of each class, n-gram lengths, vocabulary, hash space while terms are chosen, neighbours, block size, blocks of the first pass.
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Index:
     spark = docs.sparkSession
     able = labels.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
     rates = able.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    sample = label_sample(able, "toxic", docs, MAX_EXAMPLES, SEED)
+    # Written once, as it is read three times: at most 2 * MAX_EXAMPLES texts.
+    sample = materialise(label_sample(able, "toxic", docs, MAX_EXAMPLES, SEED), "toxic-sample")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Document frequencies of both classes, added up in a worker: what is sent is bounded by the hash space, not by texts.
