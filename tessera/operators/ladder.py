@@ -133,3 +133,17 @@ def investor_summary(uie: DataFrame) -> DataFrame:
     """Totals by host and investor economy; rows without an economy are left out."""
     rows = uie.where("uie_country is not null").groupBy("host_country", "uie_country")
     return rows.agg(F.count("lei").alias("total_entities"), F.sum("is_known_uie").alias("known_uie_entities"), F.sum("is_inferred_uie").alias("inferred_uie_entities"), F.round(F.avg("uie_confidence"), 4).alias("avg_confidence")).orderBy(F.desc("total_entities"), "uie_country", "host_country")
+
+
+def headline_metrics(uie: DataFrame, review: DataFrame) -> DataFrame:
+    """One row: domestic entities, those with an economy, known, inferred, and review targets."""
+    row = uie.agg(F.count("*").alias("domestic_entities"), F.count("uie_country").alias("assigned_uie"), F.coalesce(F.sum("is_known_uie"), F.lit(0)).alias("known_uie"), F.coalesce(F.sum("is_inferred_uie"), F.lit(0)).alias("inferred_uie"))
+    return row.crossJoin(review.agg(F.count("*").alias("review_targets")))
+
+
+def only(df: DataFrame, **values: list) -> DataFrame:
+    """Rows whose columns hold one of the given values; an empty list leaves a column free."""
+    for column, wanted in values.items():
+        if wanted:
+            df = df.where(F.col(column).isin(wanted))
+    return df

@@ -685,6 +685,27 @@ def html_listing_links(spark, sf):
     return files.registry_listing(moved, "https://example.org").where(~F.col("ctos_name").contains("&"))
 
 
+@query("SELECT count(*) AS total_predictions, round(avg(prediction_probability), 4) AS avg_confidence, count(*) FILTER (prediction_probability >= 0.5) AS high_confidence_predictions, (SELECT predicted_parent_country FROM predictions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_predicted_country FROM predictions", "predictions")
+def prediction_summary(spark, sf):
+    return jurisdiction.prediction_summary(At(spark, sf).predictions)
+
+
+@query("SELECT predicted_parent_country, count(*) AS n FROM predictions GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10", "predictions")
+def prediction_histogram(spark, sf):
+    return jurisdiction.histogram(At(spark, sf).predictions, "predicted_parent_country")
+
+
+@query(f"{LADDER}, {SCORED}, {REVIEW} SELECT count(*) AS domestic_entities, count(uie_country) AS assigned_uie, CAST(sum(is_known_uie) AS BIGINT) AS known_uie, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie, (SELECT count(*) FROM queue) AS review_targets FROM uie", *REVIEW_TABLES)
+def headline_metrics(spark, sf):
+    a = Shared(spark, sf)
+    return ladder.headline_metrics(_assignments(a), _queue(a))
+
+
+@query(f"{LADDER} SELECT lei, uie_country, uie_source FROM uie WHERE uie_source IN ('gleif_direct_parent', 'gleif_ultimate_parent') AND uie_country IN ('US', 'SG')", *LADDER_TABLES)
+def filtered_assignments(spark, sf):
+    return ladder.only(_assignments(Shared(spark, sf)), uie_source=["gleif_direct_parent", "gleif_ultimate_parent"], uie_country=["US", "SG"], evidence_tier=[]).select("lei", "uie_country", "uie_source")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
