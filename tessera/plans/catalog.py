@@ -613,18 +613,20 @@ def jurisdiction_predictions(spark, sf):
     return pipelines.jurisdiction_prediction(pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions), trees=40, folds=0)["predictions"]
 
 
-PAIRS = "pairs AS (SELECT d.lei AS source_lei, p.lei AS target_lei FROM (SELECT lei FROM domestic WHERE _ord < 60) d CROSS JOIN (SELECT lei FROM parents WHERE _ord < 8) p)"
+#: Known links, and those that shared addresses suggest.
+PAIRS = f"{CLUSTERS}, {INFERRED}, pairs AS (SELECT source_lei, target_lei FROM relationships UNION SELECT lei, inferred_parent_lei FROM inferred)"
 
 
 @query(f"""{EDGES}, {DEGREES}, {REACH}, {PAGERANK}, {PAIRS}, sz AS (SELECT u AS lei, count(*) AS n, sum(CASE WHEN u = v THEN 2 ELSE 1 END) AS d FROM und GROUP BY 1),
 common AS (SELECT source_lei, target_lei, count(*) FILTER (a.v NOT IN (source_lei, target_lei)) AS cn, count(*) AS meet, sum(1 / ln(sz.d)) FILTER (a.v NOT IN (source_lei, target_lei)) AS aa FROM pairs JOIN und a ON a.u = source_lei JOIN und b ON b.u = target_lei AND a.v = b.v JOIN sz ON sz.lei = a.v GROUP BY 1, 2)
 SELECT source_lei, target_lei, round(coalesce(cn, 0)::DOUBLE / nullif(coalesce(s.n, 0) + coalesce(t.n, 0) - coalesce(meet, 0), 0), 6) AS jaccard_coefficient, round(coalesce(aa, 0), 6) AS adamic_adar, CAST(coalesce(s.d, 0) * coalesce(t.d, 0) AS DOUBLE) AS preferential_attachment, coalesce(cn, 0) AS common_neighbors,
 CAST(sc.component = tc.component AS INT) AS same_component, sd.out_degree AS source_out_degree, td.in_degree AS target_in_degree, round(sp.r, 6) AS source_pagerank, round(tp.r, 6) AS target_pagerank, sc.weakly_connected_component_size AS source_component_size, tc.weakly_connected_component_size AS target_component_size
-FROM pairs LEFT JOIN common USING (source_lei, target_lei) LEFT JOIN sz s ON s.lei = source_lei LEFT JOIN sz t ON t.lei = target_lei JOIN comps sc ON sc.lei = source_lei JOIN comps tc ON tc.lei = target_lei JOIN degrees sd ON sd.lei = source_lei JOIN degrees td ON td.lei = target_lei JOIN pr{RANKS} sp ON sp.lei = source_lei JOIN pr{RANKS} tp ON tp.lei = target_lei""", "entities", "relationships")
+FROM pairs LEFT JOIN common USING (source_lei, target_lei) LEFT JOIN sz s ON s.lei = source_lei LEFT JOIN sz t ON t.lei = target_lei JOIN comps sc ON sc.lei = source_lei JOIN comps tc ON tc.lei = target_lei JOIN degrees sd ON sd.lei = source_lei JOIN degrees td ON td.lei = target_lei JOIN pr{RANKS} sp ON sp.lei = source_lei JOIN pr{RANKS} tp ON tp.lei = target_lei""", "entities", "relationships", "addresses")
 def pair_features(spark, sf):
     a = Shared(spark, sf)
     nodes, edges = _graph(a)
-    pairs = a.domestic.where("_ord < 60").select(F.col("lei").alias("source_lei")).crossJoin(a.parents.where("_ord < 8").select(F.col("lei").alias("target_lei")))
+    guessed = clusters.infer_cluster_parents(clusters.cluster_by_address(a.addresses), a.relationships)
+    pairs = a.relationships.select("source_lei", "target_lei").union(guessed.select("lei", "inferred_parent_lei"))
     return r6(graph.pair_features(pairs, edges, graph.pair_stats(nodes, edges, max_iter=RANKS, tol=0)), "jaccard_coefficient", "adamic_adar", "source_pagerank", "target_pagerank")
 
 
@@ -651,10 +653,13 @@ def graph_readiness(spark, sf):
     return graph.readiness(a.domestic, a.relationships, a.entities)
 
 
-@query("SELECT d.lei AS source_lei, p.lei AS target_lei FROM domestic d CROSS JOIN (SELECT lei FROM parents WHERE _ord < 20) p WHERE d.lei NOT IN (SELECT source_lei FROM relationships)", "domestic", "parents", "relationships")
+CANDIDATES = 500_000  # the operator's own bound on candidate pairs
+
+
+@query(f"SELECT d.lei AS source_lei, p.lei AS target_lei FROM domestic d CROSS JOIN parents p WHERE d.lei NOT IN (SELECT source_lei FROM relationships) ORDER BY 1, 2 LIMIT {CANDIDATES}", "domestic", "parents", "relationships")
 def link_candidates(spark, sf):
     a = At(spark, sf)
-    return links.candidates(a.domestic, a.relationships, a.parents.where("_ord < 20"))
+    return links.candidates(a.domestic, a.relationships, a.parents, CANDIDATES)
 
 
 @query()
@@ -668,7 +673,7 @@ def link_predictions(spark, sf):
     a = Shared(spark, sf)
     nodes, edges = _graph(a)
     trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents), folds=1, trees=30, kinds=("random_forest",))
-    return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents.where("_ord < 50")), nodes, edges))
+    return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents, CANDIDATES), nodes, edges))
 
 
 @query("SELECT * FROM (VALUES ('A1', 1, 1, 1, 4, 2, 0), ('A2', 1, 0, 1, 4, 1, 0), ('A3', 0, 0, 0, 1, 0, 0), ('P1', 0, 0, 0, 4, 0, 2), ('P2', 0, 0, 0, 4, 0, 1)) t(lei, has_parent_link, has_ultimate_link, foreign_parent, weakly_connected_component_size, out_degree, in_degree)")

@@ -72,18 +72,18 @@ FROM customer WHERE c_custkey % 97 = 5""",
 SELECT {_id('C', 'c_custkey')} AS lei, CASE WHEN c_custkey % 2 = 0 THEN 'in_progress' END AS review_status, CASE WHEN c_custkey % 3 = 0 THEN 'state_owned_entity' END AS entity_type, 'noted' AS review_note, c_custkey AS _ord
 FROM customer WHERE c_custkey % 83 = 7""",
     "tickers": """
-SELECT lpad(CAST(p_partkey AS STRING), 10, '0') AS cik, upper(substring(p_name, 1, 4)) AS ticker, concat(upper(p_name), CASE WHEN p_partkey % 2 = 0 THEN ' Holdings PLC' ELSE ', Bank Ltd' END) AS title, p_partkey AS _ord
-FROM part WHERE p_partkey < 60""",
+SELECT lpad(CAST(min(p_partkey) AS STRING), 10, '0') AS cik, concat(upper(substring(p_name, 1, 4)), substring(p_type, 1, 1)) AS ticker, concat(upper(p_name), CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN ' Holdings PLC' ELSE ', Bank Ltd' END) AS title, min(p_partkey) AS _ord
+FROM part GROUP BY p_name, p_type""",
     "registry": """
-SELECT concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' Sendirian Berhad' WHEN 1 THEN ' Sdn Bhd' ELSE ' Private Limited' END) AS ctos_name, concat('https://example.org/', CAST(p_partkey AS STRING)) AS ctos_url,
-  CAST(p_partkey * 1000 + 7 AS STRING) AS ctos_registration_no, p_partkey AS _ord
-FROM part WHERE p_partkey < 90""",
+SELECT concat(p_name, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN ' Sendirian Berhad' WHEN p_type IN ('MEDIUM', 'PROMO') THEN ' Sdn Bhd' ELSE ' Private Limited' END) AS ctos_name, concat('https://example.org/', CAST(min(p_partkey) AS STRING)) AS ctos_url,
+  CAST(min(p_partkey) * 1000 + 7 AS STRING) AS ctos_registration_no, min(p_partkey) AS _ord
+FROM part GROUP BY p_name, p_type""",
     "searches": f"""
 SELECT trim(upper(p_name)) || ' Holdings PLC' AS query, CAST(s_suppkey % 3 + 1 AS INT) AS rank, {_id('S', 's_suppkey')} AS lei, concat(upper(p_name), ' Holdings PLC') AS legal_name, {_iso('s_nationkey')} AS country_legal, {_iso('(s_nationkey + 1) % 25')} AS country_hq, 3 AS total_results, s_suppkey AS _ord
-FROM supplier JOIN part ON p_partkey = (s_suppkey * 3) % 40
+FROM (SELECT p_name, min(s_suppkey) AS first FROM supplier JOIN part ON p_partkey = (s_suppkey * 3) % 40 GROUP BY p_name) f JOIN supplier ON s_suppkey = first
 UNION ALL
-SELECT trim(concat(upper(p_name), ' Bank Ltd')), 1, {_id('C', 'c_custkey')}, concat(upper(p_name), ' Bank Ltd'), {_iso('c_nationkey')}, {_iso('c_nationkey')}, 1, 1000000 + c_custkey
-FROM customer JOIN part ON p_partkey = c_custkey % 100 WHERE c_custkey % 6 = 4 AND c_custkey < 200""",
+SELECT trim(concat(upper(p_name), ' Bank Ltd')), 1, {_id('C', 'c_custkey')}, concat(upper(p_name), ' Bank Ltd'), {_iso('c_nationkey')}, {_iso('c_nationkey')}, 1, 1000000000 + c_custkey
+FROM (SELECT p_name, min(c_custkey) AS first FROM customer JOIN part ON p_partkey = c_custkey % 100 WHERE c_custkey % 6 = 4 GROUP BY p_name) f JOIN customer ON c_custkey = first""",
 }
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 SQL["entities"] = "SELECT * FROM domestic UNION ALL SELECT lei, legal_name, category, legal_form, entity_status, registered_at, country_legal, city_legal, country_hq, 1000000000 + _ord FROM parents"
