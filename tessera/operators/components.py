@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,11 +56,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
-    """edges with lineage cut, the path, and a count with an order-free hash sum, taken while they are written."""
-    seen = Observation()
-    marks = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s"))
-    now, path = cut_lineage(marks, "components")
-    return now, path, (seen.get["n"], seen.get["s"])
+    """edges with lineage cut, the path, and a count with an order-free hash sum.
+
+    The mark is its own scan of the written columns: an Observation would make the session unfit for closures of Spark ML models.
+    """
+    now, path = cut_lineage(edges, "components")
+    return now, path, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
 def component_labels(edges: DataFrame, max_steps: int = 60) -> DataFrame:
