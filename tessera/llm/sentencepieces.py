@@ -26,7 +26,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from tessera.llm.common import materialise, rows_of, small_batches, table
 
 #: Code points of a chunk, words that a worker keeps.
-CHUNK, CACHE = 65_536, 600_000
+CHUNK, CACHE = 65_536, 400_000
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
