@@ -1,5 +1,5 @@
 """HTML main text by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by link density; the best
-container and those siblings (its own, and its ancestors') that look like text are kept."""
+container and those siblings (its own, and its ancestors') that look like text are kept. Tags that name the article only add to its points."""
 
 from __future__ import annotations
 
@@ -191,15 +191,19 @@ def main_nodes(root: Node) -> list[Node | str]:
     order = score(root)
     named = [n for n in order if n.chars and (n.tag in ("article", "main") or n.attrs.get("role", "").lower() in ("main", "article"))]
     tops = [n for n in named if n.tag == "article" or n.attrs.get("role") == "article"] or named
+    net = {id(n): n.score * (1 - density(n)) for n in order}
     if tops:
-        # Pages that name their article: the best of those names the container, by all the points in it.
-        total = {id(n): n.score * (1 - density(n)) + n.chars * (1 - density(n)) / 100 for n in tops}
-        top = max(tops, key=lambda n: total[id(n)])
-        return [top]
-    top = max(order, key=lambda n: n.score * (1 - density(n)), default=root)
-    if not top.score:
-        return [root]
-    best, kept, n = top.score * (1 - density(top)), [top], top
+        # A tag that names the article adds to its points: it has the best of any container in it, and one more for a hundred characters.
+        named, high = {id(n) for n in tops}, {}
+        for n in reversed(order):
+            most = max([net[id(n)], *(high[id(c)] for c in n.children if not isinstance(c, str))])
+            if id(n) in named:
+                most = net[id(n)] = most + n.chars * (1 - density(n)) / 100
+            high[id(n)] = most
+    top = max(order, key=lambda n: net[id(n)], default=root)
+    if not net[id(top)]:
+        return tops[:1] or [root]
+    best, kept, n = net[id(top)], [top], top
     while n.parent:
         at = next(i for i, c in enumerate(n.parent.children) if c is n)
         sides = n.parent.children

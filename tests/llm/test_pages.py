@@ -47,3 +47,16 @@ def test_rows_and_edges(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["page_id"]: r["text"] for r in got if r["url"] != "again"}[3] == CASES[3][1]
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><article>{BODY}</article><div class=ad>buy, this</div><article>{BODY}</article></body>", f"{TEXT}\n{TEXT}"),
+        (f"<body><p>A lead, before it.</p><article>{BODY}</article><p>It goes on, after.</p></body>", f"A lead, before it.\n{TEXT}\nIt goes on, after."),
+        (f"<body><div id=content>{BODY}</div><article><h3><a href=1>Another story, elsewhere</a></h3></article></body>", TEXT),
+        (f"<body><article><h1><a href=1>Title</a></h1><div>{BODY}</div></article></body>", f"Title\n{TEXT}"),
+    ],
+)
+def test_named_tags_only_add_to_the_points(page, want):
+    assert pages.extract(page) == want
