@@ -653,13 +653,13 @@ def graph_readiness(spark, sf):
     return graph.readiness(a.domestic, a.relationships, a.entities)
 
 
-CANDIDATES = 500_000  # the operator's own bound on candidate pairs
+CANDIDATES = 500_000  # of the SQL alone: the query gives every pair, so the two agree where there are no more
 
 
 @query(f"SELECT d.lei AS source_lei, p.lei AS target_lei FROM domestic d CROSS JOIN parents p WHERE d.lei NOT IN (SELECT source_lei FROM relationships) ORDER BY 1, 2 LIMIT {CANDIDATES}", "domestic", "parents", "relationships")
 def link_candidates(spark, sf):
     a = At(spark, sf)
-    return links.candidates(a.domestic, a.relationships, a.parents, CANDIDATES)
+    return links.candidates(a.domestic, a.relationships, a.parents)
 
 
 @query()
@@ -673,7 +673,7 @@ def link_predictions(spark, sf):
     a = Shared(spark, sf)
     nodes, edges = _graph(a)
     trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents), folds=1, trees=30, kinds=("random_forest",))
-    return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents, CANDIDATES), nodes, edges))
+    return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents), nodes, edges))
 
 
 @query("SELECT * FROM (VALUES ('A1', 1, 1, 1, 4, 2, 0), ('A2', 1, 0, 1, 4, 1, 0), ('A3', 0, 0, 0, 1, 0, 0), ('P1', 0, 0, 0, 4, 0, 2), ('P2', 0, 0, 0, 4, 0, 1)) t(lei, has_parent_link, has_ultimate_link, foreign_parent, weakly_connected_component_size, out_degree, in_degree)")

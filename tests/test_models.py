@@ -98,3 +98,23 @@ def test_phases_in_order(spark, data):
     assert product["review"].count() > 0 and product["scored"].count() == 46
     enriched = pipelines.enriched_relationships(x, None, out["inferred"])
     assert enriched.count() == 32 + 4
+
+
+def test_single_sources_score_like_their_pairs(spark, data):
+    e, p, r = data
+    edges = graph.edges_of(r.unionByName(frame(spark, REL, [("X", "D39", "direct_parent")])))
+    nodes = graph.vertices_of(e.unionByName(p), edges)
+    trained = links.train(nodes, edges, links.training_pairs(r, e, p), folds=1, trees=10, kinds=("random_forest",))
+    pairs = links.candidates(e, r, p).unionByName(frame(spark, "source_lei:s target_lei:s", [("Z", "P1"), ("D38", "D38"), ("P5", "nowhere")]).drop("_ord"))
+    want = trained.model.transform(graph.pair_features(pairs, edges, graph.pair_stats(nodes, edges))).collect()
+    got = {(x["source_lei"], x["target_lei"]): x["link_probability"] for x in links.score_candidates(trained, pairs, nodes, edges, 0.0).collect()}
+    assert len(got) == len(want) == 51 and all(got[x["source_lei"], x["target_lei"]] == pytest.approx(float(x["probability"][1]), abs=1e-4) for x in want)
+
+
+def test_every_candidate_is_given(spark, data, monkeypatch):
+    from tessera.plans import catalog
+
+    e, p, r = data
+    monkeypatch.setattr(catalog, "CANDIDATES", 10)
+    monkeypatch.setattr(catalog, "At", lambda *_: type("Tables", (), {"domestic": e, "parents": p, "relationships": r}))
+    assert catalog.queries()["link_candidates"](spark, "").count() == 8 * 6
