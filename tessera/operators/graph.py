@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,17 +178,18 @@ def pair_stats(vertices: DataFrame, edges: DataFrame, **ranks) -> DataFrame:
     return degrees(vertices, edges).join(components(vertices, edges), "lei").join(pagerank(vertices, edges, **ranks), "lei")
 
 
-def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_hops: int = 100) -> DataFrame:
+def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> DataFrame:
     """lei, propagated_country, confidence, hops of unlabeled nodes that a labeled one (lei, label) reaches.
 
     The nearest label wins, ties to the least label. Confidence is that label's share of the component's labels over 1 + hops. A search
-    from all labels at once: each step adds the nodes one hop further, so work per step is one join of the frontier with the edges.
+    from all labels at once: each step adds the nodes one hop further, so work per step is one join of the frontier with the edges. It ends
+    where no node is left to reach, or after max_hops.
     """
     around = undirected(edges).where("u <> v")
     around, _ = cut_lineage(around, "propagation-edges")
     known = labels.join(vertices.select("lei"), "lei", "left_semi").select("lei", "label").distinct()
     seen, path = cut_lineage(known.groupBy("lei").agg(F.min("label").alias("label")).withColumn("hops", F.lit(0)), "propagation")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         edge = seen.where(F.col("hops") == hop - 1).join(around, F.col("lei") == F.col("u")).groupBy(F.col("v").alias("lei")).agg(F.min("label").alias("label"))
         new = edge.join(seen.select("lei"), "lei", "left_anti").withColumn("hops", F.lit(hop))
         new, new_path = cut_lineage(new, "propagation")

@@ -630,7 +630,7 @@ def pair_features(spark, sf):
     return r6(graph.pair_features(pairs, edges, graph.pair_stats(nodes, edges, max_iter=RANKS, tol=0)), "jaccard_coefficient", "adamic_adar", "source_pagerank", "target_pagerank")
 
 
-HOPS = 6
+HOPS = 6  # of the SQL alone: the query searches until no node is left, so the two agree where none is further off
 
 
 @query(f"""{EDGES}, {REACH}, {LABELS}, known AS (SELECT lei, parent_country AS label FROM labels_), walk AS (SELECT lei, label, 0 AS hops FROM known UNION SELECT und.v, label, hops + 1 FROM walk JOIN und ON walk.lei = und.u WHERE hops < {HOPS}),
@@ -640,7 +640,7 @@ SELECT best.lei, best.label AS propagated_country, round(n / whole * (1.0 / (1 +
 def label_propagation(spark, sf):
     a = Shared(spark, sf)
     labels = jurisdiction.training_labels(a.relationships, a.parents).select("lei", F.col("parent_country").alias("label"))
-    return graph.propagate_labels(*_graph(a), labels, HOPS)
+    return graph.propagate_labels(*_graph(a), labels)
 
 
 @query(f"""{EDGES}, {REACH} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT lei) FROM domestic) AS n_domestic_entities, (SELECT count(DISTINCT source_lei) FROM relationships WHERE source_lei IN (SELECT lei FROM domestic)) AS n_labeled_entities,

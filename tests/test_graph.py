@@ -115,3 +115,15 @@ def test_mock_pipeline(spark):
     got = by(pipelines.mock_pipeline(spark), "lei")
     assert {n: (r["in_degree"], r["out_degree"], r["weakly_connected_component_size"], r["foreign_parent"]) for n, r in got.items()} == {"A1": (0, 2, 4, 1), "A2": (0, 1, 4, 1), "A3": (0, 0, 1, 0), "P1": (2, 0, 4, 0), "P2": (1, 0, 4, 0)}
     assert [n for n, r in got.items() if r["appears_in_edgar"]] == ["P2"]
+
+
+def test_labels_reach_the_ends_of_long_chains(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    e = frame(spark, "lei:s legal_name:s category:s legal_form:s country_legal:s city_legal:s", [(f"X{i}", "n", "", "", "MY", "") for i in range(9)])
+    p = frame(spark, "lei:s legal_name:s country_legal:s", [("P", "p", "US")])
+    r = frame(spark, REL, [("X0", "P", "direct_parent"), *((f"X{i + 1}", f"X{i}", "direct_parent") for i in range(8))])
+    for name in ("At", "Shared"):
+        monkeypatch.setattr(catalog, name, lambda *_: type("Tables", (), {"entities": e, "parents": p, "relationships": r}))
+    got = by(catalog.queries()["label_propagation"](spark, ""), "lei")
+    assert {n: x["hops"] for n, x in got.items()} == {"P": 1, **{f"X{i}": i for i in range(1, 9)}}
