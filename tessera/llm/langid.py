@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, rows_of, small_batches, table
 
-#: Documented parameters: longest n-gram; training documents and word types of a language; one document in DEV calibrates; folds; words that a worker keeps.
-ORDER, MAX_DOCS, MAX_WORDS, DEV, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 100_000, 25, 4, 2, 250_000, 7
+#: Documented parameters: longest n-gram; training documents and word types of a language; one document in DEV calibrates, LEAST_DEV at least where a quarter has them; folds; words that a worker keeps.
+ORDER, MAX_DOCS, MAX_WORDS, DEV, LEAST_DEV, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 100_000, 25, 20, 4, 2, 250_000, 7
 #: A text is rejected when its cross-entropy (bits a character) passes this quantile of its language's held-back texts plus the margin.
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.75
 UNKNOWN = "und"
@@ -183,14 +183,35 @@ def _sample(docs: DataFrame) -> DataFrame:
 
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
     order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
-    ids = able.select("doc_id", "lang").withColumn("place", order).where(F.col("place") <= MAX_DOCS).select("doc_id", "lang")
+    own = able.select("doc_id", "lang").withColumn("place", order).where(F.col("place") <= MAX_DOCS).withColumn("n", F.count("*").over(W.partitionBy("lang")))
+    held = F.col("place") <= F.greatest(F.least(F.lit(LEAST_DEV), F.floor(F.col("n") / 4)), F.ceil(F.col("n") / DEV), F.least(F.lit(1), F.col("n") - 1))
+    ids = own.groupBy("doc_id", "lang").agg(F.max(held).alias("dev"))
     return able.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
 
 
+def limits_of(h: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The highest accepted cross-entropy of each of n languages, from held-back texts' cross-entropies h (texts x languages) under their languages y.
+
+    A language with LEAST_DEV texts has its own quantile. One with fewer has its mean and the spread that all languages' texts have
+    about their means, more for fewer texts, and never less than its own texts need; one without takes the highest limit of the others.
+    """
+    own = [h[y == k, k] for k in range(n)]
+    about = [(x - x.mean()) * np.sqrt(len(x) / (len(x) - 1)) for x in own if len(x) > 1]
+    spread = max(float(np.quantile(np.concatenate(about), REJECT_QUANTILE)), 0.0) if about else 0.0
+    limits = np.full(n, np.nan)
+    for k, x in enumerate(own):
+        if len(x) >= LEAST_DEV:
+            limits[k] = np.quantile(x, REJECT_QUANTILE) + REJECT_MARGIN
+        elif len(x):
+            limits[k] = max(x.max(), x.mean() + spread * (1 + 1 / np.sqrt(len(x)))) + REJECT_MARGIN
+    return np.where(np.isnan(limits), np.nanmax(limits) if len(y) else np.inf, limits)
+
+
 def train(docs: DataFrame) -> Identifier:
-    """Fitted on the word counts of the bounded sample; one sampled document in DEV is held back to calibrate."""
+    """Fitted on the word counts of the bounded sample, but for held-back documents that calibrate: one in DEV of a language, or more (a
+    quarter at most, but one of two or three) where that is under LEAST_DEV. Only where no language has two documents is there no limit."""
     small_batches(docs.sparkSession)
-    sample = _sample(docs).withColumn("dev", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(DEV)) == 0)
+    sample = _sample(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, Counter] = defaultdict(Counter)
@@ -225,9 +246,7 @@ def train(docs: DataFrame) -> Identifier:
     limits, sharpness = np.full(n, np.inf), 0.1
     if bits:
         h, y, size = np.array(bits), np.array(truth), np.minimum(np.array(chars), 1000)
-        for k in range(n):
-            if (y == k).sum() >= 20:
-                limits[k] = np.quantile(h[y == k, k], REJECT_QUANTILE) + REJECT_MARGIN
+        limits = limits_of(h, y, n)
         gaps = (h - h.min(axis=1, keepdims=True)) * size[:, None]
         grid = np.geomspace(0.001, 1, 25)
         loss = [(s * gaps[np.arange(len(y)), y] + np.log(np.exp(-s * gaps).sum(axis=1))).mean() for s in grid]

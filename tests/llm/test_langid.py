@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from tessera.llm import langid
@@ -87,3 +88,19 @@ def test_order_of_counts():
         for i in range(1, len(s)):
             seen[s[i]].add(s[i - 1])
     assert langid.count_orders(Counter({"ab": 5, "cb": 1}))[0]["b"] == len(seen["b"])
+
+
+def test_small_languages_reject_too(spark, docs):
+    rng = random.Random(9)
+    words = {"aa": ["balo", "milo", "tano", "rilo", "selo", "dano"], "zz": ["krux", "vexk", "zurk", "pyxt", "kryz", "wuxt"]}
+    texts = {i: ("aa" if i < 60 else "zz", i) for i in range(72)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=30))) for i, (lang, _) in texts.items()] + [(900, "qjhfgq whqqj ghjq fqhg jjqh " * 6)]
+    langs = {i: lang for i, (lang, _) in texts.items()}
+    got = {r["doc_id"]: r for r in langid.identify(docs(rows, lang=langs)).collect()}
+    assert got[900]["rejected"] and not any(got[i]["rejected"] for i in langs)
+
+
+def test_every_language_has_a_limit():
+    h = np.array([[2.0, 9, 9], [2.2, 9, 9], [2.1, 9, 9], [9, 3.0, 9]])
+    got = langid.limits_of(h, np.array([0, 0, 0, 1]), 3)
+    assert np.isfinite(got).all() and got[0] > 2.2 and got[1] > got[0] and got[2] == got[1]
