@@ -610,7 +610,7 @@ def jurisdiction_features(spark, sf):
 @query()
 def jurisdiction_predictions(spark, sf):
     a = Shared(spark, sf)
-    return pipelines.jurisdiction_prediction(pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions), trees=40, folds=0)["predictions"]
+    return pipelines.jurisdiction_prediction(pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions))["predictions"]
 
 
 #: Known links, and those that shared addresses suggest.
@@ -672,7 +672,7 @@ def training_pairs(spark, sf):
 def link_predictions(spark, sf):
     a = Shared(spark, sf)
     nodes, edges = _graph(a)
-    trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents), folds=1, trees=30, kinds=("random_forest",))
+    trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents))
     return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents), nodes, edges))
 
 

@@ -118,3 +118,25 @@ def test_every_candidate_is_given(spark, data, monkeypatch):
     monkeypatch.setattr(catalog, "CANDIDATES", 10)
     monkeypatch.setattr(catalog, "At", lambda *_: type("Tables", (), {"domestic": e, "parents": p, "relationships": r}))
     assert catalog.queries()["link_candidates"](spark, "").count() == 8 * 6
+
+
+def test_queries_train_whole_models(spark, data, monkeypatch):
+    from tessera.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def stop(*_, **given):
+        raise Seen(given)
+
+    e, p, r = data
+    tables = type("Tables", (), {"domestic": e, "parents": p, "relationships": r, "exceptions": None, "entities": e.unionByName(p)})
+    for name in ("At", "Shared"):
+        monkeypatch.setattr(catalog, name, lambda *_: tables)
+    monkeypatch.setattr(links, "train", stop)
+    monkeypatch.setattr(jurisdiction, "train", stop)
+    for name in ("link_predictions", "jurisdiction_predictions"):
+        with pytest.raises(Seen) as said:
+            catalog.queries()[name](spark, "")
+        assert said.value.args[0] == {}
+    assert links._models(1, 200)["gradient_boosting"].getMaxIter() == 100
