@@ -1,5 +1,6 @@
 """HTML main text by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by link density; the best
-container and those siblings (its own, and its ancestors') that look like text are kept. Tags that name the article only add to its points."""
+container is kept, with the siblings (its own, and its ancestors') whose points are near its own. Tags and everyday names that tell of the
+article or of furniture only change points; elements and names that can only be furniture go before scoring."""
 
 from __future__ import annotations
 
@@ -24,26 +25,40 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body table ul ol dl article section main div td th nav aside footer header form".split())
-#: Words of class and id that mark what is not the article. Fixed values.
-OFF = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|adslot|adbox|banner\w*|sponsor\w*|promo\w*|promoted|outbrain|taboola|nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|toolbar|topbar|masthead|site-?header|page-?header|header|footer|foot|site-?footer|sidebar\w*|side|aside|rail|widget\w*|related|recommend\w*|trending|popular|more-?stories|comment\w*|disqus\w*|replies|respond|discussion|cookie\w*|consent|gdpr|notice\w*|alert\w*|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|sign-?up|login|register|paywall|share\w*|sharing|social\w*|follow|form|search\w*|skip\w*|hidden|sr-only|visually-hidden|copyright|legal|disclaimer|tags?|tag-?list|byline-?links|print|toc|table-of-contents)(?:$|[-_\s])", re.I)
-#: What the class or id of the article's own container may say, which outweighs OFF.
-ON = re.compile(r"(?:^|[-_\s])(?:article\w*|main|content|post|entry|story|body|text|page-?content|main-?content)(?:$|[-_\s])", re.I)
+#: Names (parts of class and id) that only page furniture bears: elements of these names go, paragraphs and headings with the first set alone. Fixed values.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsored cookie cookies gdpr newsletter outbrain taboola hidden noprint".split())
+FURNITURE = ADVERTS | frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager masthead topbar toolbar sidebar widget banner promo comments commentlist disqus replies share sharing addthis popup modal overlay subscribe signup login paywall".split())
+#: Whole class names of the same kind. Fixed values.
+NAMED_OFF = frozenset("sr-only visually-hidden screen-reader-text skip-link site-header site-footer page-header page-footer comment-list comment-form related-posts related-articles tag-list social-links".split())
+#: Everyday words that often name furniture take points from a container, and those that often name the article add some; neither removes text. Fixed values.
+WEAK = frozenset("header footer foot side aside rail related recommended trending popular comment respond discussion notice alert notification social follow form search register copyright legal disclaimer tags print toc teaser meta byline".split())
+STRONG = frozenset("article main content post entry story body text page".split())
+#: How a block of reader comments or a notice of cookies opens, whatever its name. Fixed values.
+OPENS_OFF = re.compile(r"(?:\d+\s+)?(?:(?:reader |user )?comments?|responses?|replies|leave a (?:comment|reply)|add a comment|kommentare?|commentaires?|comentarios?)(?:\s*\(\d+\)|\s*:|\s+\d+)?$", re.I)
+COOKIES = re.compile(r"\b(?:we|this (?:web)?site|our (?:web)?site|wir|nous|este sitio|diese (?:web)?seite)\b.{0,40}\bcookies\b", re.I)
 ROLES_OFF = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[-_\s]+")
+CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Blocks that hold text and no containers; how a sentence ends.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary legend address center".split())
+WHOLE = frozenset("#root html body".split())
+ENDS = (".", "!", "?", "…", "。", "”", '"')
 WANTED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "score", "chars", "linked", "links", "net", "first", "titled")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
-        self.score = 0.0
-        self.chars = self.linked = 0
+        self.score = self.net = 0.0
+        self.chars = self.linked = self.links = 0
+        self.first, self.titled = "", False
 
 
 def parse(page: str) -> Node:
@@ -105,71 +120,122 @@ def _open(n: Node, tag: str) -> Node | None:
     return None
 
 
-def off(n: Node, in_article: bool) -> bool:
-    """Whether an element is page furniture by its name, class, id or role."""
-    if n.tag in DROPPED or (n.tag == "header" and not in_article):
+def names(n: Node) -> set[str]:
+    """The parts of an element's class and id, in lower case."""
+    return set(PARTS.split(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower())) if n.attrs else set()
+
+
+def off(n: Node, in_article: bool, forms: bool) -> bool:
+    """Whether an element is page furniture by its element name, its role, or a name that only furniture bears."""
+    if (n.tag in DROPPED and (forms or n.tag != "form")) or (n.tag == "header" and not in_article):
         return True
-    if not n.attrs:
-        return False
     a = n.attrs
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES_OFF or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+    if not a:
+        return False
+    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES_OFF or CONCEALED.search(a.get("style", "")):
         return True
-    if n.tag in ("body", "html", "article", "main"):
-        return bool(re.search(r"(?:^|[-_\s])(?:comment\w*|related|promo\w*|advert\w*|teaser)(?:$|[-_\s])", said := f"{a.get('class', '')} {a.get('id', '')}", re.I)) and n.tag == "article"
-    said = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(OFF.search(said)) and not (n.tag in ("div", "section") and ON.search(said) and not re.search(r"comment|sidebar|related|footer|nav|advert|share|widget|notice|cookie|newsletter|(?:^|[-_\s])ads?(?:$|[-_\s])", said, re.I))
+    if n.tag in ("body", "html", "article", "main", "#root"):
+        return False
+    if not NAMED_OFF.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split()):
+        return True
+    return not (ADVERTS if n.tag in PARAGRAPHS or n.tag in INLINE else FURNITURE).isdisjoint(names(n))
 
 
-def trim(n: Node) -> None:
-    """Take furniture out of the tree (without recursion: pages may nest deeply)."""
+def trim(n: Node, forms: bool = True) -> None:
+    """Take furniture out of the tree (without recursion: pages may nest deeply). forms: forms are furniture too."""
     todo = [(n, False)]
     while todo:
         x, inside = todo.pop()
         inside = inside or x.tag in ("article", "main")
         if x.children:
-            x.children = [c for c in x.children if isinstance(c, str) or not off(c, inside)]
+            x.children = [c for c in x.children if isinstance(c, str) or not off(c, inside, forms)]
             todo += [(c, inside) for c in x.children if not isinstance(c, str)]
 
 
+def in_order(root: Node) -> list[Node]:
+    """All nodes, children after parents."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+    return order
+
+
+def drop_told(root: Node) -> None:
+    """Take out blocks that open as reader comments do and hold no title or named article, and short ones that tell of cookies."""
+    order = in_order(root)
+    for n in reversed(order):
+        n.titled = n.tag in ("h1", "article", "main") or any(c.titled for c in n.children if not isinstance(c, str))
+        for c in n.children:
+            n.first = SPACE.sub(" ", html.unescape(c)).strip() if isinstance(c, str) else c.first
+            if n.first:
+                break
+    for n in order:
+        n.children = [c for c in n.children if isinstance(c, str) or c.tag in INLINE or c.tag in PARAGRAPHS or not told(c)]
+
+
+def told(n: Node) -> bool:
+    if n.titled or n.tag in WHOLE:
+        return False
+    if OPENS_OFF.match(n.first):
+        return True
+    if not COOKIES.search(n.first):
+        return False
+    return sum(map(len, blocks([n]))) < 1000
+
+
 def points(chars: int, commas: int, linked: int) -> float:
     """Of a paragraph: one, one for each comma, one for each hundred characters up to three, less its share of link text."""
     return (1 + commas + min(chars / 100, 3)) * (1 - linked / chars) if chars else 0.0
 
 
 def score(root: Node) -> list[Node]:
-    """Fill chars, linked and score bottom up; return all nodes, children after parents."""
-    order, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        order.append(n)
-        todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+    """Fill chars, linked, links, score and net (the points that count) bottom up; return all nodes, children after parents.
+
+    A paragraph is a block's own run of text: its strings, and those of inline elements in it. Its points go to its parent in full, then
+    to the ancestors by a half, a third, a quarter and a fifth. A container with bare text is its own parent, in full.
+    """
+    order = in_order(root)
     for n in reversed(order):
         own = [s for c in n.children if isinstance(c, str) and (s := SPACE.sub(" ", c).strip())]
         chars = sum(map(len, own))
         below = [c for c in n.children if not isinstance(c, str)]
         n.chars = chars + sum(c.chars for c in below)
         n.linked = n.chars if n.tag == "a" else sum(c.linked for c in below)
-        # A paragraph is a block's own run of text: its strings, and those of inline elements in it.
+        n.links = (n.tag == "a") + sum(c.links for c in below)
         inline = [c for c in below if c.tag in INLINE]
         run = chars + sum(c.chars for c in inline)
         if run and n.tag not in INLINE:
-            commas = sum(s.count(",") + s.count("、") + s.count("，") for s in own) + sum(_commas(c) for c in inline)
-            gain, up, share = points(run, commas, sum(c.linked for c in inline)), n.parent or n, 1.0
+            commas = sum(map(_commas_in, own)) + sum(_commas(c) for c in inline)
+            gain, up = points(run, commas, sum(c.linked for c in inline)), n.parent if n.tag in PARAGRAPHS and n.parent else n
             for depth in range(1, 6):
-                up.score += gain * share
-                up, share = up.parent, 1 / (depth + 1)
+                up.score += gain / depth
+                up = up.parent
                 if up is None:
                     break
+    for n in order:
+        said = names(n)
+        n.net = n.score * (1 - density(n)) * (1 if said.isdisjoint(WEAK) else 0.5) * (1 if said.isdisjoint(STRONG) else 1.25)
+        if n.tag not in PARAGRAPHS and n.tag not in INLINE and 0 < n.chars < 400 and n.first.startswith("©"):
+            n.net *= 0.5
+        if n.tag in WHOLE and not any(c.strip() if isinstance(c, str) else c.tag in PARAGRAPHS or c.tag in INLINE for c in n.children):
+            # The page as a whole holds no paragraph itself: some container in it is better.
+            n.net = 0.0
     return order
 
 
+def _commas_in(s: str) -> int:
+    return s.count(",") + s.count("、") + s.count("，")
+
+
 def _commas(n: Node) -> int:
     total, todo = 0, [n]
     while todo:
         x = todo.pop()
         for c in x.children:
             if isinstance(c, str):
-                total += c.count(",") + c.count("、") + c.count("，")
+                total += _commas_in(c)
             else:
                 todo.append(c)
     return total
@@ -179,11 +245,54 @@ def density(n: Node) -> float:
     return n.linked / n.chars if n.chars else 0.0
 
 
-def keeps(n: Node, best: float) -> bool:
-    """Whether a sibling belongs to the article: by score, or as text with few links. Headings and short blocks of plain text stay."""
-    if n.tag in INLINE:
-        return density(n) < 0.5
-    return n.score * (1 - density(n)) >= max(10.0, 0.2 * best) or (n.chars > 0 and density(n) < 0.34)
+def keeps(c: Node | str, top: Node, beside: bool, before: bool) -> bool:
+    """Whether a sibling of the best container (beside), or of an ancestor of it, belongs to the article.
+
+    A container must have a fifth of the best points, and ten or half of the best; another <article>, or one of the same element and class as the best, is given that fifth. A
+    paragraph beside it stays if it reads as text: long with few links, or a sentence without any. So does a title before it.
+    """
+    if isinstance(c, str) or c.tag in INLINE:
+        text = c.strip() if isinstance(c, str) else ""
+        chars, share = (len(text), 0.0) if isinstance(c, str) else (c.chars, density(c))
+        return beside and chars > 0 and share < 0.25 and (chars >= 80 or top.tag in PARAGRAPHS)
+    if not c.chars:
+        return False
+    if c.tag in ("h1", "h2"):
+        return before and density(c) < 0.5
+    if c.tag in PARAGRAPHS:
+        return beside and (density(c) < 0.25 if c.chars >= 80 else not c.linked and text_of(c).endswith(ENDS))
+    same = c.tag == top.tag and c.attrs.get("class") == top.attrs.get("class") and (c.tag == "article" or "class" in c.attrs)
+    return c.net + (0.2 * top.net if same else 0.0) >= max(0.0 if same else min(10.0, 0.5 * top.net), 0.2 * top.net)
+
+
+def text_of(n: Node) -> str:
+    return " ".join(blocks([n]))
+
+
+def clean(parts: list[Node | str], top: Node) -> list[Node | str]:
+    """parts without what scoring tells to be furniture inside them: blocks of links, and bare blocks of few points beside the paragraphs of
+    a page whose best container is its body."""
+    out = []
+    whole = top.tag in WHOLE
+    for x in parts:
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        todo = [x]
+        while todo:
+            n = todo.pop()
+            kept = []
+            for c in n.children:
+                if isinstance(c, str) or c.tag in INLINE or c.tag in PARAGRAPHS:
+                    kept.append(c)
+                elif (c.links >= 3 and density(c) >= 0.8) or (whole and n is top and top.net >= 10 and c.tag != "table" and c.net < 0.05 * top.net and not any(isinstance(d, Node) and d.tag in PARAGRAPHS for d in c.children)):
+                    continue
+                else:
+                    kept.append(c)
+                    todo.append(c)
+            n.children = kept
+        out.append(x)
+    return out
 
 
 def main_nodes(root: Node) -> list[Node | str]:
@@ -191,26 +300,25 @@ def main_nodes(root: Node) -> list[Node | str]:
     order = score(root)
     named = [n for n in order if n.chars and (n.tag in ("article", "main") or n.attrs.get("role", "").lower() in ("main", "article"))]
     tops = [n for n in named if n.tag == "article" or n.attrs.get("role") == "article"] or named
-    net = {id(n): n.score * (1 - density(n)) for n in order}
     if tops:
         # A tag that names the article adds to its points: it has the best of any container in it, and one more for a hundred characters.
-        named, high = {id(n) for n in tops}, {}
+        wanted, high = {id(n) for n in tops}, {}
         for n in reversed(order):
-            most = max([net[id(n)], *(high[id(c)] for c in n.children if not isinstance(c, str))])
-            if id(n) in named:
-                most = net[id(n)] = most + n.chars * (1 - density(n)) / 100
+            most = max([n.net, *(high[id(c)] for c in n.children if not isinstance(c, str))])
+            if id(n) in wanted:
+                most = n.net = most + n.chars * (1 - density(n)) / 100
             high[id(n)] = most
-    top = max(order, key=lambda n: net[id(n)], default=root)
-    if not net[id(top)]:
+    top = max(order, key=lambda n: n.net, default=root)
+    if not top.net:
         return tops[:1] or [root]
-    best, kept, n = net[id(top)], [top], top
+    kept: list[Node | str] = [top]
+    n = top
     while n.parent:
         at = next(i for i, c in enumerate(n.parent.children) if c is n)
-        sides = n.parent.children
-        keep = lambda c: bool(c.strip()) if isinstance(c, str) else keeps(c, best)
-        kept = [c for c in sides[:at] if keep(c)] + kept + [c for c in sides[at + 1 :] if keep(c)]
+        sides, beside = n.parent.children, n is top
+        kept = [c for c in sides[:at] if keeps(c, top, beside, True)] + kept + [c for c in sides[at + 1 :] if keeps(c, top, beside, False)]
         n = n.parent
-    return kept
+    return clean(kept, top)
 
 
 def blocks(parts: list[Node | str]) -> list[str]:
@@ -246,7 +354,15 @@ def extract(page: str | None) -> str:
     """The main text: its blocks joined by one newline."""
     root = parse(page or "")
     trim(root)
-    return "\n".join(blocks(main_nodes(root)))
+    drop_told(root)
+    text = blocks(main_nodes(root))
+    if not text and page and "<form" in page.lower():
+        # All text lies in a form: it is the page's container, not furniture.
+        root = parse(page)
+        trim(root, forms=False)
+        drop_told(root)
+        text = blocks(main_nodes(root))
+    return "\n".join(text)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -1,7 +1,14 @@
+import random
+import re
+from collections import Counter
+from pathlib import Path
+
 import pytest
 
 from tessera.llm import pages
 
+SMALL = Path("/root/testdata/sf0.01")
+
 BODY = "<p>First, long enough to count, with commas, and words that go on for a good while so that points gather here.</p><p>Second paragraph &amp; more   text,\n with <b>bold</b><i>ness</i> and a <a href=x>link</a>.</p>"
 TEXT = "First, long enough to count, with commas, and words that go on for a good while so that points gather here.\nSecond paragraph & more text, with boldness and a link."
 
@@ -60,3 +67,104 @@ def test_rows_and_edges(spark):
 )
 def test_named_tags_only_add_to_the_points(page, want):
     assert pages.extract(page) == want
+
+
+RENAMED = {"article", "nav", "footer", "header", "aside", "main", "section"}
+
+
+def neutral(page):
+    """The page with sectioning tags renamed to div, and without classes."""
+    page = re.sub(r"<(/?)(\w+)", lambda m: f"<{m[1]}div" if m[2] in RENAMED else m[0], page)
+    return re.sub(r"\sclass=(\"[^\"]*\"|'[^']*'|\w+)", "", page)
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_points_alone_find_the_article_of_the_test_pages():
+    import duckdb
+
+    rows = [h for (h,) in duckdb.sql(f"SELECT html FROM '{SMALL}/pages.parquet'").fetchall()]
+    same = sum(pages.extract(neutral(h)) == pages.extract(h) for h in rows)
+    assert same >= 0.96 * len(rows)
+
+
+def test_everyday_names_remove_nothing_inside():
+    for name in ("follow", "legal", "print", "form", "side", "tags", "alert", "popular", "search", "register", "header", "notice"):
+        assert pages.extract(f"<article>{BODY}<p class={name}>A short one, kept.</p><div class={name}>And this.</div></article>") == f"{TEXT}\nA short one, kept.\nAnd this.", name
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # A cookie notice and reader comments that bear no telling name.
+        (f"<body><div><div>{BODY}{BODY}</div></div><div>We use cookies, as all do, and by going on, you accept.</div></body>", f"{TEXT}\n{TEXT}"),
+        (f"<body><div>{BODY}</div><div><h3>2 Comments</h3><div><p>{'Nice, ' * 20}</p></div><div><p>{'Yes, ' * 30}</p></div></div></body>", TEXT),
+        (f"<body><div>{BODY}<div><h3>Comments (2)</h3><p>{'Nice, ' * 20}</p></div></div></body>", TEXT),
+        # A menu inside the article's container; a few links in a sentence stay.
+        (f"<body><div>{BODY}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div></body>", TEXT),
+        # The second part has points near the first's, the box beside them has not.
+        (f"<body><div class=part>{BODY}{BODY}</div><div>Buy this.</div><div class=part>{BODY}</div></body>", f"{TEXT}\n{TEXT}\n{TEXT}"),
+        # Equal points: the first in page order is the best, the other is kept as its sibling.
+        (f"<body><div id=x>{BODY}</div><div id=y>{BODY}</div></body>", f"{TEXT}\n{TEXT}"),
+        # A form around the whole page.
+        (f"<body><form>{BODY}</form></body>", TEXT),
+    ],
+)
+def test_points_decide_where_names_do_not(page, want):
+    assert pages.extract(page) == want
+
+
+def test_points_change_the_outcome():
+    page = f"<body><div>Buy this, now.</div><div>{BODY}</div><div>Some more small print.</div></body>"
+    root = pages.parse(page)
+    pages.trim(root)
+    assert "\n".join(pages.blocks([root])) != pages.extract(page) == TEXT
+
+
+def brute_scores(root):
+    """Points of every node, by its identity, from the rule: each block's run of text gives to its parent (or itself) and those above."""
+    out = Counter()
+
+    def inner(n):
+        return "".join(c if isinstance(c, str) else inner(c) for c in n.children)
+
+    def visit(n):
+        parts = [(c, False) if isinstance(c, str) else (c, True) for c in n.children if isinstance(c, str) or c.tag in pages.INLINE]
+        chars = commas = linked = 0
+        for c, element in parts:
+            stack = [(c, False)]
+            while stack:
+                x, link = stack.pop()
+                if isinstance(x, str):
+                    t = " ".join(x.split())
+                    chars, commas, linked = chars + len(t), commas + t.count(","), linked + len(t) * link
+                else:
+                    stack += [(y, link or x.tag == "a") for y in x.children]
+        if chars and n.tag not in pages.INLINE:
+            gain = (1 + commas + min(chars / 100, 3)) * (1 - linked / chars)
+            up, k = (n.parent if n.tag in pages.PARAGRAPHS and n.parent else n), 1
+            while up is not None and k <= 5:
+                out[id(up)] += gain / k
+                up, k = up.parent, k + 1
+        for c in n.children:
+            if not isinstance(c, str):
+                visit(c)
+
+    visit(root)
+    return out
+
+
+def test_scores_against_brute_force():
+    rng = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join(rng.choice(["one,", "two", "three", "four,"]) for _ in range(rng.randrange(1, 40)))
+            return f"<a href=x>{words}</a>" if rng.random() < 0.2 else words
+        tag = rng.choice(["div", "section", "p", "ul", "b", "li", "blockquote", "article"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(rng.randrange(1, 5)))}</{tag}>"
+
+    for _ in range(80):
+        root = pages.parse(f"<body>{tree(5)}{tree(5)}</body>")
+        want = brute_scores(root)
+        for n in pages.score(root):
+            assert n.score == pytest.approx(want[id(n)])
