@@ -31,8 +31,10 @@ def search(spark, rows, k=10):
     return {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items()}
 
 
-def test_recall_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD", 700)
+@pytest.mark.parametrize("cell", [100, 8192])
+def test_recall_against_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "SHARD", 300)
     monkeypatch.setattr(neighbours, "BLOCK", 8)
     centres = rng.normal(size=(10, 32))
     rows = [(i, (centres[i % 10] + 0.5 * rng.normal(size=32)).tolist()) for i in range(2000)]
@@ -79,3 +81,60 @@ def test_tree_leaves_come_by_distance():
         assert ((points[leaf] - q) ** 2).sum(axis=1).min() >= gap - 1e-9
 
 
+def unit(n, d=64):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def clustered(n, d=64, groups=40):
+    return rng.normal(size=(groups, d))[rng.integers(0, groups, n)] + 0.3 * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("make,most", [(unit, 0.7), (clustered, 0.15)])
+def test_the_stop_leaves_vectors_unverified(make, most):
+    x = make(4000)
+    a, limit = neighbours.directions(64), neighbours.chi_square_quantile(neighbours.CONFIDENCE, neighbours.M)
+    tree, hit, share = neighbours.KdTree(x @ a), [], []
+    for i in range(0, 4000, 100):
+        rows, dist, verified = neighbours.search(tree, x, x[i], x[i] @ a, 11, limit)
+        exact = ((x - x[i]) ** 2).sum(axis=1)
+        assert np.allclose(dist, exact[rows], rtol=0, atol=0)
+        hit.append(len(set(np.argsort(exact)[:11]) & set(rows[np.argsort(dist)[:11]])) / 11)
+        share.append(verified / 4000)
+    assert np.mean(hit) >= 0.9 and np.mean(share) <= most
+
+
+def test_a_known_distance_prunes_from_the_start():
+    x = clustered(3000)
+    a, limit = neighbours.directions(64), neighbours.chi_square_quantile(neighbours.CONFIDENCE, neighbours.M)
+    tree = neighbours.KdTree(x[1:] @ a)
+    free = neighbours.search(tree, x[1:], x[0], x[0] @ a, 10, limit)
+    told = neighbours.search(tree, x[1:], x[0], x[0] @ a, 10, limit, free[1].max())
+    assert set(told[0]) == set(free[0]) and told[2] <= free[2]
+    assert neighbours.search(tree, x[1:], x[0], x[0] @ a, 10, limit, 1e-9)[2] < 50
+
+
+@pytest.mark.parametrize("cells", [1, 7, 64, 5000])
+def test_the_top_of_the_tree_parts_all_points(cells):
+    fit, points = rng.normal(size=(300, 6)), rng.normal(size=(1000, 6)) * 3
+    fit[:50] = fit[0]
+    top = neighbours.TopTree(fit, cells)
+    at = top.cell(points)
+    assert len(top.low) <= cells and (cells > 300 or len(top.low) == cells)
+    for p, c in zip(points, at):
+        gaps = top.gaps(p)
+        assert gaps[c] == 0 and (top.low[c] <= p).all() and (p <= top.high[c]).all()
+        others = points[at != c]
+        if len(others):
+            nearest = ((others - p) ** 2).sum(axis=1)
+            assert (gaps[at[at != c]] <= nearest + 1e-9).all()
+
+
+def test_a_hot_cell_is_dealt_over_groups(spark, monkeypatch):
+    for name, value in (("CELL", 50), ("SHARD", 40), ("BLOCK", 3), ("SAMPLE", 200)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.concatenate([1 + 1e-4 * rng.normal(size=(900, 8)), rng.normal(size=(300, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute(rows, range(0, 1200, 100)), search(spark, rows)
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.9 * 10 * len(want)
