@@ -22,7 +22,7 @@ from tessera.llm.common import materialise, small_batches, table
 
 #: Documented parameters: directions, neighbours, stopping confidence, leaf size; distinct vectors of a cell, cells at most, rows of the
 #: sample that the top of the tree is fitted on; vectors and queries of a group.
-M, K, CONFIDENCE, LEAF, CELL, MAX_CELLS, SAMPLE, SHARD, BLOCK, SEED = 24, 10, 0.95, 32, 8192, 1024, 16_384, 16_384, 65_536, 4
+M, K, CONFIDENCE, LEAF, CELL, MAX_CELLS, SAMPLE, SHARD, BLOCK, SEED = 24, 10, 0.95, 128, 8192, 1024, 16_384, 16_384, 65_536, 4
 
 
 def chi_square_quantile(p: float, m: int) -> float:
