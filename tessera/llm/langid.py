@@ -8,7 +8,7 @@ All languages share sorted hash arrays of n-grams and contexts, beside matrices
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, rows_of, small_batches, table
+from tessera.llm.common import crc_mod, materialise, rows_of, small_batches, table
 
-#: Documented parameters: longest n-gram; training documents and word types of a language; one document in DEV calibrates, LEAST_DEV at least where a quarter has them; folds; words that a worker keeps.
-ORDER, MAX_DOCS, MAX_WORDS, DEV, LEAST_DEV, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 100_000, 25, 20, 4, 2, 250_000, 7
+#: Documented parameters: longest n-gram; training documents of a language; one document in DEV calibrates, LEAST_DEV at least where a quarter has them; folds; words that a worker keeps.
+ORDER, MAX_DOCS, DEV, LEAST_DEV, FOLDS, HELD_OUT, CACHE, SEED = 4, 1500, 25, 20, 4, 2, 250_000, 7
+#: Values of the hash that draws the training documents.
+DRAW = 1 << 40
 #: A text is rejected when its cross-entropy (bits a character) passes this quantile of its language's held-back texts plus the margin.
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.75
 UNKNOWN = "und"
@@ -60,8 +62,9 @@ class Model:
     """languages; per order the sorted hashes of grams with discounted probabilities, and of contexts with back-off weights."""
 
     def __init__(self, counts: dict[str, Counter]):
+        """counts: raw_grams of each language."""
         self.languages = sorted(counts)
-        self.uniform = 1 / (len(set().union(*[set("".join(words)) for words in counts.values()])) + 2)
+        self.uniform = 1 / (len({g for grams in counts.values() for g in grams if len(g) == 1} - {" "}) + 2)
         grams = [[] for _ in range(ORDER)]
         contexts = [[] for _ in range(ORDER)]
         for lang in self.languages:  # one language's dictionaries at a time
@@ -110,14 +113,22 @@ def _merged(tables: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple
     return keys, out
 
 
-def count_orders(words: Counter) -> list[Counter]:
-    """Counts for orders 1 to ORDER: of occurrences for the longest and for those that start a word, else of kinds of preceding characters."""
-    raw = [Counter() for _ in range(ORDER)]
+def raw_grams(words: dict[str, int]) -> Counter:
+    """Occurrences of the n-grams of orders 1 to ORDER that end at a predicted character of `` word ``. Those of more words add up."""
+    out: Counter = Counter()
     for w, c in words.items():
         s = f" {w} "
         for n in range(1, ORDER + 1):
             for i in range(max(n - 1, 1), len(s)):
-                raw[n - 1][s[i - n + 1 : i + 1]] += c
+                out[s[i - n + 1 : i + 1]] += c
+    return out
+
+
+def count_orders(grams: dict[str, int]) -> list[Counter]:
+    """Counts for orders 1 to ORDER: of occurrences for the longest and for those that start a word, else of kinds of preceding characters."""
+    raw = [Counter() for _ in range(ORDER)]
+    for g, c in grams.items():
+        raw[len(g) - 1][g] = c
     out = [Counter() for _ in range(ORDER)]
     out[-1] = raw[-1]
     for n in range(ORDER - 1, 0, -1):
@@ -178,12 +189,19 @@ class Identifier:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """At most MAX_DOCS documents of each language, by a hash of doc_id: ids first (a bounded table for each language), then texts."""
+    """At most MAX_DOCS documents of each language, by a hash of doc_id: (lang, text, dev, doc_id).
+
+    A threshold on the hash, from each language's count, leaves about twice as many where they are read (the chance of too few is below
+    1e-100); only those are ranked, so no language's ids meet in one task. The counts are one row a language, as the model is.
+    """
     from pyspark.sql import Window as W
 
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
-    own = able.select("doc_id", "lang").withColumn("place", order).where(F.col("place") <= MAX_DOCS).withColumn("n", F.count("*").over(W.partitionBy("lang")))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(DRAW))
+    most = able.groupBy("lang").agg(F.least(F.lit(DRAW).cast("double"), F.lit(2.0 * DRAW * MAX_DOCS) / F.count(F.lit(1))).alias("most"))
+    few = able.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(most), "lang").where(F.col("draw") < F.col("most"))
+    order = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    own = few.withColumn("place", order).where(F.col("place") <= MAX_DOCS).withColumn("n", F.count("*").over(W.partitionBy("lang")))
     held = F.col("place") <= F.greatest(F.least(F.lit(LEAST_DEV), F.floor(F.col("n") / 4)), F.ceil(F.col("n") / DEV), F.least(F.lit(1), F.col("n") - 1))
     ids = own.groupBy("doc_id", "lang").agg(F.max(held).alias("dev"))
     return able.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
@@ -208,44 +226,51 @@ def limits_of(h: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Identifier:
-    """Fitted on the word counts of the bounded sample, but for held-back documents that calibrate: one in DEV of a language, or more (a
-    quarter at most, but one of two or three) where that is under LEAST_DEV. Only where no language has two documents is there no limit."""
-    small_batches(docs.sparkSession)
-    sample = _sample(docs)
+    """Fitted on the n-gram counts of the bounded sample, but for held-back documents that calibrate: one in DEV of a language, or more (a
+    quarter at most, but one of two or three) where that is under LEAST_DEV. Only where no language has two documents is there no limit.
+    Texts are counted and scored in workers; n-gram counts (which an alphabet bounds, not the texts' lengths) reach the driver."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample = materialise(_sample(docs), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, Counter] = defaultdict(Counter)
+        words: dict[str, Counter] = {}
         for b in batches:
-            for doc, lang, text, dev in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text", "dev"))):
-                total[lang, doc if dev else None].update(words_of(text))
-        rows = [(lang, doc, w, c) for (lang, doc), words in total.items() for w, c in words.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["lang", "doc", "word", "n"])
-
-    got = sample.select("doc_id", "lang", "text", "dev").mapInArrow(count, "lang string, doc long, word string, n long")
-    counted = got.groupBy("lang", "doc", "word").agg(F.sum("n").alias("n")).orderBy("lang", F.desc("n"), "word").toArrow()
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                words.setdefault(lang, Counter()).update(words_of(text))
+            for lang in [k for k, v in words.items() if len(v) > CACHE]:
+                yield grams(lang, words.pop(lang))
+        for lang, own in words.items():
+            yield grams(lang, own)
+
+    def grams(lang: str, words: Counter) -> pa.RecordBatch:
+        got = raw_grams(words)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["lang", "gram", "n"])
+
+    counted = sample.where("not dev").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter] = {}
-    dev: dict[tuple, Counter] = defaultdict(Counter)
     for batch in counted.to_batches(max_chunksize=50_000):
-        for lang, doc, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            own = counts.setdefault(lang, Counter()) if doc is None else dev[lang, doc]
-            if doc is not None or len(own) < MAX_WORDS:
-                own[word] = n
+        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts.setdefault(lang, Counter())[gram] = n
     del counted
     model = Model(counts)
-    key = hash(tuple((k, len(v), v.total()) for k, v in counts.items()))
+    key = hash(tuple(sorted((k, len(v), v.total()) for k, v in counts.items())))
     n = len(model.languages)
-    at = {lang: i for i, lang in enumerate(model.languages)}
-    bits, truth, chars = [], [], []
-    for (lang, _), found in sorted(dev.items()):
-        if lang in at:
-            words, times = list(found), np.array(list(found.values()), float)
-            size = (times * np.array([len(w) + 1 for w in words])).sum()
-            bits.append((times[:, None] * -model.log_probs(words)).sum(axis=0) / size)
-            truth.append(at[lang])
-            chars.append(size)
     limits, sharpness = np.full(n, np.inf), 0.1
-    if bits:
-        h, y, size = np.array(bits), np.array(truth), np.minimum(np.array(chars), 1000)
+    if not n:
+        return Identifier(model, sharpness, limits, key)
+    at = {lang: i for i, lang in enumerate(model.languages)}
+    shared = spark.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, size = cross_entropies(shared.value, key, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("doc_id"), pa.array(list(h), pa.list_(pa.float64())), pa.array(size, pa.float64())], ["lang", "doc_id", "bits", "chars"])
+
+    dev = sample.where("dev").select("lang", "doc_id", "text").mapInArrow(weigh, "lang string, doc_id long, bits array<double>, chars double").collect()
+    dev = sorted((r for r in dev if r["lang"] in at and r["chars"]), key=lambda r: (r["lang"], r["doc_id"], r["bits"]))
+    if dev:
+        h, y, size = np.array([r["bits"] for r in dev]), np.array([at[r["lang"]] for r in dev]), np.minimum([r["chars"] for r in dev], 1000)
         limits = limits_of(h, y, n)
         gaps = (h - h.min(axis=1, keepdims=True)) * size[:, None]
         grid = np.geomspace(0.001, 1, 25)

@@ -18,7 +18,7 @@ def text(lang, n=60):
 
 def slow_model(counts, alphabet):
     """Interpolated Kneser-Ney from its definition, with dictionaries."""
-    orders = langid.count_orders(counts)
+    orders = langid.count_orders(langid.raw_grams(counts))
 
     def p(ctx, ch, n):
         if n == 0:
@@ -43,7 +43,7 @@ def slow_model(counts, alphabet):
 
 def test_log_probs_against_the_definition():
     counts = {k: Counter(text(k, 40).split()) for k in STEMS}
-    model = langid.Model(counts)
+    model = langid.Model({k: langid.raw_grams(c) for k, c in counts.items()})
     alphabet = len(set("".join("".join(c) for c in counts.values())))
     probes = ["lor", "lormip", "gej", "x", "ostlor", "ü"]
     got = model.log_probs(probes)
@@ -54,7 +54,7 @@ def test_log_probs_against_the_definition():
 
 
 def test_hash_arrays_are_sorted():
-    model = langid.Model({k: Counter(text(k, 40).split()) for k in STEMS})
+    model = langid.Model({k: langid.raw_grams(Counter(text(k, 40).split())) for k in STEMS})
     for grams, probs, contexts, backs in model.orders:
         assert (grams[1:] > grams[:-1]).all() and (contexts[1:] > contexts[:-1]).all() and len(grams) == len(probs) and len(contexts) == len(backs)
 
@@ -81,13 +81,13 @@ def test_nothing_to_learn_from(spark, docs):
 
 
 def test_order_of_counts():
-    assert langid.count_orders(Counter({"ab": 2}))[-1][" ab "] == 2
+    assert langid.count_orders(langid.raw_grams({"ab": 2}))[-1][" ab "] == 2
     seen = defaultdict(set)
     for w in ("ab", "cb"):
         s = f" {w} "
         for i in range(1, len(s)):
             seen[s[i]].add(s[i - 1])
-    assert langid.count_orders(Counter({"ab": 5, "cb": 1}))[0]["b"] == len(seen["b"])
+    assert langid.count_orders(langid.raw_grams({"ab": 5, "cb": 1}))[0]["b"] == len(seen["b"])
 
 
 def test_small_languages_reject_too(spark, docs):
@@ -104,3 +104,22 @@ def test_every_language_has_a_limit():
     h = np.array([[2.0, 9, 9], [2.2, 9, 9], [2.1, 9, 9], [9, 3.0, 9]])
     got = langid.limits_of(h, np.array([0, 0, 0, 1]), 3)
     assert np.isfinite(got).all() and got[0] > 2.2 and got[1] > got[0] and got[2] == got[1]
+
+
+def test_sample_is_the_smallest_hashes_without_a_task_of_a_whole_language(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "MAX_DOCS", 40)
+    langs = {i: "aa" if i % 4 else "bb" for i in range(2000)}
+    df = docs([(i, "lor") for i in langs] + [(3, "lor")], lang=langs)
+    got = {(r["lang"], r["doc_id"]) for r in langid._sample(df).collect()}
+    rows = df.distinct().select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(langid.SEED)), F.lit(langid.DRAW)).alias("h")).collect()
+    able = [(r["lang"], r["h"], r["doc_id"]) for r in rows if crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    want = {(lang, i) for lang in ("aa", "bb") for _, _, i in sorted(a for a in able if a[0] == lang)[:40]}
+    assert len(got) >= 78 and got <= want  # the repeated row may take two places
+
+
+def test_ties_go_to_the_first_language_by_name():
+    same = langid.raw_grams({"lor": 3, "mip": 2})
+    who = langid.Identifier(langid.Model({"bb": same, "aa": same}), 0.1, np.full(2, np.inf), 1)
+    assert [x[0] for x in who.identify(["lor mip", "lor"])] == ["aa", "aa"]
