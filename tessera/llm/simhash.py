@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -22,6 +23,8 @@ from tessera.llm.common import materialise, rows_of, small_batches, table
 from tessera.operators.components import component_labels
 
 RADIUS, PIVOTS, HOT, SHINGLE = 2, 16, 4096, 3
+#: keep_one() sends the rows to drop to all executors up to so many (three longs each); beyond it they are joined by shuffle.
+MOST_SENT = 2_000_000
 #: Shingle hashes that are held at once.
 PART = 1 << 16
 
@@ -48,15 +51,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and more columns of docs, which must be long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())], ["doc_id", "fp"])
+        for batch in batches:
+            at = 0
+            for ids, texts in rows_of(iter([batch])):
+                rest = [batch.column(c).slice(at, len(ids)) for c in more]
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()), *rest], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *more)))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -158,15 +165,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows. Documents with equal fingerprints are one vertex, so large groups of copies cost nothing beyond their rows.
     """
     fps = materialise(fingerprints(docs), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    whole = _least(fps, F.col("doc_id")).withColumnRenamed("least", "component_id")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return fps.join(whole, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def _least(fps: DataFrame, key: Column) -> DataFrame:
+    """(fp, least): for each distinct fp, the least key of its component's rows."""
+    distinct = fps.groupBy("fp").agg(F.min(key).alias("first"))
     edges = materialise(links(distinct.select("fp")), "simhash-links")
     # Only vertices with a link go through the components; the others are their own.
     labels = component_labels(edges)
-    firsts = labels.join(distinct, labels["node"] == distinct["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    of = labels.join(firsts, "component").select(F.col("node").alias("fp"), "component_id")
-    whole = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(whole, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    firsts = labels.join(distinct, labels["node"] == distinct["fp"]).groupBy("component").agg(F.min("first").alias("least"))
+    of = labels.join(firsts, "component").select(F.col("node").alias("fp"), "least")
+    return distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group, all columns: the row with the smallest doc_id, null ids last, then the first row by place.
+
+    Rows are told apart by their place (file and row number), so repeated ids and null ids leave one row as well. docs: doc_id, text and
+    any others, whose names may clash; if it is not read from Parquet it is written first. Null and wordless texts make one group. An
+    empty table stays empty. Only places and ids are shuffled; the texts pass a filter where they are read, as long as the rows to drop
+    are MOST_SENT or fewer.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialise(docs, "documents")
+    names: list[str] = []
+    for name in ("file", "row", "id"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    file, row, own = names
+    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    fps = materialise(fingerprints(placed, (file, row)), "simhash")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(file), F.col(row))
+    joined = fps.join(_least(fps, key), "fp")
+    extra = joined.where((F.col(file) != F.col("least")[file]) | (F.col(row) != F.col("least")[row])).select(F.col("doc_id").alias(own), file, row)
+    extra = materialise(extra, "simhash-extra")
+    # The id is compared too: two files whose paths have one hash cannot lose a row for each other.
+    same = placed[file].eqNullSafe(extra[file]) & placed[row].eqNullSafe(extra[row]) & placed["doc_id"].eqNullSafe(extra[own])
+    return placed.join(F.broadcast(extra) if extra.count() <= MOST_SENT else extra, same, "left_anti").select(*[placed[c] for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,22 @@ def test_registry_names():
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(registry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language id", "simhash near-dedup", "packing"]
+
+
+def test_stages_take_nulls_repeats_and_giants(spark, folder, tmp_path):
+    giant = " ".join("".join(rng.choices(STEMS["aa"], k=6)) for _ in range(120_000))
+    rows = [(1, None, None, None, None), (None, None, "aa", "s", 1), (2, "", "aa", "s", 0), (3, giant, "aa", "s", 1), (3, giant, "aa", "s", 1), (None, giant, None, None, None), (None, text("bb"), "bb", "s", 1), (4, text("aa"), None, "s", 1)]
+    made = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, file long")
+    extra = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'x' AS component_id", "1L AS file").where("doc_id < 120")
+    path = str(tmp_path / "d.parquet")
+    made.union(extra).write.parquet(path)
+    docs, seen = spark.read.parquet(path), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, folder), name.replace(" ", "-"))
+        assert docs.columns == made.columns
+        seen.append([(r["doc_id"], len(r["text"] or "")) for r in docs.where("component_id = 'clash'").collect()])
+    known = [(3, len(giant)), (3, len(giant)), (None, len(giant)), (None, len(rows[6][1])), (4, len(rows[7][1]))]
+    assert sorted(seen[1], key=str) == sorted(known, key=str)
+    assert sorted(seen[2], key=str) == sorted([(3, len(giant)), (None, len(rows[6][1])), (4, len(rows[7][1]))], key=str)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
+    assert (out.groupby("sequence_id")["length"].sum() <= packing.CAPACITY).all() and 3 in set(out["doc_id"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -120,3 +121,24 @@ def test_many_copies_make_few_rows(spark, docs):
     rows = [(i, "same text over and over") for i in range(3000)] + [(5000 + i, " ".join(rng.choices(WORDS, k=50))) for i in range(20)]
     got = simhash.near_duplicates(docs(rows))
     assert got.where("doc_id < 3000").select("component_id").distinct().collect()[0][0] == 0 and got.count() == len(rows)
+
+
+def kept(df):
+    return sorted(simhash.keep_one(df).select("doc_id", "text").collect(), key=str)
+
+
+@pytest.mark.parametrize("most", [simhash.MOST_SENT, 0])
+def test_one_row_of_each_group(spark, docs, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_SENT", most)
+    long = "one two three four five six seven " * 50
+    rows = [(5, long), (3, long), (9, long), (9, long), (None, long), (None, "alone and null"), (None, "alone and null"), (7, None), (8, ""), (6, "  "), (1, "quite another text with its own words"), (1, "quite another text with its own words"), (1, "same id, other words in this text"), (20, "x " * 200_000)]
+    want = sorted([(3, long), (None, "alone and null"), (6, "  "), (1, rows[10][1]), (1, rows[12][1]), (20, rows[13][1])], key=str)
+    df = docs(rows).withColumnRenamed("score", "file").withColumnRenamed("class", "row")
+    assert [tuple(r) for r in kept(df)] == want and simhash.keep_one(df).columns == df.columns
+    path = str(tmp_path / "d.parquet")
+    df.repartition(5).write.parquet(path)
+    read = spark.read.parquet(path)
+    assert [tuple(r) for r in kept(read)] == want and simhash.keep_one(read).columns == df.columns
+    assert kept(read.where("doc_id < 0")) == []
+    plan = simhash.keep_one(read)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or not most
