@@ -9,23 +9,23 @@ from tessera.llm.common import materialise, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts fail the base rules; repeated rows share their verdict."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: neither `und` nor rejected."""
+    """Documents whose language is known: neither `und` (null texts, texts without a letter) nor rejected. Of equal cross-entropies the first
+    language by name counts; rows with a null lang are judged, not learned from."""
     return langid.keep_known(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id. Rows that repeat a doc_id count as one document."""
-    extra = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group: the smallest doc_id, null ids last. Repeated rows and rows that repeat an id leave one row."""
+    return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences. A null or empty text is its end token alone; long texts are cut, never dropped."""
     return packing.pack(docs)
 
 
