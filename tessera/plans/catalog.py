@@ -245,8 +245,39 @@ def brand_sql(x: str) -> str:
 GENERIC = ", ".join(f"'{w}'" for w in rules.GENERIC_WORDS)
 BRANDS = f"""brands AS (SELECT parent_lei, parent_name, brand_token, _ord FROM (SELECT lei AS parent_lei, legal_name AS parent_name, _ord, {brand_sql('legal_name')} AS brand_token, row_number() OVER (PARTITION BY {brand_sql('legal_name')} ORDER BY _ord) AS k FROM parents)
 WHERE k = 1 AND length(brand_token) >= 4 AND length(array_to_string(list_filter(string_split(brand_token, ' '), lambda w: w <> '' AND w NOT IN ({GENERIC})), ' ')) >= 4)"""
-EXACT = f"""scored AS (SELECT d.lei, b.parent_lei, b.brand_token, b._ord, string_split({brand_sql('d.legal_name')}, ' ') AS e, string_split(b.brand_token, ' ') AS w, {clean_sql('d.legal_name')} AS name FROM domestic d CROSS JOIN brands b WHERE d.lei NOT IN (SELECT source_lei FROM relationships)),
-exact AS (SELECT lei, parent_lei AS matched_parent_lei, brand_token, 100.0::DOUBLE AS match_score, 'legal_name' AS match_field FROM (SELECT *, row_number() OVER (PARTITION BY lei ORDER BY _ord) AS k FROM scored WHERE contains(' ' || name || ' ', ' ' || brand_token || ' ') OR (list_has_all(e, w) OR list_has_all(w, e))) WHERE k = 1)"""
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of up to 120 characters: one bit vector, folded over the other's characters."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT)"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {masks}), lambda s, m: (((s + (s & m)) | (s - (s & m))) & {full}))))"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * {lcs_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def matched_sql(threshold: int = 90) -> str:
+    """Every unlinked entity's name against every brand; the best of threshold or more."""
+    return f"""cand AS (SELECT DISTINCT {clean_sql('legal_name')} AS name FROM domestic WHERE lei NOT IN (SELECT source_lei FROM relationships) AND {clean_sql('legal_name')} <> ''),
+tokens AS (SELECT DISTINCT {brand_sql('name')} AS token FROM cand),
+sets AS (SELECT token, brand_token, parent_lei, _ord, list_sort(list_distinct({words_sql('brand_token')})) AS x, list_sort(list_distinct({words_sql('token')})) AS y FROM tokens CROSS JOIN brands),
+parts AS (SELECT *, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS common_, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS only_a, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS only_b FROM sets),
+wholes AS (SELECT *, trim(common_ || ' ' || only_a) AS wa, trim(common_ || ' ' || only_b) AS wb FROM parts),
+rated AS (SELECT token, brand_token, parent_lei, _ord, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN common_ <> '' AND (only_a = '' OR only_b = '') THEN 100.0
+ ELSE greatest({ratio_sql('wa', 'wb')}, CASE WHEN common_ = '' THEN 0.0 ELSE 200.0::DOUBLE * length(common_) / (length(common_) + length(wa)) END, CASE WHEN common_ = '' THEN 0.0 ELSE 200.0::DOUBLE * length(common_) / (length(common_) + length(wb)) END) END AS raw FROM wholes),
+scored AS (SELECT name, parent_lei, brand_token, _ord, CASE WHEN contains(' ' || name || ' ', ' ' || brand_token || ' ') THEN 100.0::DOUBLE WHEN raw >= {threshold} AND NOT list_has_any(list_filter({words_sql('brand_token')}, lambda w: w NOT IN ({GENERIC})), {words_sql('name')}) THEN greatest(raw - {rules.MISSING_BRAND_PENALTY}, 0) ELSE raw END AS score
+ FROM cand JOIN rated ON token = {brand_sql('name')}),
+best_names AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, _ord) AS k FROM scored WHERE score >= {threshold}) WHERE k = 1),
+matched AS (SELECT lei, parent_lei AS matched_parent_lei, brand_token, score AS match_score, 'legal_name' AS match_field FROM domestic JOIN best_names ON name = {clean_sql('legal_name')} WHERE lei NOT IN (SELECT source_lei FROM relationships))"""
+
+
+MATCHED = matched_sql()
 
 
 @query(f"SELECT lei, {clean_sql('legal_name')} AS legal_name_clean FROM entities", "entities")
@@ -259,28 +290,38 @@ def brand_tokens(spark, sf):
     return names.brand_tokens(At(spark, sf).parents).select("parent_lei", "parent_name", "brand_token")
 
 
-def _matches(a: At, threshold: int = 100) -> DataFrame:
+def _matches(a: At, threshold: int = 90) -> DataFrame:
     return names.match_names(a.domestic, names.brand_tokens(a.parents), a.relationships.select(F.col("source_lei").alias("lei")), threshold)
 
 
-@query(f"{BRANDS}, {EXACT} SELECT * FROM exact", "domestic", "parents", "relationships")
+@query(f"{BRANDS}, {matched_sql(100)} SELECT * FROM matched", "domestic", "parents", "relationships")
 def name_match_exact(spark, sf):
-    return _matches(Shared(spark, sf))
+    return _matches(Shared(spark, sf), 100)
 
 
-@query()
+@query(f"{BRANDS}, {MATCHED} SELECT lei, matched_parent_lei, brand_token, round(match_score, 6) AS match_score, match_field FROM matched", "domestic", "parents", "relationships")
 def name_match_fuzzy(spark, sf):
-    return _matches(Shared(spark, sf), 90)
+    return r6(_matches(Shared(spark, sf)), "match_score")
+
 
+@query(f"{BRANDS}, {matched_sql(80)} SELECT lei, matched_parent_lei, brand_token, round(match_score, 6) AS match_score, match_field FROM matched", "domestic", "parents", "relationships")
+def name_match_loose(spark, sf):
+    """At 80, where a brand may match without a distinctive word of its own."""
+    return r6(_matches(Shared(spark, sf), 80), "match_score")
 
-@query(f"{BRANDS}, {EXACT} SELECT lei AS source_lei, matched_parent_lei AS target_lei, 'inferred_name_match' AS relationship_type, 'INFERRED' AS relationship_status, match_score AS inference_score FROM exact", "domestic", "parents", "relationships")
+
+@query(f"{BRANDS}, {MATCHED} SELECT lei AS source_lei, matched_parent_lei AS target_lei, 'inferred_name_match' AS relationship_type, 'INFERRED' AS relationship_status, round(match_score, 6) AS inference_score FROM matched WHERE match_score >= 95", "domestic", "parents", "relationships")
 def inferred_name_edges(spark, sf):
-    return names.inferred_edges(_matches(At(spark, sf))).select("source_lei", "target_lei", "relationship_type", "relationship_status", "inference_score")
+    return r6(names.inferred_edges(_matches(At(spark, sf)), 95).select("source_lei", "target_lei", "relationship_type", "relationship_status", "inference_score"), "inference_score")
+
 
+SPREAD = ("mean_score", "std_score", "min_score", "p25_score", "p50_score", "p75_score", "max_score")
 
-@query(f"{BRANDS}, {EXACT} SELECT count(*) AS total_matches, count(*) AS high_confidence, 0::BIGINT AS medium_confidence, count(DISTINCT brand_token) AS unique_brands, count(DISTINCT matched_parent_lei) AS unique_parents, avg(match_score) AS mean_score FROM exact", "domestic", "parents", "relationships")
+
+@query(f"""{BRANDS}, {matched_sql(80)} SELECT count(*) AS total_matches, count(*) FILTER (match_score >= 90) AS high_confidence, count(*) FILTER (match_score >= 80 AND match_score < 90) AS medium_confidence, count(DISTINCT brand_token) AS unique_brands, count(DISTINCT matched_parent_lei) AS unique_parents,
+round(avg(match_score), 6) AS mean_score, round(stddev(match_score), 6) AS std_score, round(min(match_score), 6) AS min_score, round(quantile_cont(match_score, 0.25), 6) AS p25_score, round(quantile_cont(match_score, 0.5), 6) AS p50_score, round(quantile_cont(match_score, 0.75), 6) AS p75_score, round(max(match_score), 6) AS max_score FROM matched""", "domestic", "parents", "relationships")
 def name_match_summary(spark, sf):
-    return names.match_summary(_matches(At(spark, sf))).select("total_matches", "high_confidence", "medium_confidence", "unique_brands", "unique_parents", "mean_score")
+    return r6(names.match_summary(_matches(At(spark, sf), 80)), *SPREAD)
 
 
 @query(f"SELECT e.lei, cik, ticker, title, CAST(cik IS NOT NULL AS INT) AS appears_in_edgar FROM entities e LEFT JOIN tickers t ON {clean_sql('e.legal_name')} = {clean_sql('t.title')}", "entities", "tickers")
@@ -301,17 +342,44 @@ def registry_names(spark, sf):
     return At(spark, sf).registry.select("ctos_name", text.registry_name("ctos_name").alias("ctos_name_norm"))
 
 
-@query(f"""SELECT d.lei, d.legal_name, ctos_name, ctos_url, ctos_registration_no, 100.0::DOUBLE AS ctos_match_score, 'exact' AS ctos_match_method, 1 AS ctos_registered_malaysia
-FROM domestic d JOIN (SELECT *, {registry_sql('ctos_name')} AS norm, row_number() OVER (PARTITION BY {registry_sql('ctos_name')} ORDER BY _ord) AS k FROM registry) r ON r.k = 1 AND r.norm = {registry_sql('d.legal_name')}""", "domestic", "registry")
+def _listed(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def registry_matches_sql(threshold: int = 95) -> str:
+    """Every name against every registry name that its length admits; the best, if it is safe."""
+    t = threshold / 100
+    sort = lambda x: f"array_to_string(list_sort({words_sql(x)}), ' ')"
+    tokens = lambda x: f"list_filter({words_sql(x)}, lambda w: length(w) > 1 AND w NOT IN ({_listed(rules.REGISTRY_GENERIC)}))"
+    return f"""firsts AS (SELECT ctos_name, ctos_url, ctos_registration_no, norm, _ord AS choice FROM (SELECT *, {registry_sql('ctos_name')} AS norm, row_number() OVER (PARTITION BY {registry_sql('ctos_name')} ORDER BY _ord) AS k FROM registry) WHERE k = 1),
+owns AS (SELECT lei, legal_name, {registry_sql('legal_name')} AS own FROM domestic WHERE {registry_sql('legal_name')} <> ''),
+probes AS (SELECT own, {sort('own')} AS oa FROM (SELECT DISTINCT own FROM owns) WHERE own NOT IN (SELECT norm FROM firsts)), sorted_ AS (SELECT *, {sort('norm')} AS ob FROM firsts),
+tried AS (SELECT own, norm, choice, ctos_name, ctos_url, ctos_registration_no, {ratio_sql('oa', 'ob')} AS score FROM probes JOIN sorted_ ON length(oa) <= length(ob) * {(2 - t) / t} + 1 AND length(ob) <= length(oa) * {(2 - t) / t} + 1),
+tops AS (SELECT *, {tokens('own')} AS ta, {tokens('norm')} AS tb FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, choice) AS k FROM tried WHERE score >= {threshold}) WHERE k = 1),
+strong AS (SELECT *, len(list_filter(list_distinct(list_intersect(ta, tb)), lambda w: w NOT IN ({_listed(rules.REGISTRY_WEAK)}))) AS n, ta[1] AS fa, tb[1] AS fb FROM tops WHERE len(ta) > 0 AND len(tb) > 0),
+reg AS (SELECT lei, legal_name, ctos_name, ctos_url, ctos_registration_no, 100.0::DOUBLE AS ctos_match_score, 'exact' AS ctos_match_method FROM owns JOIN firsts ON norm = own
+ UNION ALL SELECT lei, legal_name, ctos_name, ctos_url, ctos_registration_no, round(score, 4), 'fuzzy' FROM owns JOIN (SELECT * FROM strong WHERE n > 0 AND (fa = fb OR n >= 2 OR {ratio_sql('fa', 'fb')} >= {rules.REGISTRY_FIRST_TOKEN_RATIO})) USING (own))"""
+
+
+REGISTRY = registry_matches_sql()
+
+
+@query(f"{REGISTRY} SELECT *, 1 AS ctos_registered_malaysia FROM reg WHERE ctos_match_method = 'exact'", "domestic", "registry")
 def registry_match_exact(spark, sf):
     a = At(spark, sf)
     return names.match_registry(a.domestic, a.registry).where("ctos_match_method = 'exact'")
 
 
-@query()
+@query(f"{REGISTRY} SELECT *, 1 AS ctos_registered_malaysia FROM reg", "domestic", "registry")
 def registry_match(spark, sf):
     a = At(spark, sf)
-    return names.match_registry(a.domestic, a.registry, 90)
+    return names.match_registry(a.domestic, a.registry)
+
+
+@query(f"{registry_matches_sql(85)} SELECT *, 1 AS ctos_registered_malaysia FROM reg", "domestic", "registry")
+def registry_match_loose(spark, sf):
+    a = At(spark, sf)
+    return names.match_registry(a.domestic, a.registry, 85)
 
 
 # ---- Addresses. ----
@@ -354,7 +422,6 @@ def address_cluster_summary(spark, sf):
 # ---- The ladder. ----
 
 FIRST = "SELECT source_lei AS lei, arg_min(target_lei, _ord) AS {kind}_lei FROM relationships WHERE relationship_type = '{kind}' GROUP BY 1"
-REGISTRY = f"reg AS (SELECT d.lei, r.ctos_name, r.ctos_url, r.ctos_registration_no FROM domestic d JOIN (SELECT *, {registry_sql('ctos_name')} AS norm, row_number() OVER (PARTITION BY {registry_sql('ctos_name')} ORDER BY _ord) AS k FROM registry) r ON r.k = 1 AND r.norm = {registry_sql('d.legal_name')})"
 KNOWN = ", ".join(f"'{s}'" for s in rules.KNOWN_SOURCES)
 GUESSED = ", ".join(f"'{s}'" for s in rules.INFERRED_SOURCES)
 
@@ -376,7 +443,7 @@ def _rung(name: str) -> str:
     return "CASE " + " ".join(f"WHEN {when} THEN {out[name]}" for when, out in rungs) + " END"
 
 
-LADDER = f"""{EXC}, {UPSTREAM}, {BRANDS}, {EXACT}, {CLUSTERS}, {INFERRED}, {REGISTRY},
+LADDER = f"""{EXC}, {UPSTREAM}, {BRANDS}, {MATCHED}, {CLUSTERS}, {INFERRED}, {REGISTRY},
 climbed AS (SELECT d.*, dp.direct_parent_lei, up.ultimate_parent_lei, CASE WHEN u.chain_parent_lei NOT IN (dp.direct_parent_lei, d.lei) THEN u.chain_parent_lei END AS chain_lei, u.chain_parent_relationship_type AS raw_type
  FROM domestic d LEFT JOIN ({FIRST.format(kind='direct_parent')}) dp USING (lei) LEFT JOIN ({FIRST.format(kind='ultimate_parent')}) up USING (lei) LEFT JOIN upstream u ON u.direct_parent_lei = dp.direct_parent_lei),
 chained AS (SELECT c.*, e.legal_name AS chain_name, e.country_legal AS chain_country, CASE WHEN chain_lei IS NOT NULL THEN raw_type END AS chain_type FROM climbed c LEFT JOIN entities e ON e.lei = chain_lei),
@@ -384,18 +451,18 @@ uie AS (SELECT 'MY' AS host_country, x.lei, x.legal_name, x.country_legal AS ent
  chain_lei AS chain_parent_lei, chain_name AS chain_parent_name, chain_country AS chain_parent_country, chain_type AS chain_parent_relationship_type, {_rung('lei')} AS uie_lei, {_rung('name')} AS uie_name, {_rung('country')} AS uie_country, {_rung('source')} AS uie_source, {_rung('tier')} AS evidence_tier, CAST({_rung('confidence')} AS DOUBLE) AS uie_confidence,
  CAST({_rung('source')} IN ({KNOWN}) AS INT) AS is_known_uie, CAST({_rung('source')} IN ({GUESSED}) AS INT) AS is_inferred_uie, CAST(coalesce(exception_reason = 'NON_CONSOLIDATING', false) AS INT) AS is_non_consolidating, exception_reason,
  m.matched_parent_lei, me.legal_name AS matched_parent_name, me.country_legal AS matched_parent_country, m.brand_token, m.match_score, i.inferred_parent_lei, ae.legal_name AS address_parent_name, ae.country_legal AS address_parent_country, i.confidence,
- p.predicted_parent_country, p.prediction_probability, p.confidence_gap, p.top3_countries, p.top3_probabilities, CAST(g.ctos_name IS NOT NULL AS INT) AS ctos_registered_malaysia, g.ctos_name, g.ctos_registration_no, CASE WHEN g.ctos_name IS NOT NULL THEN 100.0::DOUBLE END AS ctos_match_score, CASE WHEN g.ctos_name IS NOT NULL THEN 'exact' END AS ctos_match_method, g.ctos_url,
+ p.predicted_parent_country, p.prediction_probability, p.confidence_gap, p.top3_countries, p.top3_probabilities, CAST(g.ctos_name IS NOT NULL AS INT) AS ctos_registered_malaysia, g.ctos_name, g.ctos_registration_no, g.ctos_match_score, g.ctos_match_method, g.ctos_url,
  o.override_reason, o.source_url, o.source_note
- FROM chained x LEFT JOIN entities de ON de.lei = x.direct_parent_lei LEFT JOIN entities ue ON ue.lei = x.ultimate_parent_lei LEFT JOIN exc ON exc.lei = x.lei LEFT JOIN exact m ON m.lei = x.lei LEFT JOIN entities me ON me.lei = m.matched_parent_lei
+ FROM chained x LEFT JOIN entities de ON de.lei = x.direct_parent_lei LEFT JOIN entities ue ON ue.lei = x.ultimate_parent_lei LEFT JOIN exc ON exc.lei = x.lei LEFT JOIN matched m ON m.lei = x.lei LEFT JOIN entities me ON me.lei = m.matched_parent_lei
  LEFT JOIN inferred i ON i.lei = x.lei LEFT JOIN entities ae ON ae.lei = i.inferred_parent_lei LEFT JOIN predictions p ON p.lei = x.lei LEFT JOIN reg g ON g.lei = x.lei LEFT JOIN overrides o ON o.lei = x.lei)"""
 LADDER_TABLES = ("entities", "relationships", "exceptions", "addresses", "predictions", "overrides", "registry")
 
 
 def _assignments(a: At) -> DataFrame:
-    """All customers as domestic entities of MY, with every kind of evidence; registry and names by exact matches."""
+    """All customers as domestic entities of MY, with every kind of evidence at the operators' own thresholds."""
     inferred = clusters.infer_cluster_parents(clusters.cluster_by_address(a.addresses), a.relationships)
-    exact = names.match_registry(a.domestic, a.registry).where("ctos_match_method = 'exact'")
-    return ladder.build_uie_assignments(a.domestic, a.relationships, a.entities, exceptions=a.exceptions, name_matches=_matches(a), address_inferred=inferred, jurisdiction_predictions=a.predictions, registry_matches=exact, overrides=a.overrides, host_scope=False)
+    registry = names.match_registry(a.domestic, a.registry)
+    return ladder.build_uie_assignments(a.domestic, a.relationships, a.entities, exceptions=a.exceptions, name_matches=_matches(a), address_inferred=inferred, jurisdiction_predictions=a.predictions, registry_matches=registry, overrides=a.overrides, host_scope=False)
 
 
 @query(f"{LADDER} SELECT * FROM uie", *LADDER_TABLES)
@@ -426,8 +493,8 @@ def uie_source_mix(spark, sf):
 # ---- Score and review. ----
 
 SCORED = f"""{SUMMARY}, {FLAGS}, {FOREIGN}, flagged AS (SELECT s.*, coalesce(has_parent_link, 0) AS has_parent_link, coalesce(has_ultimate_link, 0) AS has_ultimate_link, coalesce(foreign_parent, 0) AS foreign_parent, CAST(coalesce(exception_reason = 'NON_CONSOLIDATING', false) AS INT) AS is_non_consolidating, CAST(exception_reason IS NOT NULL AS INT) AS has_exception_filed,
- CAST(exact.lei IS NOT NULL AS INT) AS has_inferred_parent, CAST(c.lei IS NOT NULL AS INT) AS in_address_cluster, CAST(s.lei LIKE 'S%0' AS INT) AS appears_in_edgar
- FROM summary s LEFT JOIN flags USING (lei) LEFT JOIN foreign_flags USING (lei) LEFT JOIN exc ON exc.lei = s.lei LEFT JOIN exact ON exact.lei = s.lei LEFT JOIN (SELECT DISTINCT lei FROM clusters) c ON c.lei = s.lei),
+ CAST(matched.lei IS NOT NULL AS INT) AS has_inferred_parent, CAST(c.lei IS NOT NULL AS INT) AS in_address_cluster, CAST(s.lei LIKE 'S%0' AS INT) AS appears_in_edgar
+ FROM summary s LEFT JOIN flags USING (lei) LEFT JOIN foreign_flags USING (lei) LEFT JOIN exc ON exc.lei = s.lei LEFT JOIN matched ON matched.lei = s.lei LEFT JOIN (SELECT DISTINCT lei FROM clusters) c ON c.lei = s.lei),
 scaled AS (SELECT *, ln(1 + size_proxy) / greatest((SELECT max(ln(1 + size_proxy)) FROM flagged), 1.0) AS size_scaled FROM flagged),
 scored_rows AS (SELECT *, 0.25 * size_scaled + 0.15 * appears_in_edgar + 0.15 * foreign_parent + 0.1 * has_inferred_parent + 0.05 * in_address_cluster + 0.05 * is_non_consolidating + 0.15 * (1 - has_parent_link) + 0.1 * (1 - has_ultimate_link) AS score,
  concat_ws(';', CASE WHEN size_scaled > 0.6 THEN 'large_network_presence' END, CASE WHEN appears_in_edgar = 1 THEN 'us_filing_presence' END, CASE WHEN foreign_parent = 1 THEN 'foreign_parent_signal' END, CASE WHEN has_inferred_parent = 1 THEN 'inferred_parent_match' END, CASE WHEN in_address_cluster = 1 THEN 'shared_address_cluster' END, CASE WHEN is_non_consolidating = 1 THEN 'non_consolidating_entity' END, CASE WHEN has_parent_link = 0 THEN 'missing_direct_parent' END, CASE WHEN has_ultimate_link = 0 THEN 'missing_ultimate_parent' END) AS reason_flags FROM scaled)"""
@@ -560,18 +627,25 @@ def outward_source_summary(spark, sf):
     return r6(macro.outward_source_summary(macro.outward_bilateral(_counts(a), _positions(a, "Outward"))), "outward_fdi_usd_mn", "outward_fdi_usd_bn", "asean_outward_lei_density")
 
 
-@query(f"""{LADDER}, {COUNTS}, {INWARD}, pairs AS (SELECT host, entity_count AS x, fdi_usd_mn AS y FROM counts JOIN inward USING (host, parent)), both_ AS (SELECT * FROM pairs UNION ALL SELECT 'ALL', x, y FROM pairs),
-ranked AS (SELECT host, rank() OVER (PARTITION BY host ORDER BY x) + (count(*) OVER (PARTITION BY host, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY host ORDER BY y) + (count(*) OVER (PARTITION BY host, y) - 1) / 2.0 AS ry FROM both_)
-SELECT host, count(*) AS n_pairs, round(corr(rx, ry), 6) AS rho FROM ranked GROUP BY 1 HAVING count(*) >= 3 OR host = 'ALL'""", *LADDER_TABLES, "positions")
+RANKED = f"""{LADDER}, {COUNTS}, {INWARD}, pairs AS (SELECT host, entity_count AS x, fdi_usd_mn AS y FROM counts JOIN inward USING (host, parent)), both_ AS (SELECT * FROM pairs UNION ALL SELECT 'ALL', x, y FROM pairs),
+ranked AS (SELECT host, rank() OVER (PARTITION BY host ORDER BY x) + (count(*) OVER (PARTITION BY host, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY host ORDER BY y) + (count(*) OVER (PARTITION BY host, y) - 1) / 2.0 AS ry FROM both_),
+rhos AS (SELECT host, count(*) AS n_pairs, corr(rx, ry) AS rho FROM ranked GROUP BY 1 HAVING count(*) >= 3 OR host = 'ALL')"""
+#: Student's t with a whole number of degrees of freedom has a finite sum in sine and cosine of atan(t / sqrt(df)).
+TAILS = """angles AS (SELECT *, n_pairs - 2 AS df, atan(abs(rho) / sqrt(1 - rho * rho)) AS a FROM rhos),
+tails AS (SELECT host, n_pairs, rho, CASE WHEN n_pairs < 3 OR rho IS NULL OR isnan(rho) THEN NULL WHEN abs(rho) >= 1 THEN 0.0 WHEN df % 2 = 0 THEN 1 - sin(a) * list_sum(list_transform(range(df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * cos(a) ** (2 * k)))
+ ELSE 1 - 2 / pi() * (a + coalesce(sin(a) * list_sum(list_transform(range((df - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * cos(a) ** (2 * k + 1))), 0)) END AS p_value FROM angles)"""
+
+
+@query(f"{RANKED} SELECT host, n_pairs, round(rho, 6) AS rho FROM rhos", *LADDER_TABLES, "positions")
 def spearman_by_host(spark, sf):
     a = Shared(spark, sf)
     return r6(macro.spearman_by_host(_counts(a), _positions(a, "Inward"), with_p=False), "rho")
 
 
-@query()
+@query(f"{RANKED}, {TAILS} SELECT host, n_pairs, round(rho, 6) AS rho, round(p_value, 6) AS p_value, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' WHEN p_value < 0.1 THEN '.' ELSE '' END AS stars FROM tails", *LADDER_TABLES, "positions")
 def spearman_significance(spark, sf):
     a = Shared(spark, sf)
-    return macro.spearman_by_host(_counts(a), _positions(a, "Inward"))
+    return r6(macro.spearman_by_host(_counts(a), _positions(a, "Inward")), "rho", "p_value")
 
 
 @query(f"{LADDER}, {COUNTS}, {INWARD} SELECT parent, CAST(sum(entity_count) AS BIGINT) AS total_entities, round(sum(fdi_usd_mn), 6) AS total_fdi_usd_mn, count(DISTINCT host) AS n_hosts, round(sum(fdi_usd_mn) / 1000, 3) AS fdi_usd_bn, round(sum(entity_count) / (sum(fdi_usd_mn) / 1000) * 10, 1) AS entities_per_10bn FROM counts JOIN inward USING (host, parent) GROUP BY 1 HAVING sum(fdi_usd_mn) >= 500", *LADDER_TABLES, "positions")
@@ -599,12 +673,14 @@ def jurisdiction_labels(spark, sf):
     return jurisdiction.training_labels(a.relationships, a.parents)
 
 
-@query(f"""{EXC} SELECT d.lei, coalesce(d.category, 'UNKNOWN') AS category_cat, CASE WHEN legal_form IN (SELECT legal_form FROM domestic GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) THEN legal_form ELSE 'OTHER' END AS legal_form_cat, coalesce(n, 0) AS city_frequency, CAST(coalesce(year(try_cast(registered_at AS DATE)), 0) AS INT) AS registration_year,
-CAST(len(list_filter(string_split_regex(legal_name, '\\s+'), lambda w: w <> '')) AS INT) AS name_token_count, CAST(length(legal_name) AS INT) AS name_length, {', '.join(f"CAST(regexp_matches(upper(legal_name), '{p}') AS INT) AS {n}" for n, p in rules.country_rules('MY').name_features)},
-CAST(coalesce(exception_reason = 'NON_CONSOLIDATING', false) AS INT) AS is_non_consolidating, CAST(exception_reason IS NOT NULL AS INT) AS has_exception FROM domestic d LEFT JOIN (SELECT city_legal, count(*) AS n FROM domestic WHERE city_legal IS NOT NULL GROUP BY 1) USING (city_legal) LEFT JOIN exc ON exc.lei = d.lei""", "domestic", "exceptions")
+@query(f"""{SUMMARY}, {EXC} SELECT d.lei, coalesce(d.category, 'UNKNOWN') AS category_cat, CASE WHEN d.legal_form IN (SELECT legal_form FROM domestic GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) THEN d.legal_form ELSE 'OTHER' END AS legal_form_cat, coalesce(n, 0) AS city_frequency, CAST(coalesce(year(try_cast(registered_at AS DATE)), 0) AS INT) AS registration_year,
+CAST(len(list_filter(string_split_regex(d.legal_name, '\\s+'), lambda w: w <> '')) AS INT) AS name_token_count, CAST(length(d.legal_name) AS INT) AS name_length, {', '.join(f"CAST(regexp_matches(upper(d.legal_name), '{p}') AS INT) AS {n}" for n, p in rules.country_rules('MY').name_features)},
+CAST(coalesce(exception_reason = 'NON_CONSOLIDATING', false) AS INT) AS is_non_consolidating, CAST(exception_reason IS NOT NULL AS INT) AS has_exception,
+s.in_degree::DOUBLE AS in_degree, s.out_degree::DOUBLE AS out_degree, round(s.pagerank, 6) AS pagerank, round(s.degree_centrality, 6) AS degree_centrality, s.weakly_connected_component_size::DOUBLE AS weakly_connected_component_size
+FROM domestic d LEFT JOIN (SELECT city_legal, count(*) AS n FROM domestic WHERE city_legal IS NOT NULL GROUP BY 1) USING (city_legal) LEFT JOIN exc ON exc.lei = d.lei LEFT JOIN summary s ON s.lei = d.lei""", "entities", "relationships", "exceptions")
 def jurisdiction_features(spark, sf):
-    a = At(spark, sf)
-    return jurisdiction.features(a.domestic, None, a.exceptions).drop("in_degree", "out_degree", "pagerank", "degree_centrality", "weakly_connected_component_size")
+    a = Shared(spark, sf)
+    return r6(jurisdiction.features(a.domestic, _summary(a), a.exceptions), "pagerank", "degree_centrality")
 
 
 @query()
@@ -630,13 +706,13 @@ def pair_features(spark, sf):
     return r6(graph.pair_features(pairs, edges, graph.pair_stats(nodes, edges, max_iter=RANKS, tol=0)), "jaccard_coefficient", "adamic_adar", "source_pagerank", "target_pagerank")
 
 
-HOPS = 6  # of the SQL alone: the query searches until no node is left, so the two agree where none is further off
+# Nodes once each, with their distance: a node that is there already does not come again, so the search ends by itself.
+WALK = "walk AS (SELECT lei, min(label) AS label, 0 AS hops FROM known GROUP BY 1 UNION SELECT und.v, min(walk.label), min(walk.hops) + 1 FROM walk JOIN und ON walk.lei = und.u WHERE und.v NOT IN (SELECT lei FROM recurring.walk) GROUP BY 1)"
 
 
-@query(f"""{EDGES}, {REACH}, {LABELS}, known AS (SELECT lei, parent_country AS label FROM labels_), walk AS (SELECT lei, label, 0 AS hops FROM known UNION SELECT und.v, label, hops + 1 FROM walk JOIN und ON walk.lei = und.u WHERE hops < {HOPS}),
-best AS (SELECT lei, hops, min(label) AS label FROM (SELECT *, min(hops) OVER (PARTITION BY lei) AS least FROM walk) WHERE hops = least AND hops > 0 GROUP BY 1, 2),
+@query(f"""{EDGES}, {REACH}, {LABELS}, known AS (SELECT lei, parent_country AS label FROM labels_ WHERE lei IN (SELECT lei FROM nodes)), {WALK.replace('walk AS', 'walk (lei, label, hops) USING KEY (lei) AS')},
 votes AS (SELECT component, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY component) AS whole FROM known JOIN comps USING (lei) GROUP BY 1, 2)
-SELECT best.lei, best.label AS propagated_country, round(n / whole * (1.0 / (1 + hops)), 4)::DOUBLE AS confidence, hops FROM best JOIN comps USING (lei) JOIN votes ON votes.component = comps.component AND votes.label = best.label""", "entities", "relationships")
+SELECT walk.lei, walk.label AS propagated_country, round(n / whole * (1.0 / (1 + hops)), 4)::DOUBLE AS confidence, hops FROM walk JOIN comps USING (lei) JOIN votes ON votes.component = comps.component AND votes.label = walk.label WHERE hops > 0""", "entities", "relationships")
 def label_propagation(spark, sf):
     a = Shared(spark, sf)
     labels = jurisdiction.training_labels(a.relationships, a.parents).select("lei", F.col("parent_country").alias("label"))
@@ -653,10 +729,7 @@ def graph_readiness(spark, sf):
     return graph.readiness(a.domestic, a.relationships, a.entities)
 
 
-CANDIDATES = 500_000  # of the SQL alone: the query gives every pair, so the two agree where there are no more
-
-
-@query(f"SELECT d.lei AS source_lei, p.lei AS target_lei FROM domestic d CROSS JOIN parents p WHERE d.lei NOT IN (SELECT source_lei FROM relationships) ORDER BY 1, 2 LIMIT {CANDIDATES}", "domestic", "parents", "relationships")
+@query("SELECT d.lei AS source_lei, p.lei AS target_lei FROM domestic d CROSS JOIN parents p WHERE d.lei NOT IN (SELECT source_lei FROM relationships)", "domestic", "parents", "relationships")
 def link_candidates(spark, sf):
     a = At(spark, sf)
     return links.candidates(a.domestic, a.relationships, a.parents)
@@ -682,12 +755,12 @@ def mock_pipeline(spark, sf):
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1)) AS u, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2)) AS t FROM pages)
-SELECT DISTINCT trim(regexp_replace(t, '\s+', ' ', 'g')) AS ctos_name, 'https://example.org' || '/single-report/malaysia-company/' || page_id || u AS ctos_url FROM l WHERE trim(t) <> '' AND NOT contains(t, '&')""")
+SELECT DISTINCT trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS ctos_name, 'https://example.org' || '/single-report/malaysia-company/' || page_id || u AS ctos_url FROM l WHERE trim(t) <> ''""")
 def html_listing_links(spark, sf):
     """Menu links of the page table, put under the registry's path so that the listing parser sees them."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     moved = pages.select(F.regexp_replace("html", F.lit('<a href="/'), F.concat(F.lit(f'<a href="{rules.REGISTRY_LINK}'), F.col("page_id"), F.lit("/"))).alias("html"))
-    return files.registry_listing(moved, "https://example.org").where(~F.col("ctos_name").contains("&"))
+    return files.registry_listing(moved, "https://example.org")
 
 
 @query("SELECT count(*) AS total_predictions, round(avg(prediction_probability), 4) AS avg_confidence, count(*) FILTER (prediction_probability >= 0.5) AS high_confidence_predictions, (SELECT predicted_parent_country FROM predictions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_predicted_country FROM predictions", "predictions")
