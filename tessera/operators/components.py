@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Tables that this process wrote and has not dropped, for drop_written().
+#: Tables that this process wrote and has not dropped, for scratch().
 WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session, a temporary one only where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir of the session; a temporary one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
@@ -34,10 +39,15 @@ def drop_table(spark: SparkSession, path: str) -> None:
         WRITTEN.remove(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete all tables that cut_lineage wrote in this process: for when the results that rest on them are stored."""
-    for path in list(WRITTEN):
-        drop_table(spark, path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut_lineage writes inside are deleted at the end, when the results that rest on them must be stored."""
+    before = set(WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in WRITTEN if p not in before]:
+            drop_table(spark, path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -64,11 +74,12 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     return now, path, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
-def component_labels(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame, max_steps: int = 500) -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the least node that edges reach, in either direction.
 
     Edges with a null end and self-loops alone add nothing. Steps end when the edge set no longer changes, which a count and an
-    order-free hash sum tell; each step's table is written to the shared folder, and the one before the last is deleted.
+    order-free hash sum tell; each step's table is written to the shared folder, and the one before the last is deleted. Steps grow with
+    the logarithm of the longest path; if they have not ended after max_steps, an error says so.
     """
     spark = edges.sparkSession
     now = edges.select(F.col("src"), F.col("dst")).where("src is not null and dst is not null and src <> dst").distinct()
@@ -84,4 +95,6 @@ def component_labels(edges: DataFrame, max_steps: int = 60) -> DataFrame:
             drop_table(spark, old.pop(0))
         if mark == seen:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {max_steps} steps")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select("dst", "dst").distinct())

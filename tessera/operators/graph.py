@@ -42,7 +42,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, cut_every: int = 5) -> DataFrame:
-    """lei, pagerank: dangling mass spreads evenly; stops when the L1 change is under nodes * tol. Lineage is cut every few steps."""
+    """lei, pagerank: dangling mass spreads evenly; the result is that of the first step whose L1 change is under nodes * tol.
+
+    Lineage is cut every few steps; the changes of all steps since are added up in that one scan, and the ranks of each are kept till then.
+    """
     nodes = vertices.select("lei").distinct()
     n = nodes.count()
     if not n:
@@ -51,21 +54,26 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, max_ite
     links, path = cut_lineage(edges.join(fan, "src").select("src", "dst", "fan"), "pagerank-links")
     base, base_path = cut_lineage(nodes.join(fan, nodes["lei"] == fan["src"], "left").select("lei", F.col("fan").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "pagerank")
     now, old = base, [base_path]
+    kept: list[str] = []
     spark = vertices.sparkSession
     for step in range(1, max_iter + 1):
         loose = now.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         given = links.join(now.select(F.col("lei").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("lei")).agg(F.sum(F.col("rank") / F.col("fan")).alias("given"))
         # loose has one row.
-        new = now.select("lei", "dangling", F.col("rank").alias("before")).join(given, "lei", "left").crossJoin(F.broadcast(loose))
-        now = new.select("lei", "dangling", (alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("rank"), "before")
+        new = now.withColumnRenamed("rank", f"rank{len(kept)}").join(given, "lei", "left").crossJoin(F.broadcast(loose))
+        kept.append(f"rank{len(kept)}")
+        now = new.select("lei", "dangling", *kept, (alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("rank"))
         if step % cut_every == 0 or step == max_iter:
             now, path = cut_lineage(now, "pagerank")
             old.append(path)
             if len(old) > 2:
                 drop_table(spark, old.pop(0))
-            if tol and now.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tol:
-                break
-        now = now.select("lei", "dangling", "rank")
+            after = [*kept[1:], "rank"]
+            if tol:
+                changes = now.agg(*[F.sum(F.abs(F.col(b) - F.col(a))) for a, b in zip(kept, after)]).first()
+                if settled := [b for b, x in zip(after, changes) if x < n * tol]:
+                    return now.select("lei", F.col(settled[0]).alias("pagerank"))
+            now, kept = now.select("lei", "dangling", "rank"), []
     return now.select("lei", F.col("rank").alias("pagerank"))
 
 

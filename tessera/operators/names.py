@@ -28,7 +28,8 @@ def match_names(entities: DataFrame, brands: DataFrame, known: DataFrame | None
     """NAME_MATCH: the best brand of each entity, ties to the first brand.
 
     A whole-word hit scores 100, else the word-set ratio, less 15 without a shared distinctive word. Above 85 a match must share one,
-    so entities and brands meet by distinctive words alone and nothing is lost; at 85 or below they meet in full (brands broadcast).
+    so entities and brands meet by distinctive words alone and nothing is lost. At 85 or below, those that share none must score
+    threshold + 15 or more: they meet by parts of their texts (see text_blocks) or, where only generic words are shared, by these.
     known: lei of entities that are left out. Entities with equal cleaned names are scored once.
     """
     rows = entities.where("lei is not null and lei <> ''").withColumn("name", clean_company_name("legal_name")).where("name <> ''").select("lei", "name")
@@ -36,12 +37,17 @@ def match_names(entities: DataFrame, brands: DataFrame, known: DataFrame | None
         rows = rows.join(known.select("lei").where("lei is not null").distinct(), "lei", "left_anti")
     names = rows.select("name").distinct().select("name", words(F.col("name")).alias("entity_words"), brand_token(F.col("name"), country).alias("entity_token"))
     b = brands.select("brand_token", "parent_lei", F.col(ORDINAL).alias("_brand") if ORDINAL in brands.columns else F.col("brand_token").alias("_brand")).withColumn("brand_words", distinctive_words(F.col("brand_token")))
-    if threshold > 100 - rules.MISSING_BRAND_PENALTY:
-        left = names.withColumn("word", F.explode(F.array_distinct("entity_words")))
-        right = b.withColumn("word", F.explode(F.array_distinct("brand_words")))
-        pairs = left.join(right, "word").drop("word").dropDuplicates(["name", "brand_token"])
-    else:
-        pairs = names.crossJoin(F.broadcast(b))
+    left = names.withColumn("word", F.explode(F.array_distinct("entity_words")))
+    pairs = left.join(b.withColumn("word", F.explode(F.array_distinct("brand_words"))), "word").drop("word")
+    if threshold + rules.MISSING_BRAND_PENALTY <= 100:
+        # Shared generic words, or none: with none, the scorer's ratio is that of the sorted words.
+        generic = left.join(b.withColumn("word", F.explode(F.array_distinct(words(F.col("brand_token"))))), "word").drop("word")
+        t = threshold + rules.MISSING_BRAND_PENALTY
+        once = lambda c: sorted_words(F.array_distinct(words(F.col(c))))
+        met = text_blocks(names.select("name", once("entity_token").alias("probe")), b.select("brand_token", once("brand_token").alias("text")), "name", "brand_token", t)
+        alike = met.join(names, "name").join(b, "brand_token").select(*pairs.columns)
+        pairs = pairs.unionByName(generic).unionByName(alike)
+    pairs = pairs.dropDuplicates(["name", "brand_token"])
     hit = _whole_word(F.col("brand_token"), F.col("name"))
     # The scorer runs on pairs without a whole-word hit.
     sure = pairs.where(hit).withColumn("score", F.lit(100.0))
@@ -73,22 +79,57 @@ def match_tickers(entities: DataFrame, tickers: DataFrame) -> DataFrame:
     return left.join(right, left["legal_name_clean"] == right["title_clean"], "left").withColumn("appears_in_edgar", F.col("cik").isNotNull().cast("int"))
 
 
+def sorted_words(found: Column) -> Column:
+    return F.array_join(F.sort_array(found), " ")
+
+
+def text_blocks(probes: DataFrame, texts: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
+    """Distinct (a, b) that may have a ratio of threshold (above 67) or more; no such pair is missing.
+
+    probes: a, probe; texts: b, text. Two texts of lengths m and n with a ratio of t differ by at most (1 - t)(m + n) insertions and
+    deletions, so m <= n(2 - t)/t, and they differ by d = 2(1 - t)n/t or fewer. Of d + 1 parts of a text one is therefore untouched:
+    it stands in the probe, moved by d places at most. Texts meet probes by the length, the number and the letters of such a part.
+    """
+    t = threshold / 100
+    if t <= 2 / 3:
+        raise ValueError("texts have parts for ratios above 67 only")
+
+    def parts(n: Column) -> Column:
+        return F.floor(2 * (1 - t) * n / t + 1e-9).cast("int") + 1
+
+    def start(n: Column, k: Column, part: Column) -> Column:
+        """Where a part begins: all have n / k letters, rounded down or up."""
+        return F.floor(n * part / k).cast("int")
+
+    kept = texts.where("text <> ''").select(b, "text", F.length("text").alias("n"))
+    cut = kept.withColumn("k", parts(F.col("n"))).select(b, "text", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    left, right = start(F.col("n"), F.col("k"), F.col("part")), start(F.col("n"), F.col("k"), F.col("part") + 1)
+    index = cut.select(b, "n", "part", F.substring("text", left + 1, right - left).alias("letters"))
+    # The lengths that a probe can meet, the parts of such texts, and the places where each may stand.
+    m = F.length("probe")
+    low, high = F.greatest(F.ceil(m * t / (2 - t) - 1e-9).cast("int"), F.lit(1)), F.floor(m * (2 - t) / t + 1e-9).cast("int")
+    asked = probes.where("probe <> ''").select(a, "probe", m.alias("m"), F.explode(F.sequence(low, F.greatest(low, high))).alias("n")).withColumn("k", parts(F.col("n")))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    first, size = start(F.col("n"), F.col("k"), F.col("part")), start(F.col("n"), F.col("k"), F.col("part") + 1) - start(F.col("n"), F.col("k"), F.col("part"))
+    asked = asked.withColumns({"size": size, "from": F.greatest(first - F.col("k") + 1, F.lit(0)), "to": F.least(first + F.col("k") - 1, F.col("m") - size)}).where("from <= to")
+    asked = asked.select(a, "n", "part", F.explode(F.array_distinct(F.transform(F.sequence("from", "to"), lambda at: F.substring("probe", at + 1, F.col("size"))))).alias("letters"))
+    return asked.join(index, ["n", "part", "letters"]).select(a, b).distinct()
+
+
 def match_registry(entities: DataFrame, directory: DataFrame, threshold: float = 95) -> DataFrame:
     """Registry matches: an equal normalised name (100), else the best word-sorted ratio of at least threshold that is safe.
 
-    A ratio of t needs lengths within t/(2-t) and (2-t)/t of each other, so names meet by length alone, bucketed; the best candidate is
-    chosen first (ties to the first of the directory) and only it is checked for safety.
+    Names meet by parts of their sorted words (see text_blocks), which loses no pair of the threshold; the best candidate is chosen first
+    (ties to the first of the directory) and only it is checked for safety.
     """
     order = [ORDINAL] if ORDINAL in directory.columns else []
     d = first_by(directory.select("ctos_name", "ctos_url", "ctos_registration_no", registry_name("ctos_name").alias("norm"), *order), "norm", keep_ordinal=True)
     d = d.withColumnRenamed(ORDINAL, "_choice") if order else d.withColumn("_choice", F.col("norm"))
     e = entities.select("lei", "legal_name", registry_name("legal_name").alias("own")).where("own <> ''")
     exact = e.join(d, e["own"] == d["norm"]).select("lei", "legal_name", "ctos_name", "ctos_url", "ctos_registration_no", F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
-    t = threshold / 100
     names = e.select("own").distinct().join(d.select(F.col("norm").alias("own")), "own", "left_anti")
-    low, high = F.ceil(F.length("own") * t / (2 - t) - 1e-9), F.floor(F.length("own") * (2 - t) / t + 1e-9)
-    probes = names.withColumn("size", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
-    pairs = probes.join(d.withColumn("size", F.length("norm")), "size").withColumn("score", token_sort_ratio_udf("own", "norm")).where(F.col("score") >= threshold)
+    met = text_blocks(names.select("own", sorted_words(words(F.col("own"))).alias("probe")), d.select("norm", sorted_words(words(F.col("norm"))).alias("text")), "own", "norm", threshold)
+    pairs = met.join(d, "norm").withColumn("score", token_sort_ratio_udf("own", "norm")).where(F.col("score") >= threshold)
     best = first_by(pairs.select("own", "norm", "score", "_choice", "ctos_name", "ctos_url", "ctos_registration_no"), "own", F.desc("score"), F.col("_choice"))
     a, b = registry_tokens(F.col("own")), registry_tokens(F.col("norm"))
     best = best.withColumns({"a": a, "b": b}).where((F.size("a") > 0) & (F.size("b") > 0)).withColumn("strong", F.size(F.array_except(F.array_intersect("a", "b"), F.array(*[F.lit(x) for x in rules.REGISTRY_WEAK]))))

@@ -22,7 +22,7 @@ def coverage_score(df: DataFrame) -> DataFrame:
 
     Sizes are scaled by the table's largest: a one-row aggregate beside the rows, not a window over all of them. One size: 0.
     """
-    out = df.withColumns({c: (F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in df.columns else F.lit(0)) for c in FLAGS})
+    out = df.withColumns({c: (int_flag(F.col(c)) if c in df.columns else F.lit(0)) for c in FLAGS})
     size = F.coalesce(F.col("size_proxy").cast("double"), F.lit(0.0)) if "size_proxy" in df.columns else F.lit(0.0)
     out = out.withColumn("size_proxy", size).withColumn("_log", F.log1p("size_proxy"))
     range_ = out.agg(F.min("_log").alias("_least"), F.max("_log").alias("_most"))

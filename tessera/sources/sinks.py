@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,14 @@ class StageStates:
             self.mark(country, r["stage"], "pending")
 
 
+def last_modified(spark: SparkSession, path: str) -> str:
+    """ISO time (UTC, to the second) of a file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    return datetime.fromtimestamp(at / 1000, timezone.utc).isoformat(timespec="seconds")
+
+
 def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """role, path, exists, rows of Parquet tables: counts come from file footers."""
-    rows = [(role, p, True, spark.read.parquet(p).count()) if exists(spark, p) else (role, p, False, None) for role, p in paths.items()]
-    return spark.createDataFrame(rows, "role string, path string, exists boolean, rows long")
+    """role, path, exists, rows of Parquet tables (counts come from file footers), and when each was last changed, as the store says."""
+    rows = [(role, p, True, spark.read.parquet(p).count(), last_modified(spark, p)) if exists(spark, p) else (role, p, False, None, None) for role, p in paths.items()]
+    return spark.createDataFrame(rows, "role string, path string, exists boolean, rows long, last_modified string")

@@ -115,7 +115,6 @@ def test_every_candidate_is_given(spark, data, monkeypatch):
     from tessera.plans import catalog
 
     e, p, r = data
-    monkeypatch.setattr(catalog, "CANDIDATES", 10)
     monkeypatch.setattr(catalog, "At", lambda *_: type("Tables", (), {"domestic": e, "parents": p, "relationships": r}))
     assert catalog.queries()["link_candidates"](spark, "").count() == 8 * 6
 

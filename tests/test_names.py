@@ -130,3 +130,36 @@ def test_registry_matches(spark):
     assert registry(spark, "ACME TECHNOLOGIES SDN BHD", ["ACME TECHNOLOGY SDN BHD"], 90.0) == [("ACME TECHNOLOGY SDN BHD", "fuzzy")]
     assert registry(spark, "ALPHA TRADING SDN BHD", ["ALPHO TRADING SDN BHD"], 90.0) == []
     assert registry(spark, "MALAYSIA HOLDINGS", ["MALAYSIA HOLDING"], 90.0) == [] and registry(spark, None, ["X"]) == []
+
+
+@pytest.mark.parametrize("threshold", [70, 85, 90, 95])
+def test_text_blocks_lose_no_pair(spark, threshold):
+    import random
+
+    rng = random.Random(threshold)
+    base = ["".join(rng.choices("abcd ", k=rng.randrange(1, 30))).strip() for _ in range(40)]
+    texts = list({x for x in base if x})
+    probes = set(texts)
+    for x in texts * 6:
+        y = list(x)
+        for _ in range(rng.randrange(1, 7)):
+            if rng.random() < 0.5 and y:
+                y.pop(rng.randrange(len(y)))
+            else:
+                y.insert(rng.randrange(len(y) + 1), rng.choice("abcd"))
+        probes.add("".join(y))
+    got = names.text_blocks(spark.createDataFrame([(x, x) for x in probes], "p string, probe string"), spark.createDataFrame([(x, x) for x in texts], "t string, text string"), "p", "t", threshold)
+    met = {(r["p"], r["t"]) for r in got.collect()}
+    alike = {(p, t) for p in probes for t in texts if p and text.ratio(p, t) >= threshold}
+    assert alike <= met and len(met) < len(probes) * len(texts)
+
+
+def test_numbered_is_a_global_order(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators.ranking import numbered
+
+    rows = [(i % 3, i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a long, b long"), F.desc("a"), "b").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r["rank"] for r in got) == list(range(1, 501))
+    assert numbered(spark.createDataFrame([], "a long"), "a").count() == 0
