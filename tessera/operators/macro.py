@@ -47,6 +47,15 @@ def raw_coverage(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def country_coverage(tables: dict[str, DataFrame]) -> DataFrame:
+    """country, and the rows of each table (all with a column country) in a column of its name; countries of the first table, 0 for none."""
+    out = None
+    for name, df in tables.items():
+        n = df.groupBy("country").agg(F.count("*").alias(name))
+        out = n if out is None else out.join(n, "country", "left")
+    return out.na.fill(0)
+
+
 def inward_density(mix: DataFrame, inward: DataFrame) -> DataFrame:
     """mix with inward_fdi_usd_bn and foreign entities per billion; null without positions."""
     totals = inward.groupBy(F.col("host").alias("country")).agg((F.sum("fdi_usd_mn") / 1000).alias("inward_fdi_usd_bn"))

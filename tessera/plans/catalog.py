@@ -735,12 +735,6 @@ def link_candidates(spark, sf):
     return links.candidates(a.domestic, a.relationships, a.parents)
 
 
-@query()
-def training_pairs(spark, sf):
-    a = Shared(spark, sf)
-    return links.training_pairs(a.relationships, a.domestic, a.parents)
-
-
 @query()
 def link_predictions(spark, sf):
     a = Shared(spark, sf)

@@ -58,7 +58,7 @@ def chain_context(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         out = empty(spark, schema)
         for n in names:
             if exists(spark, f"{root}/{n}"):
-                out = out.unionByName(conform(spark.read.option("ignoreCorruptFiles", True).parquet(f"{root}/{n}"), schema))
+                out = out.unionByName(conform(spark.read.option("ignoreCorruptFiles", True).parquet(f"{root}/{n}"), schema), allowMissingColumns=True)
         return out
 
     rels = first_by(read(["relationships"], RELATIONSHIP), ["source_lei", "target_lei", "relationship_type"])
