@@ -1,8 +1,10 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the
 nearest directory above that has a licence file, by path joins.
 
-A sentence of a line is a header candidate; a licence file also counts as a whole. Only candidates that hold a word of some
-template's prefix are compared: without one, the words shared with a template weigh less than THRESHOLD of it, so no match is lost.
+Candidates are the sentences of lines, the paragraphs without comment marks and line ends, and the paragraphs' sentences, so that a wrapped
+header is one text; a licence file also counts as a whole. Only candidates that hold a word of some template's prefix, and few enough
+other words, are compared: without, the words shared with a template weigh less than THRESHOLD of it, so no match is lost. Their template
+words then meet the templates' postings, and products are summed for each candidate and template.
 """
 
 from __future__ import annotations
@@ -17,32 +19,46 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, table
 
 THRESHOLD = 0.75
-# Words that are frequent in running text. They only come last when prefixes are chosen; matches do not depend on them.
-FREQUENT = frozenset("a and any are as at by can copy following for free in into is it later may mit not of or that the this to under use with you".split())
-# SPDX identifiers and the customary notices.
+# Words that are frequent in running text. Their IDF is 1, the least, as if every template had them.
+FREQUENT = frozenset("a all also an and any are as at be been but by can could do either for from had has have he her his if in into is it its may me more most name neither no nor not of on one only or other our out own she so some such than that the their them then there these they this those to under up use used was we were what when which who whom will with work would you your".split())
+# SPDX identifiers that tags name, and the customary notices, openings and titles.
+TAGGED = ["Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "Unlicense"]
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "Released under the MIT License"),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
-]
+] + [(name, f"SPDX-License-Identifier: {name}") for name in TAGGED]
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: Where a line's sentences part.
-BREAKS = r"\n|[.!?]\s+"
+#: Where a line's sentences part, and those of a paragraph; comment marks at the start of a line; where paragraphs part; line ends in one.
+BREAKS, STOPS = r"\n|[.!?][ \t\r\n]+", r"[.!?] +"
+MARKS = r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+|<!--)[ \t]*"
+APART, WRAPS = r"\n[ \t\r]*\n", r"[ \t\r]*\n[ \t\r\n]*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)(\..*)?$"
 
 
@@ -51,10 +67,10 @@ def words(text: str) -> list[str]:
 
 
 def _vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
-    """IDF of the template words, the IDF of any other word, and unit TF-IDF vectors (1 + ln tf) of the templates."""
+    """IDF of the template words and of frequent ones, the IDF of any other word, and unit TF-IDF vectors (1 + ln tf) of the templates."""
     bags = [(name, Counter(words(t))) for name, t in TEMPLATES]
     df = Counter(w for _, b in bags for w in b)
-    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()} | dict.fromkeys(FREQUENT, 1.0)
     out = []
     for name, b in bags:
         v = {w: (1 + math.log(n)) * idf[w] for w, n in b.items()}
@@ -67,11 +83,11 @@ IDF, OTHER_IDF, VECTORS = _vectors()
 
 
 def prefix_words() -> list[str]:
-    """Of each template, its heaviest words (frequent ones last), until the rest's length is under THRESHOLD: a match must hold one of them."""
+    """Of each template, its heaviest words, until the rest's length is under THRESHOLD: a match must hold one of them."""
     out = set()
     for _, v in VECTORS:
         left = 1.0
-        for w, x in sorted(v.items(), key=lambda p: (p[0] in FREQUENT, -p[1], p[0])):
+        for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
             if left < (THRESHOLD - 1e-6) ** 2:
                 break
             out.add(w)
@@ -83,52 +99,50 @@ def prefix_pattern() -> str:
     return "(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, prefix_words())) + ")(?:[^a-z0-9]|$)"
 
 
-def _map(rows: dict[str, Column]) -> Column:
-    return F.create_map(*[x for w, c in rows.items() for x in (F.lit(w), c)])
+def _idf_rows(number: str) -> str:
+    return ", ".join(f"('{w}', {number.format(repr(x))})" for w, x in sorted(IDF.items()))
 
 
-def best_template(unit: Column) -> Column:
-    """(score, license) of the template nearest to a text, by one pass over its sorted words; ties to the last name.
+def _posting_rows(number: str) -> str:
+    return ", ".join(f"({i}, '{name}', '{w}', {number.format(repr(x))})" for i, (name, v) in enumerate(VECTORS) for w, x in v.items())
 
-    The pass keeps the word at hand with its count, the squared length so far, and the product with every template.
-    """
-    idf = _map({w: F.lit(x) for w, x in sorted(IDF.items())})
-    rows: dict[str, list[float]] = {}
-    for i, (_, v) in enumerate(VECTORS):
-        for w, x in v.items():
-            rows.setdefault(w, [0.0] * len(VECTORS))[i] = x
-    weights = _map({w: F.array(*map(F.lit, r)) for w, r in sorted(rows.items())})
-    zeros = F.array(*[F.lit(0.0)] * len(VECTORS))
-
-    def close(s: Column) -> Column:
-        """The state once the word at hand is counted."""
-        w = F.when(s["n"] > 0, (1 + F.log(s["n"].cast("double"))) * F.coalesce(idf[s["word"]], F.lit(OTHER_IDF))).otherwise(0.0)
-        known = weights[s["word"]]
-        dots = F.when(known.isNull(), s["dots"]).otherwise(F.zip_with(s["dots"], known, lambda d, x: d + w * x))
-        return F.struct((s["square"] + w * w).alias("square"), dots.alias("dots"))
-
-    def step(s: Column, word: Column) -> Column:
-        same, done = s["word"] == word, close(s)
-        return F.struct(word.alias("word"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.when(same, s["square"]).otherwise(done["square"]).alias("square"), F.when(same, s["dots"]).otherwise(done["dots"]).alias("dots"))
-
-    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.lit(0.0).alias("square"), zeros.alias("dots"))
-    total = F.aggregate(F.sort_array(F.regexp_extract_all(unit, F.lit(WORD), F.lit(0))), start, step, close)
-    names = F.array(*[F.lit(name) for name, _ in VECTORS])
-    scores = F.zip_with(total["dots"], names, lambda d, name: F.struct(F.round(d / F.sqrt(total["square"]), 6).alias("score"), name.alias("license")))
-    return F.array_max(scores)
+
+def units(low: Column, whole: Column) -> Column:
+    """The distinct candidates of a text in lower case; whole: whether it counts as a whole too."""
+    joined = F.transform(F.split(F.regexp_replace(low, MARKS, ""), APART), lambda p: F.regexp_replace(p, WRAPS, " "))
+    found = F.concat(F.split(low, BREAKS), joined, F.flatten(F.transform(joined, lambda p: F.split(p, STOPS))))
+    return F.array_distinct(F.when(whole, F.concat(found, F.array(low))).otherwise(found))
 
 
 def own_licenses(files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, license, score: the best template of each file with a candidate at THRESHOLD or more. Nothing is shuffled."""
+    """keys, license, score: the best template of each file with a candidate at THRESHOLD or more, ties to the last name.
+
+    Only candidates that can match leave the scan; they are grouped, and their words meet the postings, a fixed table of VECTORS.
+    """
+    spark = files.sparkSession
     pattern = prefix_pattern()
     low = F.lower("text")
+    listed = lambda some: F.array(*[F.lit(w) for w in sorted(some)])
     # A file without any prefix word is left where it is read.
     able = files.where(low.rlike(pattern)).select(*keys, "base", low.alias("low"))
-    whole = F.when(F.col("base").rlike(LICENCE_FILE), F.array(F.col("low"))).otherwise(F.array().cast("array<string>"))
-    units = F.concat(F.filter(F.split("low", BREAKS), lambda u: u.rlike(pattern)), F.filter(whole, lambda u: u.rlike(pattern)))
-    found = able.select(*keys, F.explode(units).alias("unit")).select(*keys, best_template(F.col("unit")).alias("best")).where(F.col("best.score") >= THRESHOLD)
-    # Few rows are left: files that match.
-    return found.groupBy(*keys).agg(F.max("best").alias("best")).select(*keys, F.col("best.license").alias("license"), F.col("best.score").alias("score"))
+    cut = able.select(*keys, F.explode(F.filter(units(F.col("low"), F.col("base").rlike(LICENCE_FILE)), lambda u: u.rlike(pattern))).alias("unit"))
+    # An explode of one element keeps the array from being made anew wherever it is read.
+    split = cut.select(*keys, "unit", F.explode(F.array(F.regexp_extract_all("unit", F.lit(WORD), F.lit(0)))).alias("words"))
+    kinds, frequent, rare = F.size(F.array_distinct("words")), F.size(F.array_intersect("words", listed(FREQUENT))), F.size(F.array_intersect("words", listed(IDF.keys() - FREQUENT)))
+    # Every other kind of word adds at least OTHER_IDF squared to the squared length, and the product is at most the template words' length,
+    # which n words of so many kinds cannot pass.
+    most = (frequent + rare * max(IDF.values()) ** 2) * F.pow(1 + F.log(F.size("words").cast("double")), 2)
+    other = (kinds - frequent - rare) * OTHER_IDF**2
+    near = split.where((rare > 0) & (most >= (THRESHOLD - 1e-6) ** 2 * (most + other))).select(*keys, F.xxhash64("unit").alias("u"), "words").distinct()
+    # From here on a few rows are left: the candidates' words by count, weight and template.
+    idf, postings = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_idf_rows('{}D')} AS t(word, idf)")), F.broadcast(spark.sql(f"SELECT * FROM VALUES {_posting_rows('{}D')} AS t(template, license, word, x)"))
+    counted = near.select(*keys, "u", F.explode("words").alias("word")).groupBy(*keys, "u", "word").agg(F.count("*").cast("double").alias("n"))
+    weighed = counted.join(idf, "word", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("idf", F.lit(OTHER_IDF)))
+    sized = weighed.groupBy(*keys, "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "w"))).alias("own"))
+    rows = sized.select(*keys, "u", "size", F.explode("own").alias("e")).select(*keys, "u", "size", F.col("e.word").alias("word"), F.col("e.w").alias("w"))
+    scored = rows.join(postings, "word").groupBy(*keys, "u", "size", "template", "license").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    found = scored.select(*keys, F.round(F.col("dot") / F.col("size"), 6).alias("score"), "license").where(F.col("score") >= THRESHOLD)
+    return found.groupBy(*keys).agg(F.max(F.struct("score", "license")).alias("best")).select(*keys, F.col("best.license").alias("license"), F.col("best.score").alias("score"))
 
 
 def _parent(path: Column) -> Column:
@@ -179,13 +193,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    vocab = ", ".join(f"('{w}', CAST({x!r} AS DOUBLE))" for w, x in sorted(IDF.items()))
-    posting = ", ".join(f"({i}, '{name}', '{w}', CAST({x!r} AS DOUBLE))" for i, (name, v) in enumerate(VECTORS) for w, x in v.items())
+    vocab, posting = _idf_rows("CAST({} AS DOUBLE)"), _posting_rows("CAST({} AS DOUBLE)")
     return rf"""
 WITH vocab(word, idf) AS (VALUES {vocab}), posting(template, license, word, weight) AS (VALUES {posting}),
 files AS (SELECT doc_id, {PATH.format(n='doc_id // 1000', s='VARCHAR')} AS path, coalesce(text, '') AS text FROM documents),
 named AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS dir, lower(text) AS low FROM files),
-parts AS (SELECT DISTINCT doc_id, path, unnest(list_concat(string_split_regex(low, '\n|[.!?]\s+'), CASE WHEN regexp_matches(base, '{LICENCE_FILE}') THEN [low] ELSE [] END)) AS unit FROM named WHERE regexp_matches(low, '{prefix_pattern()}')),
+joined AS (SELECT *, list_transform(string_split_regex(regexp_replace(low, '{MARKS}', '', 'g'), '{APART}'), lambda p: regexp_replace(p, '{WRAPS}', ' ', 'g')) AS paragraphs FROM named WHERE regexp_matches(low, '{prefix_pattern()}')),
+parts AS (SELECT DISTINCT doc_id, path, unnest(list_concat(string_split_regex(low, '{BREAKS}'), paragraphs, flatten(list_transform(paragraphs, lambda p: string_split_regex(p, '{STOPS}'))), CASE WHEN regexp_matches(base, '{LICENCE_FILE}') THEN [low] ELSE [] END)) AS unit FROM joined),
 bags AS (SELECT doc_id, path, md5(unit) AS u, unnest(regexp_extract_all(unit, '{WORD}')) AS word FROM parts WHERE regexp_matches(unit, '{prefix_pattern()}')),
 tf AS (SELECT doc_id, path, u, word, count(*) AS n FROM bags GROUP BY ALL),
 w AS (SELECT doc_id, path, u, tf.word, (1 + ln(n)) * coalesce(idf, {OTHER_IDF!r}) AS w FROM tf LEFT JOIN vocab USING (word)),

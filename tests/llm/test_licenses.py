@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from collections import Counter
 
 from tessera.llm import licenses
@@ -6,12 +8,11 @@ from tessera.llm import licenses
 GPL = "This work is licensed under the GNU General Public License, version 3."
 
 
-def brute(text):
-    """(score, license) of the best sentence, without prefixes."""
-    import re
-
-    best = (0.0, None)
-    for u in re.split(licenses.BREAKS, text.lower()):
+def brute(text, whole=False):
+    """(score, license) of the best candidate, without prefixes or bounds."""
+    best, low = (0.0, None), text.lower()
+    paragraphs = [re.sub(licenses.WRAPS, " ", p) for p in re.split(licenses.APART, re.sub(licenses.MARKS, "", low))]
+    for u in {*re.split(licenses.BREAKS, low), *paragraphs, *(x for p in paragraphs for x in re.split(licenses.STOPS, p)), *([low] if whole else [])}:
         tf = Counter(licenses.words(u))
         w = {t: (1 + math.log(n)) * licenses.IDF.get(t, licenses.OTHER_IDF) for t, n in tf.items()}
         size = math.sqrt(sum(x * x for x in w.values())) or 1
@@ -59,3 +60,64 @@ def test_prefixes_lose_nothing():
     chosen = set(licenses.prefix_words())
     for name, v in licenses.VECTORS:
         assert sum(x * x for w, x in v.items() if w not in chosen) < licenses.THRESHOLD**2, name
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice shall be included in all copies."""
+WRAPPED = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import x"""
+BLOCK = """/*
+ * Copyright 2020 X
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */
+int x;"""
+TITLE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc."""
+
+
+def test_wrapped_headers_files_and_tags(spark):
+    rows = [("m/LICENSE", MIT), ("g/x.py", WRAPPED), ("a/x.c", BLOCK), ("c/COPYING", TITLE), ("e/x", "// SPDX-License-Identifier: MIT\ncode"), ("f/x", "# SPDX-License-Identifier: Apache-2.0"), ("h/x", "SPDX-License-Identifier: Foo"), ("m/y.py", "code")]
+    got = {r["path"]: (r["license"], r["score"]) for r in scan(spark, rows)}
+    assert got == {"m/LICENSE": ("MIT", 1.0), "g/x.py": ("GPL-3.0", 1.0), "a/x.c": ("Apache-2.0", 1.0), "c/COPYING": ("GPL-3.0", 1.0), "e/x": ("MIT", 1.0), "f/x": ("Apache-2.0", 1.0), "h/x": (None, None), "m/y.py": ("MIT", None)}
+
+
+def test_bounds_lose_no_match(spark):
+    rng = random.Random(10)
+    others = ["lorem", "ipsum", "the", "of", "and", "works", "version", "license", "software"]
+    texts = []
+    for _, t in licenses.TEMPLATES * 2:
+        w = t.split()
+        for _ in range(rng.randrange(0, 6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(others))
+            w.pop(rng.randrange(len(w)))
+        texts.append(rng.choice(["", "// ", "x y z\n\n"]) + rng.choice([" ", "\n"]).join(w) + rng.choice(["", ". More follows", "\n\nend"]))
+    rows = [(f"d{i}/{('f.txt', 'LICENSE')[i % 2]}", t) for i, t in enumerate(texts)]
+    got = {r["path"]: (r["score"], r["license"]) for r in scan(spark, rows)}
+    found = 0
+    for path, t in rows:
+        want = brute(t, path.endswith("LICENSE"))
+        assert got[path] == want, (t, got[path], want)
+        found += want[1] is not None
+    assert found > 20
+
+
+def test_ties_go_to_the_last_name(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "VECTORS", [("A-1", licenses.VECTORS[0][1]), ("B-1", licenses.VECTORS[0][1])])
+    assert [r["license"] for r in scan(spark, [("x/y", licenses.TEMPLATES[0][1])])] == ["B-1"]
