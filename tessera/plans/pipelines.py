@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dedupe import first_by
 from tessera.functions.schemas import RELATIONSHIP, conform
 from tessera.operators import clusters, graph, jurisdiction, ladder, links, macro, names, profile, scoring
+from tessera.operators.components import cut_lineage
 
 
 @dataclass
@@ -76,13 +77,14 @@ def enriched_relationships(x: Inputs, matches: DataFrame | None = None, addresse
 
 def graph_prediction(x: Inputs, matches: DataFrame | None = None, neg_ratio: int = 3, min_probability: float = 0.3, cap: int | None = None, **train) -> dict:
     """Readiness, propagated labels and, if both classes have pairs, links for entities without any."""
-    rels = enriched_relationships(x, matches)
-    entities = ladder.combine_entities(x.domestic, x.parents)
-    edges = graph.edges_of(rels)
-    nodes = graph.vertices_of(entities, edges)
+    # Written once each: every loop and every fold reads them.
+    rels, _ = cut_lineage(enriched_relationships(x, matches), "enriched")
+    entities, _ = cut_lineage(ladder.combine_entities(x.domestic, x.parents), "entities")
+    edges, _ = cut_lineage(graph.edges_of(rels), "edges")
+    nodes, _ = cut_lineage(graph.vertices_of(entities, edges), "nodes")
     labels = jurisdiction.training_labels(rels, x.parents).select("lei", F.col("parent_country").alias("label"))
     out = {"readiness": graph.readiness(x.domestic, rels, entities), "propagated": graph.propagate_labels(nodes, edges, labels)}
-    pairs = links.training_pairs(rels, x.domestic, x.parents, neg_ratio)
+    pairs, _ = cut_lineage(links.training_pairs(rels, x.domestic, x.parents, neg_ratio), "training-pairs")
     trained = links.train(nodes, edges, pairs, **train)
     out |= {"training_pairs": pairs, "model": trained}
     if trained.model is not None:
@@ -111,12 +113,18 @@ def graph_and_scoring(x: Inputs, matches: DataFrame | None = None, inferred: Dat
     return {"scored": scored, "uie": uie, "investor_summary": ladder.investor_summary(uie), "review": main, "product_vehicles": vehicles}
 
 
-def full_inference(x: Inputs, threshold: int = 90, min_size: int = 3, **train) -> dict:
-    """Exceptions, names, addresses, model, graph, in that order; each phase reads what came before."""
+def full_inference(x: Inputs, threshold: int = 90, min_size: int = 3, trees: int = 200, folds: int | None = None) -> dict:
+    """Exceptions, names, addresses, model, graph, in that order; each phase reads what came before. folds: None for each model's own number."""
     out: dict = {"exceptions": reporting_exceptions(x) if x.exceptions is not None else None, "names": name_inference(x, threshold)}
     out["addresses"] = address_clustering(x, min_size) if x.addresses is not None else None
-    out["jurisdiction"] = jurisdiction_prediction(x, out["names"]["matches"], **train)
-    out["graph"] = graph_prediction(x, out["names"]["matches"])
+    matches, _ = cut_lineage(out["names"]["matches"], "name-matches")
+    out["names"] |= {"matches": matches, "edges": names.inferred_edges(matches), "summary": names.match_summary(matches)}
+    entities = ladder.combine_entities(x.domestic, x.parents)
+    out["jurisdiction"] = jurisdiction_prediction(x, matches, graph.graph_summary(entities, x.relationships), trees=trees, folds=folds)
+    out["jurisdiction"] |= {"summary": jurisdiction.prediction_summary(out["jurisdiction"]["predictions"])}
+    out["graph"] = graph_prediction(x, matches, trees=trees, **({} if folds is None else {"folds": folds}))
+    if "links" in out["graph"]:
+        out["graph"] |= {"summary": links.link_summary(out["graph"]["readiness"], out["graph"]["links"], out["graph"]["propagated"])}
     return out
 
 

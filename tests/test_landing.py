@@ -72,17 +72,64 @@ def test_landing_and_cache(spark, tmp_path):
     assert spark.read.json(path).count() == 5 and landing.use_cached(spark, path) and not landing.use_cached(spark, path, True)
 
 
-def test_batch_runs_each_stage_once(spark, tmp_path, capsys):
+FEW = {"trees": 3, "folds": 1}
+
+
+def country_tables(spark, root, code, letter, n=24):
+    """Entities, every other with a parent in one of two countries; names that match, and one that does not."""
+    e = frame(spark, "lei:s legal_name:s country_legal:s category:s legal_form:s city_legal:s registered_at:s", [(f"{letter}{i:02}", f"{('ALPHA', 'OMEGA')[i % 2]} WORKS {letter}{i} SDN BHD", code, "GENERAL", "F", "X", "2001-01-01") for i in range(n)] + [(f"{letter}90", "ZETA TRADING BERHAD", code, "FUND", "G", "Y", None)]).drop("_ord")
+    p = frame(spark, "lei:s legal_name:s country_legal:s", [("P1", "ALPHA PLC", "US"), ("P2", "OMEGA PLC", "DE")]).drop("_ord")
+    r = frame(spark, "source_lei:s target_lei:s relationship_type:s", [(f"{letter}{i:02}", f"P{i % 2 + 1}", "direct_parent") for i in range(n - 4)]).drop("_ord")
+    a = frame(spark, "lei:s address_line1:s postal_code:s", [(f"{letter}{i:02}", "1 Jalan Raja", "50000") for i in range(5)] + [(f"{letter}90", "9 Jalan Raja", "50000")]).drop("_ord")
+    x = frame(spark, "lei:s exception_reason:s", [(f"{letter}90", "NATURAL_PERSONS")]).drop("_ord")
+    for name, df in (("lei", e), ("related_lei", p), ("relationships", r), ("addresses", a), ("reporting_exceptions", x)):
+        sinks.save_parquet(df, f"{root}/{name}/country={code.lower()}")
+
+
+def test_batch_runs_all_phases_of_each_country_once(spark, tmp_path, capsys):
     root = str(tmp_path)
-    e = frame(spark, "lei:s legal_name:s country_legal:s", [("A1", "ALPHA SDN BHD", "MY"), ("A2", "BETA BERHAD", "MY"), ("A3", "GAMMA SDN BHD", "MY")]).drop("_ord")
-    p = frame(spark, "lei:s legal_name:s country_legal:s", [("P1", "ALPHA PLC", "US")]).drop("_ord")
-    r = frame(spark, "source_lei:s target_lei:s relationship_type:s", [("A2", "P1", "direct_parent")]).drop("_ord")
-    for name, df in (("lei", e), ("related_lei", p), ("relationships", r)):
-        sinks.save_parquet(df, f"{root}/{name}/country=my")
-    got = {(x["stage"], x["status"]) for x in cli.run_batch(spark, root, ["MY", "SG"], iterations=5).collect()}
-    assert got == {("inference", "done"), ("scoring", "done")}
-    uie = {x["lei"]: x["uie_source"] for x in spark.read.parquet(f"{root}/processed/country=my/uie").collect()}
-    assert uie == {"A1": "phase1_name_match", "A2": "gleif_direct_parent", "A3": "unassigned"}
-    stamp = {x["stage"]: x["at"] for x in cli.run_batch(spark, root, ["MY"], iterations=5).collect()}
-    assert stamp == {x["stage"]: x["at"] for x in cli.run_batch(spark, root, ["MY"], iterations=5).collect()}
+    country_tables(spark, root, "MY", "A")
+    country_tables(spark, root, "SG", "B")
+    run = lambda: {(x["country"], x["stage"]): (x["status"], x["at"]) for x in cli.run_batch(spark, root, ["MY", "SG", "TH"], inference=FEW, iterations=5).collect()}
+    first = run()
+    assert {k: v[0] for k, v in first.items()} == {(c, s): "done" for c in ("MY", "SG") for s in ("inference", "scoring")}
+    for code, letter in (("my", "A"), ("sg", "B")):
+        uie = {x["lei"]: x for x in spark.read.parquet(f"{root}/processed/country={code}/uie").collect()}
+        assert uie[f"{letter}00"]["uie_source"] == "gleif_direct_parent" and uie[f"{letter}20"]["uie_source"] == "phase1_name_match"
+        # No name, address or parent: only the model's evidence is left.
+        assert uie[f"{letter}90"]["uie_source"] == "phase3_jurisdiction_model" and uie[f"{letter}90"]["uie_country"] is not None
+        at = f"{root}/inference/country={code}/graph"
+        assert {"P1", "P2"} <= {x["lei"] for x in spark.read.parquet(f"{at}/propagated").collect()}
+        summary = spark.read.parquet(f"{at}/summary").first()
+        assert summary["link_predictions_count"] == spark.read.parquet(f"{at}/links").count()
+        assert spark.read.json(f"{root}/inference/country={code}/jurisdiction/model/metrics").count() == 1
+    assert run() == first
     assert cli.main(["profile", "--root", root], spark) == 0 and "profile/country=my" in capsys.readouterr().out
+
+
+def test_pull_registry_tickers_and_benchmark_from_landed_files(spark, tmp_path):
+    root = str(tmp_path)
+
+    def land(path, rows):
+        (tmp_path / "landing" / path).mkdir(parents=True)
+        (tmp_path / "landing" / path / "part.json").write_text("\n".join(json.dumps(r) for r in rows))
+
+    record = lambda lei, name, country="MY": {"id": lei, "attributes": {"lei": lei, "entity": {"legalName": {"name": name}, "legalAddress": {"country": country, "addressLines": ["1 Jalan Raja", "Level 2"], "postalCode": "50000"}}}}
+    link = {"data": {"attributes": {"relationship": {"startNode": {"id": "A1"}, "endNode": {"id": "P1"}, "status": "ACTIVE"}}}}
+    land("country=my/lei", [{"value": json.dumps({"data": [record("A1", "ACME TRADING SDN BHD"), record("A2", "ORION PALM SDN BHD")]})}])
+    land("country=my/related_lei", [{"value": json.dumps({"data": record("P1", "ACME PLC", "US")})}])
+    land("country=my/relationships", [{"kind": "direct_parent", "value": json.dumps(link)}, {"kind": "ultimate_parent", "value": "{}"}])
+    land("country=my/addresses", [{"value": json.dumps({"data": record("A1", "x")})}])
+    land("country=my/reporting_exceptions", [{"lei": "A2", "value": json.dumps({"data": {"attributes": {"reason": "NO_LEI"}}})}])
+    land("registry/listing", [{"html": '<a href="/single-report/malaysia-company/1">ORION PALM SENDIRIAN BERHAD</a>'}])
+    land("registry/details", [{"ctos_url": "/single-report/malaysia-company/1", "html": "<p>Company Registration No. 55 / 1 Nature of Business Palm Date of Registration 2001-01-01 State Perak COMPANY DESCRIPTION</p>"}])
+    land("tickers", [{"value": json.dumps({"0": {"cik_str": 7, "ticker": "OP", "title": "Orion Palm Sdn Bhd"}})}])
+    land("searches", [{"query": "ORION PALM SDN BHD", "value": json.dumps({"meta": {"pagination": {"total": 1}}, "data": [record("A2", "ORION PALM SDN BHD")]})}])
+    for command in ("pull", "registry", "tickers", "score", "benchmark"):
+        assert cli.main([command, "--root", root], spark) == 0
+    assert spark.read.parquet(f"{root}/relationships/country=my").count() == 1 and spark.read.parquet(f"{root}/addresses/country=my").first()["address_line2"] == "Level 2"
+    match = spark.read.parquet(f"{root}/registry_matches/country=my/matches").collect()
+    assert [(r["lei"], r["ctos_registration_no"], r["ctos_match_method"]) for r in match] == [("A2", "55 / 1", "exact")]
+    assert {r["lei"]: r["cik"] for r in spark.read.parquet(f"{root}/ticker_matches/country=my/matches").collect()} == {"A1": None, "A2": "0000000007"}
+    flags = {r["lei"]: r["review_flag"] for r in spark.read.parquet(f"{root}/benchmark/country=my/benchmark").collect()}
+    assert flags["A2"] == "self_entity_found"
