@@ -130,9 +130,9 @@ def sorted_assignments(uie: DataFrame) -> DataFrame:
 
 
 def investor_summary(uie: DataFrame) -> DataFrame:
-    """Totals by host and investor economy; rows without an economy are left out."""
+    """Totals by host and investor economy; rows without an economy are left out. Means are of decimals, so that no order of rows shows."""
     rows = uie.where("uie_country is not null").groupBy("host_country", "uie_country")
-    return rows.agg(F.count("lei").alias("total_entities"), F.sum("is_known_uie").alias("known_uie_entities"), F.sum("is_inferred_uie").alias("inferred_uie_entities"), F.round(F.avg("uie_confidence"), 4).alias("avg_confidence")).orderBy(F.desc("total_entities"), "uie_country", "host_country")
+    return rows.agg(F.count("lei").alias("total_entities"), F.sum("is_known_uie").alias("known_uie_entities"), F.sum("is_inferred_uie").alias("inferred_uie_entities"), F.round(F.avg(F.col("uie_confidence").cast("decimal(18,4)")), 4).cast("double").alias("avg_confidence")).orderBy(F.desc("total_entities"), "uie_country", "host_country")
 
 
 def headline_metrics(uie: DataFrame, review: DataFrame) -> DataFrame:

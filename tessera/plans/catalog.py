@@ -475,7 +475,7 @@ def domestic_scope(spark, sf):
     return ladder.domestic_scope(At(spark, sf).domestic, "SG").select("lei", "legal_name", "country_legal")
 
 
-@query(f"{LADDER} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(uie_confidence), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
+@query(f"{LADDER} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(CAST(uie_confidence AS DECIMAL(18, 4))), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
 def investor_economy_summary(spark, sf):
     return ladder.investor_summary(_assignments(Shared(spark, sf)))
 

@@ -463,7 +463,7 @@ def coverage_by_country(spark, sf):
 HOME = LADDER.replace("FROM domestic d LEFT JOIN (SELECT source_lei AS lei, arg_min(target_lei, _ord) AS direct_parent_lei", "FROM (SELECT * FROM domestic WHERE country_legal = 'MY') d LEFT JOIN (SELECT source_lei AS lei, arg_min(target_lei, _ord) AS direct_parent_lei")
 
 
-@query(f"{HOME} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(uie_confidence), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
+@query(f"{HOME} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(CAST(uie_confidence AS DECIMAL(18, 4))), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
 def product_summary(spark, sf):
     """The product driver end to end, for the entities of the host alone."""
     a = Shared(spark, sf)
