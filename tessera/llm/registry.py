@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, hardnegatives, langid, licenses, neighbours, packing, pages, quality, secretscan, sentencepieces, simhash, toxicity
+from tessera.llm import chat, divergence, hardnegatives, langid, licenses, neighbours, packing, pages, quality, secretscan, sentencepieces, simhash, toxicity
 
-MODULES = (chat, sentencepieces, toxicity, neighbours, quality, packing, langid, simhash, pages, licenses, secretscan, hardnegatives)
+MODULES = (chat, sentencepieces, toxicity, neighbours, quality, packing, langid, simhash, pages, licenses, secretscan, hardnegatives, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
