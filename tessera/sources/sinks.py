@@ -28,10 +28,14 @@ def save_all_csv(tables: dict[str, DataFrame], root: str) -> None:
 
 def save_model(trained, root: str, spark: SparkSession) -> None:
     """A trained model, its figures, confusion counts and importances under root. A constant answer has no model."""
+    from tessera.operators.boosting import BoostedPipeline
     from tessera.operators.jurisdiction import importances
 
     if trained.model is not None:
-        trained.model.write().overwrite().save(f"{root}/model")
+        if isinstance(trained.model, BoostedPipeline):
+            trained.model.save(f"{root}/model", spark)
+        else:
+            trained.model.write().overwrite().save(f"{root}/model")
     figures = {k: v for k, v in trained.metrics.items() if not isinstance(v, DataFrame)}
     spark.createDataFrame([(json.dumps(figures, default=str), json.dumps(trained.labels))], "metrics string, labels string").write.mode("overwrite").json(f"{root}/metrics")
     if "confusion" in trained.metrics:

@@ -1,5 +1,6 @@
 import pytest
 from helpers import REL, by, frame
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, jurisdiction, links
 from tessera.plans import pipelines
@@ -17,8 +18,6 @@ def data(spark):
 
 
 def test_bucketing(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([("US", 15), ("US", 14), ("NZ", 3), ("XX", 1), ("JE", 1)], "c string, n long")
     assert [r[0] for r in df.select(jurisdiction.bucket(F.col("c"), F.col("n"))).collect()] == ["US", "OTHER", "ASIA_OTHER", "OTHER", "OFFSHORE"]
 
@@ -38,11 +37,22 @@ def test_features(spark, data):
     assert got["D0"]["category_cat"] == "UNKNOWN"
 
 
-def test_training_and_predictions(spark, data, tmp_path):
+@pytest.fixture(scope="module")
+def few_trees():
+    return {"trees": 10, "folds": 2}
+
+
+def test_training_compares_both_kinds(spark, data, tmp_path, few_trees):
     e, p, r = data
-    out = pipelines.jurisdiction_prediction(pipelines.Inputs(e, p, r), trees=5, folds=2)
+    out = pipelines.jurisdiction_prediction(pipelines.Inputs(e, p, r), **few_trees)
     m = out["model"].metrics
-    assert 0 <= m["accuracy"] <= m["top3_accuracy"] <= 1 and m["model"] == "random_forest" and m["n_samples"] == 32
+    assert 0 <= m["accuracy"] <= m["top3_accuracy"] <= 1 and set(m["all_models"]) == set(jurisdiction.KINDS) and m["n_samples"] == 32 and m["folds"] == 2
+    assert m["accuracy"] == max(m["all_models"].values()) and m["model"] == next(n for n in jurisdiction.KINDS if m["all_models"][n] == m["accuracy"])
+    assert m["baseline"] == max(m["class_sizes"].values()) / 32 and m["lift"] == pytest.approx(m["accuracy"] - m["baseline"])
+    # Every labelled row is held out once, so the confusion counts add up to the classes.
+    counted = {x[0]: x[1] for x in m["confusion"].groupBy("parent_bucket").sum("n").collect()}
+    right = sum(x["n"] for x in m["confusion"].collect() if x["parent_bucket"] == x["predicted"])
+    assert counted == m["class_sizes"] and right / 32 == pytest.approx(m["accuracy"], abs=0.05)
     got = out["predictions"].collect()
     assert {x["lei"] for x in got} == {f"D{i}" for i in range(32, 40)}
     for x in got:
@@ -51,12 +61,26 @@ def test_training_and_predictions(spark, data, tmp_path):
     assert (tmp_path / "m/model").exists() and (tmp_path / "m/importances").exists()
 
 
-def test_boosting_gives_probabilities(spark, data):
+def test_boosted_model_can_be_stored(spark, data, tmp_path):
+    from tessera.operators.boosting import BoostedPipeline
+
     e, p, r = data
     rows = jurisdiction.features(e).join(jurisdiction.training_labels(r, p), "lei")
-    trained = jurisdiction.train(rows, trees=50, folds=0, kinds=("gradient_boosting",))
-    got = jurisdiction.predict(trained, rows).first()
-    assert sum(map(float, got["top3_probabilities"].split(";"))) == pytest.approx(1, abs=0.01) and jurisdiction.importances(trained)
+    trained = jurisdiction.train(rows, trees=10, folds=0, kinds=("gradient_boosting",))
+    assert trained.metrics["model"] == "gradient_boosting" and trained.metrics["accuracy"] is None
+    assert dict(jurisdiction.importances(trained))["categories"] >= 0 and sum(x for _, x in jurisdiction.importances(trained)) == pytest.approx(1)
+    sinks.save_model(trained, str(tmp_path / "m"), spark)
+    again = BoostedPipeline.load(str(tmp_path / "m/model"), spark)
+    both = [sorted((x["lei"], *x["probability"]) for x in m.transform(rows).collect()) for m in (trained.model, again)]
+    assert both[0] == both[1] and all(sum(x[1:]) == pytest.approx(1) for x in both[0])
+
+
+def test_too_few_rows_are_not_cross_validated(spark, data):
+    e, p, r = data
+    rows = jurisdiction.features(e).join(jurisdiction.training_labels(r.where("source_lei in ('D0', 'D1', 'D2')"), p), "lei").withColumn("parent_bucket", F.when(F.col("lei") == "D0", "US").otherwise("SG"))
+    trained = jurisdiction.train(rows, trees=10)
+    assert trained.metrics["model"] == "gradient_boosting" and trained.metrics["folds"] == 0 and trained.metrics["accuracy"] is None
+    assert jurisdiction.predict(trained, rows).count() == 3
 
 
 def test_one_class_is_constant(spark, data):
