@@ -88,7 +88,10 @@ def graph_prediction(x: Inputs, matches: DataFrame | None = None, neg_ratio: int
     trained = links.train(nodes, edges, pairs, **train)
     out |= {"training_pairs": pairs, "model": trained}
     if trained.model is not None:
-        scored = links.score_candidates(trained, links.candidates(x.domestic, rels, x.parents, cap), nodes, edges, min_probability)
+        if cap is None:
+            scored, _ = cut_lineage(links.predicted(trained, x.domestic, rels, x.parents, nodes, edges, min_probability), "likely-links")
+        else:
+            scored = links.score_candidates(trained, links.candidates(x.domestic, rels, x.parents, cap), nodes, edges, min_probability)
         out |= {"links": links.ranked(scored), "best": links.best_links(scored, x.parents)}
     return out
 
