@@ -683,10 +683,30 @@ def jurisdiction_features(spark, sf):
     return r6(jurisdiction.features(a.domestic, _summary(a), a.exceptions), "pagerank", "degree_centrality")
 
 
+def country_model(a: At, **train) -> dict:
+    """The model phase as the product runs it: labels with those of sure name matches, graph columns, both kinds compared."""
+    x = pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions)
+    matches, _ = cut_lineage(pipelines.name_inference(x)["matches"], "name-matches")
+    table, _ = cut_lineage(graph.graph_summary(a.entities, a.relationships), "graph-columns")
+    return pipelines.jurisdiction_prediction(x, matches, table, **train)
+
+
 @query()
 def jurisdiction_predictions(spark, sf):
-    a = Shared(spark, sf)
-    return pipelines.jurisdiction_prediction(pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions))["predictions"]
+    return country_model(Shared(spark, sf))["predictions"]
+
+
+@query()
+def jurisdiction_model(spark, sf):
+    """The fitted country model's figures: each fold-tested kind's accuracy, the confusion counts and the importances."""
+    trained = country_model(Shared(spark, sf))["model"]
+    figures = [(k, "", float(trained.metrics[k])) for k in ("n_samples", "n_classes", "folds", "baseline", "accuracy", "accuracy_std", "top3_accuracy", "top3_std", "lift") if trained.metrics.get(k) is not None]
+    figures += [(f"accuracy_{k}", "", v) for k, v in trained.metrics.get("all_models", {}).items()]
+    rows = [("metric", *f) for f in figures] + [("importance", name, "", w) for name, w in jurisdiction.importances(trained)]
+    out = spark.createDataFrame(rows, "part string, item string, other string, value double")
+    if "confusion" in trained.metrics:
+        out = out.unionByName(trained.metrics["confusion"].select(F.lit("confusion").alias("part"), F.col("parent_bucket").alias("item"), F.col("predicted").alias("other"), F.col("n").cast("double").alias("value")))
+    return out.withColumn("value", F.round("value", 6))
 
 
 #: Known links, and those that shared addresses suggest.
@@ -738,14 +758,10 @@ def link_candidates(spark, sf):
 @query()
 def link_predictions(spark, sf):
     a = Shared(spark, sf)
-    nodes, edges = _graph(a)
-    trained = links.train(nodes, edges, links.training_pairs(a.relationships, a.domestic, a.parents))
-    return links.ranked(links.score_candidates(trained, links.candidates(a.domestic, a.relationships, a.parents), nodes, edges))
-
-
-@query("SELECT * FROM (VALUES ('A1', 1, 1, 1, 4, 2, 0), ('A2', 1, 0, 1, 4, 1, 0), ('A3', 0, 0, 0, 1, 0, 0), ('P1', 0, 0, 0, 4, 0, 2), ('P2', 0, 0, 0, 4, 0, 1)) t(lei, has_parent_link, has_ultimate_link, foreign_parent, weakly_connected_component_size, out_degree, in_degree)")
-def mock_pipeline(spark, sf):
-    return pipelines.mock_pipeline(spark).select("lei", "has_parent_link", "has_ultimate_link", "foreign_parent", "weakly_connected_component_size", "out_degree", "in_degree")
+    nodes, edges = (cut_lineage(df, "graph")[0] for df in _graph(a))
+    pairs, _ = cut_lineage(links.training_pairs(a.relationships, a.domestic, a.parents), "training-pairs")
+    trained = links.train(nodes, edges, pairs)
+    return links.ranked(links.predicted(trained, a.domestic, a.relationships, a.parents, nodes, edges))
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1)) AS u, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2)) AS t FROM pages)
