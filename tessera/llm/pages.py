@@ -1,6 +1,7 @@
 """HTML main text by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by link density; the best
 container is kept, with the siblings (its own, and its ancestors') whose points are near its own. Tags and everyday names that tell of the
-article or of furniture only change points; elements and names that can only be furniture go before scoring."""
+article or of furniture only change points. Elements that can only be furniture go before scoring; so do those of its names, unless they are
+prose of a named article or most of the page."""
 
 from __future__ import annotations
 
@@ -28,15 +29,20 @@ SCOPES = frozenset("html body table ul ol dl article section main div td th nav
 #: Names (parts of class and id) that only page furniture bears: elements of these names go, paragraphs and headings with the first set alone. Fixed values.
 ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsored cookie cookies gdpr newsletter outbrain taboola hidden noprint".split())
 FURNITURE = ADVERTS | frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager masthead topbar toolbar sidebar widget banner promo comments commentlist disqus replies share sharing addthis popup modal overlay subscribe signup login paywall".split())
+#: Of these, those that may also name a part of a story: in a named article such an element stays if it reads as prose. Fixed values.
+SOFT = frozenset("nav navigation menu widget banner promo share sharing replies toolbar pager popup modal overlay subscribe signup login paywall".split())
+#: What stands beside such a word in a name of several parts; any other word there (market-share) makes it another name. Fixed values.
+GENERIC = frozenset("area bar block body bottom box btn button buttons container content desktop div fixed float footer global google group header inner item items layer left link links list main mobile module outer page panel post posts primary region right row secondary section site slot social sticky sub text title top unit user wrap wrapper".split())
 #: Whole class names of the same kind. Fixed values.
 NAMED_OFF = frozenset("sr-only visually-hidden screen-reader-text skip-link site-header site-footer page-header page-footer comment-list comment-form related-posts related-articles tag-list social-links".split())
 #: Everyday words that often name furniture take points from a container, and those that often name the article add some; neither removes text. Fixed values.
 WEAK = frozenset("header footer foot side aside rail related recommended trending popular comment respond discussion notice alert notification social follow form search register copyright legal disclaimer tags print toc teaser meta byline".split())
 STRONG = frozenset("article main content post entry story body text page".split())
-#: How a block of reader comments or a notice of cookies opens, whatever its name. Fixed values.
+#: How a block of reader comments (with their number: in a named article too) or a notice of cookies opens, whatever its name. Fixed values.
+NUMBERED = re.compile(r"\d|\(")
 OPENS_OFF = re.compile(r"(?:\d+\s+)?(?:(?:reader |user )?comments?|responses?|replies|leave a (?:comment|reply)|add a comment|kommentare?|commentaires?|comentarios?)(?:\s*\(\d+\)|\s*:|\s+\d+)?$", re.I)
 COOKIES = re.compile(r"\b(?:we|this (?:web)?site|our (?:web)?site|wir|nous|este sitio|diese (?:web)?seite)\b.{0,40}\bcookies\b", re.I)
-ROLES_OFF = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
+ROLES_OFF = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -136,9 +142,17 @@ def off(n: Node, in_article: bool, forms: bool) -> bool:
         return True
     if n.tag in ("body", "html", "article", "main", "#root"):
         return False
-    if not NAMED_OFF.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split()):
-        return True
-    return not (ADVERTS if n.tag in PARAGRAPHS or n.tag in INLINE else FURNITURE).isdisjoint(names(n))
+    return not NAMED_OFF.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+
+
+def furniture(n: Node) -> set[str]:
+    """The words of FURNITURE that an element's class or id is named by: alone in a name, or beside generic words and numbers only."""
+    out = set()
+    for name in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower().split() if n.attrs else ():
+        parts = [x for x in PARTS.split(name) if x]
+        if all(x in FURNITURE or x in GENERIC or x.isdigit() for x in parts):
+            out.update(x for x in parts if x in FURNITURE)
+    return out
 
 
 def trim(n: Node, forms: bool = True) -> None:
@@ -162,27 +176,70 @@ def in_order(root: Node) -> list[Node]:
     return order
 
 
-def drop_told(root: Node) -> None:
-    """Take out blocks that open as reader comments do and hold no title or named article, and short ones that tell of cookies."""
+def text_weight(n: Node) -> int:
+    """Characters outside links."""
+    return n.chars - n.linked
+
+
+def measure(root: Node) -> list[Node]:
+    """Fill chars, linked, first and titled; all nodes, children after parents."""
     order = in_order(root)
     for n in reversed(order):
-        n.titled = n.tag in ("h1", "article", "main") or any(c.titled for c in n.children if not isinstance(c, str))
+        below = [c for c in n.children if not isinstance(c, str)]
+        n.chars = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)) + sum(c.chars for c in below)
+        n.linked = n.chars if n.tag == "a" else sum(c.linked for c in below)
+        n.titled = (n.tag in ("h1", "article", "main")) + sum(c.titled for c in below)
         for c in n.children:
             n.first = SPACE.sub(" ", html.unescape(c)).strip() if isinstance(c, str) else c.first
             if n.first:
                 break
-    for n in order:
-        n.children = [c for c in n.children if isinstance(c, str) or c.tag in INLINE or c.tag in PARAGRAPHS or not told(c)]
+    return order
 
 
-def told(n: Node) -> bool:
-    if n.titled or n.tag in WHOLE:
+def prose(n: Node) -> bool:
+    """Whether an element reads as part of a story: few links, and a paragraph of two points or more that ends as sentences do."""
+    if density(n) >= 0.33:
         return False
-    if OPENS_OFF.match(n.first):
-        return True
-    if not COOKIES.search(n.first):
+    text = SPACE.sub(" ", " ".join(blocks([n])))
+    return text.endswith(ENDS) and any(len(b) >= 50 and points(len(b), _commas_in(b), 0) >= 1.5 for b in blocks([n]))
+
+
+def drop_told(root: Node) -> None:
+    """Take out what its name or its opening tells to be furniture; outside a named article, not what holds most of the page's own
+    text and all its titles and named articles.
+
+    In one, a name of SOFT removes no prose, and an opening removes only comments that tell their number.
+    """
+    measure(root)
+    most = text_weight(root) / 2
+    todo = [(root, root.tag in ("article", "main"))]
+    while todo:
+        n, inside = todo.pop()
+        kept = []
+        for c in n.children:
+            if isinstance(c, str):
+                kept.append(c)
+                continue
+            within = inside or c.tag in ("article", "main") or c.attrs.get("role", "").lower() in ("article", "main")
+            if c.tag not in WHOLE and not (c.tag in ("article", "main")):
+                named = furniture(c)
+                if c.tag in PARAGRAPHS or c.tag in INLINE:
+                    named &= ADVERTS
+                elif told(c, inside, most if c.titled == root.titled else root.chars):
+                    continue
+                if named and (inside or text_weight(c) <= most or c.titled < root.titled) and not (inside and named <= SOFT and prose(c)):
+                    continue
+            kept.append(c)
+            todo.append((c, within))
+        n.children = kept
+
+
+def told(n: Node, inside: bool, most: float) -> bool:
+    if n.titled:
         return False
-    return sum(map(len, blocks([n]))) < 1000
+    if OPENS_OFF.match(n.first):
+        return not inside or NUMBERED.search(n.first) is not None
+    return not inside and text_weight(n) <= most and COOKIES.search(n.first) is not None
 
 
 def points(chars: int, commas: int, linked: int) -> float:
@@ -262,6 +319,7 @@ def keeps(c: Node | str, top: Node, beside: bool, before: bool) -> bool:
     if c.tag in PARAGRAPHS:
         return beside and (density(c) < 0.25 if c.chars >= 80 else not c.linked and text_of(c).endswith(ENDS))
     same = c.tag == top.tag and c.attrs.get("class") == top.attrs.get("class") and (c.tag == "article" or "class" in c.attrs)
+    same = same or (c.tag == top.tag == "article" and prose(c))
     return c.net + (0.2 * top.net if same else 0.0) >= max(0.0 if same else min(10.0, 0.5 * top.net), 0.2 * top.net)
 
 
@@ -353,16 +411,21 @@ def blocks(parts: list[Node | str]) -> list[str]:
 def extract(page: str | None) -> str:
     """The main text: its blocks joined by one newline."""
     root = parse(page or "")
-    trim(root)
+    trim(root, forms=not in_form(page))
     drop_told(root)
-    text = blocks(main_nodes(root))
-    if not text and page and "<form" in page.lower():
-        # All text lies in a form: it is the page's container, not furniture.
-        root = parse(page)
-        trim(root, forms=False)
-        drop_told(root)
-        text = blocks(main_nodes(root))
-    return "\n".join(text)
+    return "\n".join(blocks(main_nodes(root)))
+
+
+def in_form(page: str | None) -> bool:
+    """Whether most of a page's own text lies in forms: then they are its container, not furniture."""
+    if not page or "<form" not in page.lower():
+        return False
+    root = parse(page)
+    trim(root, forms=False)
+    order = measure(root)
+    inner = {id(c) for n in order if n.tag == "form" for c in in_order(n)[1:]}
+    held = sum(text_weight(n) for n in order if n.tag == "form" and id(n) not in inner)
+    return 2 * held > text_weight(root)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -372,7 +435,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each page.
 
     pages: page_id, url, html (others ignored). Null and empty pages have an empty text. Pages are read one by one, so repeated rows
-    repeat; of equally scored containers the first in page order is taken. An empty table gives no rows.
+    repeat; of equally scored containers, named articles too, the first in page order is the best and the others stay as its siblings. Very
+    long pages are read whole, by tokens, without recursion. An empty table gives no rows.
     """
     small_batches(pages.sparkSession)
 

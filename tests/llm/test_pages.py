@@ -168,3 +168,55 @@ def test_scores_against_brute_force():
         want = brute_scores(root)
         for n in pages.score(root):
             assert n.score == pytest.approx(want[id(n)])
+
+
+PROSE = "The old mill by the river still grinds the corn of three villages, as it did before."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section><h2>Responses</h2><p>{PROSE}</p></section>",
+        f"<div>Comments:<p>{PROSE}</p></div>",
+        f"<div>This site of the old bakery still sells cookies to all who come by.<p>{PROSE}</p></div>",
+        f'<section class="market-share"><p>{PROSE}</p></section>',
+        f'<section id="the-banner-of-war"><p>{PROSE}</p></section>',
+        f'<div class="widget review"><p>{PROSE}</p></div>',
+        f'<div class="menu"><p>{PROSE}</p></div>',
+        f'<div role="note"><p>{PROSE}</p></div>',
+    ],
+)
+def test_words_and_openings_remove_no_story(part):
+    got = pages.extract(f"<body><article><h1>Title</h1>{BODY}{part}{BODY}</article></body>")
+    want = "\n".join(pages.blocks([pages.parse(part)]))
+    assert got == f"Title\n{TEXT}\n{want}\n{TEXT}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="ad">Buy this now, and save.</div>', f'<div class="ad-slot-2"><p>{PROSE}</p></div>', f'<div class="comments"><p>{PROSE}</p></div>', f'<section id="user-comments"><p>{PROSE}</p></section>',
+        '<div class="share-buttons">Share this</div>', '<div class="menu"><a href=1>One</a> <a href=2>Two</a></div>', f"<div><h3>3 Comments</h3><p>{PROSE}</p></div>", '<div class="sidebar">More to read here.</div>', '<div class="cookie-banner">We use cookies.</div>', f'<div class="newsletter signup"><p>{PROSE}</p></div>',
+    ],
+)
+def test_furniture_in_an_article_still_goes(part):
+    assert pages.extract(f"<body><article>{BODY}{part}{BODY}</article></body>") == f"{TEXT}\n{TEXT}"
+
+
+def test_size_decides_nothing_about_cookies_and_comments():
+    notice = f"<div>We use cookies here.<p>{'Our partners store things on your device. ' * 60}</p></div>"
+    assert pages.extract(f"<body><div>{BODY * 40}</div>{notice}</body>") == "\n".join([TEXT] * 40)
+    # What is most of the page is its story, whatever it is named or opens with.
+    assert pages.extract(f'<body><div class="banner">{BODY * 5}</div><p>Short end.</p></body>').startswith(TEXT)
+    assert pages.extract(f"<body><div>Our site is about cookies, and how to bake them.{BODY * 5}</div></body>").endswith(TEXT)
+
+
+def test_a_form_around_the_story_is_its_container():
+    assert pages.extract(f"<body><form>{BODY}{BODY}</form><p>Nineteen characters.</p></body>").startswith(f"{TEXT}\n{TEXT}")
+    assert pages.extract(f"<body><div>{BODY}{BODY}</div><form><p>Your name, please, and your address.</p><input></form></body>") == f"{TEXT}\n{TEXT}"
+
+
+def test_a_second_article_of_another_class_stays():
+    assert pages.extract(f"<body><article class=a>{BODY * 6}</article><article class=b><p>{PROSE}</p></article><article class=teaser><a href=1>Another story, elsewhere</a></article></body>") == "\n".join([TEXT] * 6 + [PROSE])
+    # Ties between named articles: both, in page order.
+    assert pages.extract(f"<body><article>{BODY}</article><article>{BODY}</article></body>") == f"{TEXT}\n{TEXT}"
