@@ -10,15 +10,23 @@ GPL = "This work is licensed under the GNU General Public License, version 3."
 
 def brute(text, whole=False):
     """(score, license) of the best candidate, without prefixes or bounds."""
-    best, low = (0.0, None), text.lower()
+    low, found = text.lower(), {}
     paragraphs = [re.sub(licenses.WRAPS, " ", p) for p in re.split(licenses.APART, re.sub(licenses.MARKS, "", low))]
-    for u in {*re.split(licenses.BREAKS, low), *paragraphs, *(x for p in paragraphs for x in re.split(licenses.STOPS, p)), *([low] if whole else [])}:
+    units = {*re.split(licenses.BREAKS, low), *paragraphs, *(x for p in paragraphs for x in re.split(licenses.STOPS, p)), *([low] if whole else [])}
+    tags = {u for u in units if re.search(licenses.TAG, u) and re.search(licenses.BETWEEN, u)}
+    units = (units - tags) | {f"spdx-license-identifier: {x}" for u in tags for x in re.split(licenses.BETWEEN, re.sub(licenses.TAG, "", u))}
+    for u in units:
+        if re.search(licenses.NEGATED, u):
+            continue
         tf = Counter(licenses.words(u))
         w = {t: (1 + math.log(n)) * licenses.IDF.get(t, licenses.OTHER_IDF) for t, n in tf.items()}
         size = math.sqrt(sum(x * x for x in w.values())) or 1
-        for name, v in licenses.VECTORS:
-            best = max(best, (round(sum(x * v.get(t, 0) for t, x in w.items()) / size, 6), name), key=lambda p: (p[0], p[1] or ""))
-    return best if best[0] >= licenses.THRESHOLD else (None, None)
+        score, name = max((round(sum(x * v.get(t, 0) for t, x in w.items()) / size, 6), name) for name, v in licenses.VECTORS)
+        if score >= licenses.THRESHOLD:
+            found[name] = max(found.get(name, 0), score)
+    if licenses.WITHIN[1] in found:
+        found.pop(licenses.WITHIN[0], None)
+    return max(((s, n) for n, s in found.items()), default=(None, None))
 
 
 def scan(spark, rows):
@@ -121,3 +129,31 @@ def test_bounds_lose_no_match(spark):
 def test_ties_go_to_the_last_name(spark, monkeypatch):
     monkeypatch.setattr(licenses, "VECTORS", [("A-1", licenses.VECTORS[0][1]), ("B-1", licenses.VECTORS[0][1])])
     assert [r["license"] for r in scan(spark, [("x/y", licenses.TEMPLATES[0][1])])] == ["B-1"]
+
+
+PROGRAM, LIBRARY = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {{}} Public License as published by the Free Software Foundation{} either version {{}} of the License, or (at your option) any later version.".format(*x) for x in (("program", ":", ","), ("library", ";", ";")))
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+REDISTRIBUTE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+HEADERS = [
+    (PROGRAM.format("General", 2), "GPL-2.0"), (PROGRAM.format("General", 3), "GPL-3.0"), (LIBRARY.format("General", 2), "GPL-2.0"), (LIBRARY.format("Lesser General", "2.1"), "LGPL-2.1"), (LIBRARY.format("Lesser General", 3), "LGPL-3.0"),
+    (PROGRAM.format("Lesser General", "2.1"), "LGPL-2.1"), (PROGRAM.format("Affero General", 3), "AGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999", "LGPL-2.1"), ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "LGPL-3.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "AGPL-3.0"),
+    ("BSD 2-Clause License", "BSD-2-Clause"), ("BSD 3-Clause License", "BSD-3-Clause"), (REDISTRIBUTE, "BSD-2-Clause"), (f"{REDISTRIBUTE}\n\n{NEITHER}", "BSD-3-Clause"), (NEITHER.replace("the copyright holder", "Example Inc."), "BSD-3-Clause"),
+    ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("This project is licensed under the MIT License.", "MIT"), ("Released under the MIT license", "MIT"), (GRANT, "MIT"), ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0"),
+    ("# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/", "Apache-2.0"), ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', "Apache-2.0"),
+    ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "ISC"), ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Dedicated to the public domain under CC0 1.0 Universal", "CC0-1.0"),
+    ("This work is not licensed under the GNU General Public License, version 3.", None), ("It isn't released under the MIT License", None), ("Nothing here is licensed, nor free.", None),
+]
+
+
+def test_real_headers_give_their_licence_and_version(spark):
+    got = {r["path"]: r for r in scan(spark, [(f"h{i}/a", t) for i, (t, _) in enumerate(HEADERS)])}
+    wrong = [(t, name, got[f"h{i}/a"]["license"]) for i, (t, name) in enumerate(HEADERS) if got[f"h{i}/a"]["license"] != name]
+    assert not wrong
+
+
+def test_several_licences_are_a_set(spark):
+    rows = [("a/x", "SPDX-License-Identifier: Apache-2.0 OR MIT"), ("b/x", "SPDX-License-Identifier: (MIT AND BSD-2-Clause)"), ("c/LICENSE", f"{GPL}\n\nReleased under the MIT License"), ("c/y", "code"), ("d/x", PROGRAM.format("General", 2))]
+    assert {r["path"]: r["licenses"] for r in scan(spark, rows)} == {"a/x": "Apache-2.0, MIT", "b/x": "BSD-2-Clause, MIT", "c/LICENSE": "GPL-3.0, MIT", "c/y": "GPL-3.0, MIT", "d/x": "GPL-2.0"}
