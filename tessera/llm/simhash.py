@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.common import materialise, rows_of, small_batches, table
-from tessera.operators.components import component_labels
+from tessera.operators.components import WRITTEN, component_labels, cut_lineage, drop_table
 
 RADIUS, PIVOTS, HOT, SHINGLE = 2, 16, 4096, 3
-#: keep_one() sends the rows to drop to all executors up to so many (three longs each); beyond it they are joined by shuffle.
-MOST_SENT = 2_000_000
+#: keep_one() marks the rows to drop in bitmaps of BITS rows of a file, and sends so many of them (4 KB each) to the executors at once.
+BITS, BITMAPS = 32_768, 16_384
 #: Shingle hashes that are held at once.
 PART = 1 << 16
 
@@ -181,33 +181,57 @@ def _least(fps: DataFrame, key: Column) -> DataFrame:
     return distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
 
 
+def _file_seed(docs: DataFrame) -> int:
+    """A seed for which the hashes of all files' paths differ: almost surely the first. Only files' names and row counts are read."""
+    paths = docs.select(F.col("_metadata.file_path").alias("p")).distinct()
+    for seed in range(42, 52):
+        n, different = paths.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64("p", F.lit(seed)))).first()
+        if n == different:
+            return seed
+    raise RuntimeError("files' paths cannot be told apart")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, all columns: the row with the smallest doc_id, null ids last, then the first row by place.
 
     Rows are told apart by their place (file and row number), so repeated ids and null ids leave one row as well. docs: doc_id, text and
     any others, whose names may clash; if it is not read from Parquet it is written first. Null and wordless texts make one group. An
-    empty table stays empty. Only places and ids are shuffled; the texts pass a filter where they are read, as long as the rows to drop
-    are MOST_SENT or fewer.
+    empty table stays empty. Only places and ids are shuffled: the rows to drop become bits of their files, an eighth of a byte for each
+    row whatever their number, and texts pass a filter where they are read. Files are dealt into parts of BITMAPS bitmaps or so, one part
+    for half a thousand million rows, and each part's bitmaps go to the tasks that read its files.
     """
+    spark = docs.sparkSession
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = materialise(docs, "documents")
     names: list[str] = []
-    for name in ("file", "row", "id"):
+    for name in ("file", "row", "bucket", "bits"):
         while name in docs.columns:
             name += "_"
         names.append(name)
-    file, row, own = names
-    placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    file, row, bucket, bits = names
+    before = set(WRITTEN)
+    placed = docs.select("*", F.xxhash64("_metadata.file_path", F.lit(_file_seed(docs))).alias(file), F.col("_metadata.row_index").alias(row))
     fps = materialise(fingerprints(placed, (file, row)), "simhash")
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col(file), F.col(row))
     joined = fps.join(_least(fps, key), "fp")
-    extra = joined.where((F.col(file) != F.col("least")[file]) | (F.col(row) != F.col("least")[row])).select(F.col("doc_id").alias(own), file, row)
-    extra = materialise(extra, "simhash-extra")
-    # The id is compared too: two files whose paths have one hash cannot lose a row for each other.
-    same = placed[file].eqNullSafe(extra[file]) & placed[row].eqNullSafe(extra[row]) & placed["doc_id"].eqNullSafe(extra[own])
-    return placed.join(F.broadcast(extra) if extra.count() <= MOST_SENT else extra, same, "left_anti").select(*[placed[c] for c in docs.columns])
+    extra = joined.where((F.col(file) != F.col("least")[file]) | (F.col(row) != F.col("least")[row])).select(file, row)
+    at = (F.col(row) / BITS).cast("long").alias(bucket)
+    marked, path = cut_lineage(extra.groupBy(file, at).agg(F.bitmap_construct_agg(F.col(row) % BITS).alias(bits)), "simhash-extra")
+    for old in [p for p in WRITTEN if p not in before and p != path]:
+        drop_table(spark, old)
+    parts = max(1, -(-marked.count() // BITMAPS))
+    # Of a bitmap, the byte that holds the row's bit.
+    place = F.col(row) % BITS
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    gone = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8).cast("int") + 1)) != 0, F.lit(False))
+    out = None
+    for part in range(parts):
+        own = lambda df: df.where(F.pmod(F.col(file), F.lit(parts)) == part) if parts > 1 else df  # noqa: B023, E731
+        some = own(placed).withColumn(bucket, (F.col(row) / BITS).cast("long")).join(F.broadcast(own(marked)), [file, bucket], "left").where(~gone).select(docs.columns)
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

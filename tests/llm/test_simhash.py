@@ -127,9 +127,11 @@ def kept(df):
     return sorted(simhash.keep_one(df).select("doc_id", "text").collect(), key=str)
 
 
-@pytest.mark.parametrize("most", [simhash.MOST_SENT, 0])
-def test_one_row_of_each_group(spark, docs, tmp_path, monkeypatch, most):
-    monkeypatch.setattr(simhash, "MOST_SENT", most)
+@pytest.mark.parametrize("bits,bitmaps", [(simhash.BITS, simhash.BITMAPS), (2, 1)])
+def test_one_row_of_each_group(spark, docs, tmp_path, monkeypatch, bits, bitmaps):
+    """The second: as many parts as bitmaps, which more rows to drop than any part holds need."""
+    monkeypatch.setattr(simhash, "BITS", bits)
+    monkeypatch.setattr(simhash, "BITMAPS", bitmaps)
     long = "one two three four five six seven " * 50
     rows = [(5, long), (3, long), (9, long), (9, long), (None, long), (None, "alone and null"), (None, "alone and null"), (7, None), (8, ""), (6, "  "), (1, "quite another text with its own words"), (1, "quite another text with its own words"), (1, "same id, other words in this text"), (20, "x " * 200_000)]
     want = sorted([(3, long), (None, "alone and null"), (6, "  "), (1, rows[10][1]), (1, rows[12][1]), (20, rows[13][1])], key=str)
@@ -141,4 +143,18 @@ def test_one_row_of_each_group(spark, docs, tmp_path, monkeypatch, most):
     assert [tuple(r) for r in kept(read)] == want and simhash.keep_one(read).columns == df.columns
     assert kept(read.where("doc_id < 0")) == []
     plan = simhash.keep_one(read)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or not most
+    # Whatever the number of rows to drop, no text is shuffled: bitmaps go to where texts are read.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_bitmaps_hold_every_place(spark, docs, tmp_path):
+    rows = [(i, f"text number {i // 3} with its own words {i // 3 * 7919}") for i in range(900)]
+    path = str(tmp_path / "many.parquet")
+    docs(rows).coalesce(1).write.parquet(path)
+    before = set(simhash.WRITTEN)
+    got = simhash.keep_one(spark.read.parquet(path))
+    assert len(set(simhash.WRITTEN) - before) == 1  # the bitmaps; what led to them is deleted
+    least = {}
+    for r in simhash.near_duplicates(spark.read.parquet(path)).collect():
+        least.setdefault(r["component_id"], []).append(r["doc_id"])
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(map(min, least.values())) and len(least) <= 300
