@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, packing, quality, simhash
-from tessera.llm.common import materialise, table
+from tessera.llm.common import table
+from tessera.operators.components import WRITTEN, cut_lineage, drop_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +34,13 @@ STAGES = [("quality rules", good_quality), ("language id", known_language), ("si
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn on documents, each one's result written and read again."""
+    """Every stage in turn on documents, each one's result written and read again; what earlier stages wrote is then deleted."""
     docs = table(spark, sf_dir, "documents")
+    before = set(WRITTEN)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        for old in [p for p in WRITTEN if p not in before and p != path]:
+            drop_table(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
