@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 from tessera.llm import langid, packing, quality, registry, simhash
+from tessera.llm.common import materialise
 
 rng = random.Random(9)
 STEMS = {"aa": ["lor", "mip", "dus", "kan", "vel"], "bb": ["ost", "ürt", "gej", "vaz", "hik"]}
@@ -52,7 +53,7 @@ def test_stages_against_brute_force(spark, folder):
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, folder), name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, folder), name.replace(" ", "-"))
         assert docs.columns == columns
         seen.append({r["doc_id"] for r in docs.collect()})
     good, known, single, tokens = brute(spark, folder)
@@ -71,7 +72,7 @@ def test_stages_take_empty_tables(spark, folder, tmp_path):
 
 def test_registry_names():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language id", "simhash near-dedup", "packing"]
 
@@ -85,7 +86,7 @@ def test_stages_take_nulls_repeats_and_giants(spark, folder, tmp_path):
     made.union(extra).write.parquet(path)
     docs, seen = spark.read.parquet(path), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, folder), name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, folder), name.replace(" ", "-"))
         assert docs.columns == made.columns
         seen.append([(r["doc_id"], len(r["text"] or "")) for r in docs.where("component_id = 'clash'").collect()])
     known = [(3, len(giant)), (3, len(giant)), (None, len(giant)), (None, len(rows[6][1])), (4, len(rows[7][1]))]
