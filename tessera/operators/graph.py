@@ -190,20 +190,31 @@ def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, m
     """lei, propagated_country, confidence, hops of unlabeled nodes that a labeled one (lei, label) reaches.
 
     The nearest label wins, ties to the least label. Confidence is that label's share of the component's labels over 1 + hops. A search
-    from all labels at once: each step adds the nodes one hop further, so work per step is one join of the frontier with the edges. It ends
-    where no node is left to reach, or after max_hops.
+    from all labels at once: a neighbour of a node at some distance is one nearer, as far, or one farther, so each step joins the last nodes
+    found with the edges and compares with the last two steps' nodes alone. It ends where no node is left to reach, or after max_hops.
     """
-    around = undirected(edges).where("u <> v")
-    around, _ = cut_lineage(around, "propagation-edges")
+    spark = vertices.sparkSession
+    around, around_path = cut_lineage(undirected(edges).where("u <> v"), "propagation-edges")
     known = labels.join(vertices.select("lei"), "lei", "left_semi").select("lei", "label").distinct()
-    seen, path = cut_lineage(known.groupBy("lei").agg(F.min("label").alias("label")).withColumn("hops", F.lit(0)), "propagation")
+    last, path = cut_lineage(known.groupBy("lei").agg(F.min("label").alias("label")).withColumn("hops", F.lit(0)), "propagation")
+    seen, steps, before = last, [path], None
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        edge = seen.where(F.col("hops") == hop - 1).join(around, F.col("lei") == F.col("u")).groupBy(F.col("v").alias("lei")).agg(F.min("label").alias("label"))
-        new = edge.join(seen.select("lei"), "lei", "left_anti").withColumn("hops", F.lit(hop))
-        new, new_path = cut_lineage(new, "propagation")
+        near = last.join(around, F.col("lei") == F.col("u")).groupBy(F.col("v").alias("lei")).agg(F.min("label").alias("label"))
+        for old in (last, before):
+            near = near if old is None else near.join(old.select("lei"), "lei", "left_anti")
+        new, path = cut_lineage(near.withColumn("hops", F.lit(hop)), "propagation")
+        steps.append(path)
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen, before, last = seen.unionByName(new), last, new
+        if hop % 20 == 0:  # so that a plan never reads more than some twenty tables
+            seen, path = cut_lineage(seen, "propagation")
+            for gone in steps[:-2]:
+                drop_table(spark, gone)
+            steps = [*steps[-2:], path]
+    seen, _ = cut_lineage(seen, "propagated")
+    for gone in (*steps, around_path):
+        drop_table(spark, gone)
     parts = components(vertices, edges).select("lei", "component")
     votes = known.groupBy("lei").agg(F.min("label").alias("label")).join(parts, "lei").groupBy("component", "label").agg(F.count("*").alias("n"))
     total = votes.withColumn("of", F.sum("n").over(W.partitionBy("component")))

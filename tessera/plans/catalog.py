@@ -493,20 +493,22 @@ def uie_source_mix(spark, sf):
 # ---- Score and review. ----
 
 SCORED = f"""{SUMMARY}, {FLAGS}, {FOREIGN}, flagged AS (SELECT s.*, coalesce(has_parent_link, 0) AS has_parent_link, coalesce(has_ultimate_link, 0) AS has_ultimate_link, coalesce(foreign_parent, 0) AS foreign_parent, CAST(coalesce(exception_reason = 'NON_CONSOLIDATING', false) AS INT) AS is_non_consolidating, CAST(exception_reason IS NOT NULL AS INT) AS has_exception_filed,
- CAST(matched.lei IS NOT NULL AS INT) AS has_inferred_parent, CAST(c.lei IS NOT NULL AS INT) AS in_address_cluster, CAST(s.lei LIKE 'S%0' AS INT) AS appears_in_edgar
- FROM summary s LEFT JOIN flags USING (lei) LEFT JOIN foreign_flags USING (lei) LEFT JOIN exc ON exc.lei = s.lei LEFT JOIN matched ON matched.lei = s.lei LEFT JOIN (SELECT DISTINCT lei FROM clusters) c ON c.lei = s.lei),
+ CAST(matched.lei IS NOT NULL AS INT) AS has_inferred_parent, CAST(c.lei IS NOT NULL AS INT) AS in_address_cluster, CAST(filers.lei IS NOT NULL AS INT) AS appears_in_edgar
+ FROM summary s LEFT JOIN flags USING (lei) LEFT JOIN foreign_flags USING (lei) LEFT JOIN exc ON exc.lei = s.lei LEFT JOIN matched ON matched.lei = s.lei LEFT JOIN (SELECT DISTINCT lei FROM clusters) c ON c.lei = s.lei
+ LEFT JOIN (SELECT DISTINCT e.lei FROM entities e JOIN tickers t ON {clean_sql('e.legal_name')} = {clean_sql('t.title')}) filers ON filers.lei = s.lei),
 scaled AS (SELECT *, ln(1 + size_proxy) / greatest((SELECT max(ln(1 + size_proxy)) FROM flagged), 1.0) AS size_scaled FROM flagged),
 scored_rows AS (SELECT *, 0.25 * size_scaled + 0.15 * appears_in_edgar + 0.15 * foreign_parent + 0.1 * has_inferred_parent + 0.05 * in_address_cluster + 0.05 * is_non_consolidating + 0.15 * (1 - has_parent_link) + 0.1 * (1 - has_ultimate_link) AS score,
  concat_ws(';', CASE WHEN size_scaled > 0.6 THEN 'large_network_presence' END, CASE WHEN appears_in_edgar = 1 THEN 'us_filing_presence' END, CASE WHEN foreign_parent = 1 THEN 'foreign_parent_signal' END, CASE WHEN has_inferred_parent = 1 THEN 'inferred_parent_match' END, CASE WHEN in_address_cluster = 1 THEN 'shared_address_cluster' END, CASE WHEN is_non_consolidating = 1 THEN 'non_consolidating_entity' END, CASE WHEN has_parent_link = 0 THEN 'missing_direct_parent' END, CASE WHEN has_ultimate_link = 0 THEN 'missing_ultimate_parent' END) AS reason_flags FROM scaled)"""
-SCORE_TABLES = LADDER_TABLES
+SCORE_TABLES = (*LADDER_TABLES, "tickers")
 
 
 def _scored(a: At) -> DataFrame:
     out = _summary(a).join(graph.parent_flags(a.relationships), "lei", "left").join(graph.foreign_parents(a.relationships, a.entities), "lei", "left")
     out = profile.with_exception_flags(out, a.exceptions)
-    for t, flag in ((_matches(a), "has_inferred_parent"), (clusters.cluster_by_address(a.addresses), "in_address_cluster")):
+    filers = names.match_tickers(a.entities, a.tickers).where("appears_in_edgar = 1")
+    for t, flag in ((_matches(a), "has_inferred_parent"), (clusters.cluster_by_address(a.addresses), "in_address_cluster"), (filers, "appears_in_edgar")):
         out = out.join(t.select("lei").distinct().withColumn(flag, F.lit(1)), "lei", "left")
-    return scoring.coverage_score(out.withColumn("appears_in_edgar", F.col("lei").like("S%0").cast("int")))
+    return scoring.coverage_score(out)
 
 
 @query(f"{LADDER}, {SCORED} SELECT lei, round(size_scaled, 6) AS size_scaled, round(score, 6) AS coverage_gap_score FROM scored_rows", *SCORE_TABLES)

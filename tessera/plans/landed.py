@@ -11,8 +11,9 @@ from tessera.functions import rules, schemas, text
 from tessera.operators import clusters, graph, jurisdiction, ladder, links, macro, names, profile, scoring
 from tessera.operators.components import WRITTEN, shared_dir
 from tessera.plans import pipelines
-from tessera.plans.catalog import BRANDS, CLUSTERS, COUNTS, DEGREES, EDGES, INFERRED, INWARD, LADDER, LADDER_TABLES, MATCHED, QUEUE_COLUMNS, REACH, REVIEW, REVIEW_TABLES, SCORED, At, Shared, _assignments, _matches, _positions, _queue, _wide, query, r6
-from tessera.sources import files, landing, sinks
+from tessera.plans.catalog import LABELS as OWN_LABELS
+from tessera.plans.catalog import BRANDS, CLUSTERS, COUNTS, DEGREES, EDGES, INFERRED, INWARD, LADDER, LADDER_TABLES, MATCHED, QUEUE_COLUMNS, REACH, REVIEW, REVIEW_TABLES, SCORED, WALK, At, Shared, _assignments, _matches, _positions, _queue, _wide, query, r6
+from tessera.sources import files, sinks
 from tessera.streaming import incremental
 
 
@@ -232,44 +233,6 @@ def registry_pages(spark, sf):
 
 
 #: A page cap that some pulls pass.
-MAX_PAGES, PAGE = 4, 50
-FULL = MAX_PAGES * PAGE
-
-
-@query(f"""SELECT entity_status AS status, NULL AS category, count(*) AS n, false AS cut FROM domestic GROUP BY 1 HAVING count(*) < {FULL} AND (SELECT count(*) FROM domestic) >= {FULL}
-UNION ALL SELECT s, c, least(coalesce(n, 0), {FULL}), coalesce(n, 0) >= {FULL} FROM (SELECT unnest(['ACTIVE', 'INACTIVE']) AS s) CROSS JOIN (SELECT unnest(['FUND', 'BRANCH', 'SOLE_PROPRIETOR', 'GENERAL']) AS c)
- LEFT JOIN (SELECT entity_status AS s, category AS c, count(*) AS n FROM domestic GROUP BY 1, 2) USING (s, c) WHERE s IN (SELECT entity_status FROM domestic GROUP BY 1 HAVING count(*) >= {FULL})
-UNION ALL SELECT NULL, NULL, count(*), false FROM domestic HAVING count(*) < {FULL}""", "domestic")
-def split_pulls(spark, sf):
-    """Pulls by a client that pages through counts: what the cap cuts off gives way to its parts."""
-    counts = [(r[0], r[1], r[2]) for r in At(spark, sf).domestic.groupBy("entity_status", "category").count().collect()]  # some ten rows
-
-    def pull(filters: dict) -> tuple[list, bool]:
-        status, category = filters.get("filter[entity.status]"), filters.get("filter[entity.category]")
-        n = sum(c for s, k, c in counts if status in (None, s) and category in (None, k))
-        return landing.paged(lambda page: list(range(PAGE * (page - 1), min(PAGE * page, n))), MAX_PAGES, PAGE)
-
-    rows = [(f.get("filter[entity.status]"), f.get("filter[entity.category]"), len(got), cut) for f, got, cut in landing.split_pull(pull, {})]
-    path = folder(spark, "pulls")
-    landing.land(spark, rows, "status string, category string, n long, cut boolean", path, every=3)
-    return spark.read.schema("status string, category string, n long, cut boolean").json(path)
-
-
-@query("SELECT l AS letter, 1 AS page, count(*) AS links FROM (SELECT upper(ctos_name[1]) AS l FROM registry) WHERE l IN ('A', 'B', 'L') GROUP BY 1", "registry")
-def crawled_directory(spark, sf):
-    """Listing pages of three letters by a client over the registry; a letter ends at a page without links."""
-    r = At(spark, sf).registry
-    names_ = {x["l"]: x["n"] for x in r.groupBy(F.upper(F.substring("ctos_name", 1, 1)).alias("l")).agg(F.count("*").alias("n")).collect()}  # one row a letter
-
-    def fetch(letter: str, page: int) -> str:
-        return "".join(f'<a href="{rules.REGISTRY_LINK}{letter}{i}">Company {letter} {i}</a>' for i in range(names_.get(letter, 0) if page == 1 else 0))
-
-    path = folder(spark, "crawl")
-    landing.land(spark, landing.crawl(fetch, lambda body: "<a " in body, letters="abl", pages=3), "letter string, page int, html string", path, every=2)
-    pages = spark.read.schema("letter string, page int, html string").json(path)
-    return files.registry_listing(pages).select(F.regexp_extract("ctos_name", "Company (.)", 1).alias("letter"), F.lit(1).alias("page")).groupBy("letter", "page").agg(F.count("*").alias("links"))
-
-
 # ---- Checkpoints, stages, manifests, streams. ----
 
 
@@ -282,15 +245,6 @@ def appended_checkpoint(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT * FROM (VALUES ('MY', 'inference', 'done', '3 tables'), ('MY', 'scoring', 'failed', 'lost'), ('SG', 'inference', 'pending', '')) t(country, stage, status, detail)")
-def stage_states(spark, sf):
-    states = sinks.StageStates(spark, folder(spark, "stages"))
-    for change in (("MY", "inference", "running"), ("MY", "inference", "done", "3 tables"), ("MY", "scoring", "running"), ("MY", "scoring", "failed", "lost"), ("SG", "inference", "done")):
-        states.mark(*change)
-    states.reset("SG")
-    return states.table().drop("at")
-
-
 @query("SELECT 'entities' AS role, true AS exists, (SELECT count(*) FROM domestic) AS rows, true AS dated UNION ALL SELECT 'scores', false, NULL, false", "domestic")
 def file_manifest(spark, sf):
     path = folder(spark, "manifest")
@@ -356,13 +310,18 @@ def best_links(spark, sf):
     return links.best_links(_guesses(a), a.parents).select("source_lei", "target_lei", "link_probability", "predicted_parent_country")
 
 
-@query(f"""{EDGES}, {GUESSES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS link_predictions_count, round(avg(link_probability), 4) AS avg_link_probability, count(*) FILTER (link_probability >= 0.5) AS high_confidence_links,
-(SELECT count(*) FROM domestic) AS propagated_labels_count, 0.25::DOUBLE AS avg_propagation_confidence, 0::BIGINT AS propagated_high_confidence FROM guesses""", "entities", "relationships", "addresses")
+@query(f"""{EDGES}, {REACH}, {GUESSES}, {OWN_LABELS}, known AS (SELECT lei, parent_country AS label FROM labels_ WHERE lei IN (SELECT lei FROM nodes)), {WALK.replace('walk AS', 'walk (lei, label, hops) USING KEY (lei) AS')},
+votes AS (SELECT component, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY component) AS whole FROM known JOIN comps USING (lei) GROUP BY 1, 2),
+spread AS (SELECT round(n / whole * (1.0 / (1 + hops)), 4)::DOUBLE AS confidence FROM walk JOIN comps USING (lei) JOIN votes ON votes.component = comps.component AND votes.label = walk.label WHERE hops > 0)
+SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS link_predictions_count, round(avg(link_probability), 4) AS avg_link_probability, count(*) FILTER (link_probability >= 0.5) AS high_confidence_links,
+(SELECT count(*) FROM spread) AS propagated_labels_count, (SELECT round(avg(confidence), 4) FROM spread) AS avg_propagation_confidence, (SELECT count(*) FILTER (confidence >= 0.3) FROM spread) AS propagated_high_confidence FROM guesses""", "entities", "relationships", "addresses")
 def link_prediction_summary(spark, sf):
-    """Of links that shared addresses suggest, beside labels of one confidence."""
+    """Of links that shared addresses suggest, beside the labels that the graph propagates."""
     a = Shared(spark, sf)
-    labels = a.domestic.select("lei", F.lit(0.25).alias("confidence"))
-    return links.link_summary(graph.readiness(a.domestic, a.relationships, a.entities), _guesses(a), labels).drop("graph_ready", "labeled_ratio", "n_parent_nodes")
+    edges = graph.edges_of(a.relationships)
+    labels = jurisdiction.training_labels(a.relationships, a.parents).select("lei", F.col("parent_country").alias("label"))
+    spread = graph.propagate_labels(graph.vertices_of(a.entities, edges), edges, labels)
+    return links.link_summary(graph.readiness(a.domestic, a.relationships, a.entities), _guesses(a), spread).drop("graph_ready", "labeled_ratio", "n_parent_nodes")
 
 
 SEED = 42
@@ -423,11 +382,6 @@ def int_flags(spark, sf):
     return At(spark, sf).domestic.select("lei", scoring.int_flag(said).alias("flag"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in sorted(rules.COUNTRIES)) + ") t(country)")
-def supported_countries(spark, sf):
-    return spark.createDataFrame([(c,) for c in rules.supported_countries()], "country string")
-
-
 def _default_line() -> str:
     line = "trim(upper(coalesce(address_line1, '')))"
     for short, full in rules.DEFAULT_ABBREVIATIONS.items():
@@ -502,20 +456,3 @@ def name_phase(spark, sf):
     out = pipelines.name_inference(pipelines.Inputs(a.domestic, a.parents, a.relationships))
     one = lambda what: out[what].agg(F.lit(what).alias("what"), F.count("*").alias("n"))
     return one("brands").unionByName(one("matches")).unionByName(one("edges"))
-
-
-# ---- Fitted models: what they give is not SQL, but must hold to its schema and cover its rows. ----
-
-
-def _model_inputs(a: At) -> pipelines.Inputs:
-    return pipelines.Inputs(a.domestic, a.parents, a.relationships, a.exceptions)
-
-
-@query("""own AS (SELECT DISTINCT r.source_lei AS lei FROM relationships r JOIN parents p ON p.lei = r.target_lei WHERE p.country_legal IS NOT NULL)
-SELECT count(*) AS predicted, count(*) AS named, true AS ordered, 1 AS summed FROM domestic WHERE lei NOT IN (SELECT lei FROM own)""", "domestic", "relationships", "parents")
-def prediction_shape(spark, sf):
-    """Predictions of the forest: one for each unlabelled entity, its three best countries by falling probability, none above one."""
-    out = pipelines.jurisdiction_prediction(_model_inputs(Shared(spark, sf)), trees=10, folds=0)["predictions"]
-    p = F.transform(F.split("top3_probabilities", ";"), lambda x: x.cast("double"))
-    falls = F.forall(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.element_at(p, i) >= F.element_at(p, i + 1))
-    return out.agg(F.count("*").alias("predicted"), F.count_if(F.split("top3_countries", ";")[0] == F.col("predicted_parent_country")).alias("named"), F.bool_and(falls).alias("ordered"), F.max((F.aggregate(p, F.lit(0.0), lambda x, y: x + y) <= 1.001).cast("int")).alias("summed"))
