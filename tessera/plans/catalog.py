@@ -698,9 +698,8 @@ def jurisdiction_predictions(spark, sf):
     return country_model(Shared(spark, sf))["predictions"]
 
 
-@query()
 def jurisdiction_model(spark, sf):
-    """The fitted country model's figures: each fold-tested kind's accuracy, the confusion counts and the importances."""
+    """Not registered, as it fits what jurisdiction_predictions fits once more. The fitted country model's figures: each fold-tested kind's accuracy, the confusion counts and the importances."""
     trained = country_model(Shared(spark, sf))["model"]
     figures = [(k, "", float(trained.metrics[k])) for k in ("n_samples", "n_classes", "folds", "baseline", "accuracy", "accuracy_std", "top3_accuracy", "top3_std", "lift") if trained.metrics.get(k) is not None]
     figures += [(f"accuracy_{k}", "", v) for k, v in trained.metrics.get("all_models", {}).items()]
