@@ -98,3 +98,26 @@ def component_labels(edges: DataFrame, max_steps: int = 500) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {max_steps} steps")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select("dst", "dst").distinct())
+
+
+def merged_labels(labels: DataFrame, added: DataFrame, max_steps: int = 500) -> DataFrame:
+    """component_labels of a graph after edges were added, from its labels (node, component) before and the added edges (src, dst) alone.
+
+    Each end of an added edge stands for its component (a new node for itself), so the steps run on a graph of components whose size is
+    that of the addition; no old edge is read. A component is named by its least node, and the least name of those that meet is the least
+    node of their union, so the result equals a fresh start on all edges. Edges with a null end, self-loops and edges within a component
+    join nothing; new nodes of self-loops alone get no row, as in component_labels. labels: a node once.
+    """
+    ends = added.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    # Read twice below, and to be joined with all labels once: both ends of an edge as rows of one table.
+    of = labels.select(F.col("node"), F.col("component"))
+    sides = ends.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("first")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("first")))).alias("e")).select("e.*")
+    placed, path = cut_lineage(sides.join(of, "node", "left").select("node", "other", "first", F.col("component").isNull().alias("new"), F.coalesce("component", "node").alias("at")), "contracted")
+    one = placed.where("first").select(F.col("node").alias("src"), F.col("other").alias("dst"), F.col("at").alias("a"))
+    two = placed.where("not first").select(F.col("other").alias("src"), F.col("node").alias("dst"), F.col("at").alias("b"))
+    renamed = component_labels(one.join(two, ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst")), max_steps).toDF("old", "now")
+    fresh = placed.where("new").select("node", F.col("at").alias("component")).distinct()
+    out = of.union(fresh).join(renamed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    out, _ = cut_lineage(out, "merged")
+    drop_table(added.sparkSession, path)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dedupe import first_by
 from tessera.functions.schemas import ORDINAL
-from tessera.operators.components import component_labels, cut_lineage, drop_table
+from tessera.operators.components import component_labels, cut_lineage, drop_table, merged_labels
 
 
 def edges_of(relationships: DataFrame) -> DataFrame:
@@ -35,7 +35,18 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """lei, component (its least lei), weakly_connected_component_size."""
-    labels = component_labels(edges)
+    return _sized(vertices, component_labels(edges))
+
+
+def components_after(vertices: DataFrame, before: DataFrame, added: DataFrame) -> DataFrame:
+    """What components gives for all edges, from its result before and the added edges: later phases add inferred links without a fresh start.
+
+    vertices: all lei of the enriched graph, each once; before: lei, component of the graph without the added edges.
+    """
+    return _sized(vertices, merged_labels(before.select(F.col("lei").alias("node"), "component"), added))
+
+
+def _sized(vertices: DataFrame, labels: DataFrame) -> DataFrame:
     of = vertices.select("lei").join(labels, F.col("lei") == F.col("node"), "left").select("lei", F.coalesce("component", "lei").alias("component"))
     sizes = of.groupBy("component").agg(F.count("*").alias("weakly_connected_component_size"))
     return of.join(sizes, "component").select("lei", "component", "weakly_connected_component_size")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules, schemas, text
 from tessera.operators import clusters, graph, jurisdiction, ladder, links, macro, names, profile, scoring
-from tessera.operators.components import WRITTEN, shared_dir
+from tessera.operators.components import WRITTEN, cut_lineage, shared_dir
 from tessera.plans import pipelines
 from tessera.plans.catalog import LABELS as OWN_LABELS
 from tessera.plans.catalog import BRANDS, CLUSTERS, COUNTS, DEGREES, EDGES, INFERRED, INWARD, LADDER, LADDER_TABLES, MATCHED, QUEUE_COLUMNS, REACH, REVIEW, REVIEW_TABLES, SCORED, WALK, At, Shared, _assignments, _matches, _positions, _queue, _wide, query, r6
@@ -362,6 +362,19 @@ def enriched_edges(spark, sf):
     return pipelines.enriched_relationships(pipelines.Inputs(a.domestic, a.parents, a.relationships), _matches(a), found).select("source_lei", "target_lei", origin.alias("origin"))
 
 
+@query(f"""{BRANDS}, {MATCHED}, {CLUSTERS}, {INFERRED}, links_ AS (SELECT source_lei, target_lei FROM relationships UNION ALL SELECT lei, matched_parent_lei FROM matched UNION ALL SELECT lei, inferred_parent_lei FROM inferred),
+{EDGES.replace('FROM relationships', 'FROM links_')}, {REACH} SELECT lei, component, weakly_connected_component_size FROM comps""", "domestic", "entities", "parents", "relationships", "addresses")
+def enriched_components(spark, sf):
+    """Components once name and address links are in, from those of the known links and the added links alone."""
+    a = Shared(spark, sf)
+    known = graph.edges_of(a.relationships)
+    before, _ = cut_lineage(graph.components(graph.vertices_of(a.entities, known), known).select("lei", "component"), "known-components")
+    found = clusters.infer_cluster_parents(clusters.cluster_by_address(a.addresses), a.relationships)
+    named = names.inferred_edges(_matches(a)).select("source_lei", "target_lei")
+    added, _ = cut_lineage(graph.edges_of(named.union(found.select("lei", "inferred_parent_lei"))), "added-edges")
+    return graph.components_after(graph.vertices_of(a.entities, known.union(added)), before, added)
+
+
 # ---- Functions, rules and drivers. ----
 
 

@@ -3,8 +3,8 @@ import math
 import pytest
 from helpers import REL, by, frame
 
-from tessera.operators import graph
-from tessera.operators.components import component_labels
+from tessera.operators import components, graph
+from tessera.operators.components import component_labels, merged_labels
 from tessera.plans import pipelines
 
 
@@ -51,6 +51,43 @@ def test_components_against_union_find(spark):
     assert component_labels(net(spark, [])[1].where("src = 'none'")).count() == 0
 
 
+def test_added_edges_merge_labels_as_a_fresh_start_does(spark):
+    import random
+
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(80)] + [(f"c{i}", f"c{i + 1}") for i in range(30)]
+    # Links between components, into one component from many sides, within one, from new nodes, among new nodes; repeated, looped and null rows.
+    more = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(25)] + [("c30", f"n{i}") for i in range(0, 60, 7)] + [("c1", "c20"), ("a0", "c5"), ("z1", "z2"), ("z2", "a1"), ("z1", "z2"), ("s", "s"), (None, "c1"), ("c2", None)]
+    old, new = (frame(spark, "src:s dst:s", x).drop("_ord") for x in (links, more))
+    got = {r["node"]: r["component"] for r in merged_labels(component_labels(old), new).collect()}
+    assert got == {r["node"]: r["component"] for r in component_labels(old.union(new)).collect()}
+    none = new.where("false")
+    assert {r["node"]: r["component"] for r in merged_labels(component_labels(old), none).collect()} == {r["node"]: r["component"] for r in component_labels(old).collect()}
+    assert {r["node"]: r["component"] for r in merged_labels(component_labels(none), new).collect()} == {r["node"]: r["component"] for r in component_labels(new).collect()}
+
+
+def test_steps_of_a_merge_depend_on_the_addition_alone(spark, monkeypatch):
+    real, steps = components._star, []
+    monkeypatch.setattr(components, "_star", lambda edges, large: steps.append(edges.count()) or real(edges, large))
+    of = lambda n: spark.createDataFrame([(f"c{i:04}", f"c{i - i % n:04}") for i in range(400)], "node string, component string")
+    added = frame(spark, "src:s dst:s", [("c0001", "c0399"), ("c0002", "q")]).drop("_ord")
+    ran = []
+    for n in (20, 200):  # labels of paths of 20 and of 200 nodes
+        steps.clear()
+        merged = {r["node"]: r["component"] for r in merged_labels(of(n), added).collect()}
+        assert merged["q"] == merged["c0399"] == "c0000" and len(merged) == 401
+        ran.append(list(steps))
+    assert ran[0] == ran[1] and max(ran[0]) <= 2
+
+
+def test_components_of_an_enriched_graph(spark):
+    v, e = net(spark, [*F25, ("X", "Y")], ["D4"])
+    added = frame(spark, "src:s dst:s", [("D4", "P2"), ("X", "D1"), ("N", "Y")]).drop("_ord")
+    vertices = v.union(spark.createDataFrame([("N",)], "lei string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.components_after(vertices, graph.components(v, e), added)) == rows(graph.components(vertices, e.union(added)))
+
+
 def slow_pagerank(nodes, links, steps):
     out = {n: [b for a, b in links if a == n] for n in nodes}
     r = {n: 1 / len(nodes) for n in nodes}
