@@ -138,11 +138,11 @@ def foreign_parents(relationships: DataFrame, entities: DataFrame, country: str
     return rows.where(F.col("target_country") != country).select(F.col("source_lei").alias("lei")).distinct().withColumn("foreign_parent", F.lit(1))
 
 
-def readiness(entities: DataFrame, relationships: DataFrame, all_entities: DataFrame | None = None, min_edges: int = 50, min_labeled_ratio: float = 0.05, min_parents: int = 10) -> DataFrame:
-    """One row: whether the graph is dense enough for link prediction, and why."""
+def readiness(entities: DataFrame, relationships: DataFrame, all_entities: DataFrame | None = None, min_edges: int = 50, min_labeled_ratio: float = 0.05, min_parents: int = 10, parts: DataFrame | None = None) -> DataFrame:
+    """One row: whether the graph is dense enough for link prediction, and why. parts: the graph's components, where they are known."""
     edges = edges_of(relationships)
     nodes = vertices_of(entities if all_entities is None else all_entities, edges)
-    parts = components(nodes, edges)
+    parts = components(nodes, edges) if parts is None else parts
     own = entities.where("lei is not null").select("lei").distinct()
     labeled = relationships.where("source_lei is not null").select(F.col("source_lei").alias("lei")).distinct().join(own, "lei", "left_semi")
     parents = relationships.where("target_lei is not null").select(F.col("target_lei").alias("lei")).distinct().join(own, "lei", "left_anti")
@@ -197,12 +197,13 @@ def pair_stats(vertices: DataFrame, edges: DataFrame, **ranks) -> DataFrame:
     return degrees(vertices, edges).join(components(vertices, edges), "lei").join(pagerank(vertices, edges, **ranks), "lei")
 
 
-def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_hops: int | None = None) -> DataFrame:
+def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, max_hops: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """lei, propagated_country, confidence, hops of unlabeled nodes that a labeled one (lei, label) reaches.
 
     The nearest label wins, ties to the least label. Confidence is that label's share of the component's labels over 1 + hops. A search
     from all labels at once: a neighbour of a node at some distance is one nearer, as far, or one farther, so each step joins the last nodes
     found with the edges and compares with the last two steps' nodes alone. It ends where no node is left to reach, or after max_hops.
+    parts: the graph's components, where they are known.
     """
     spark = vertices.sparkSession
     around, around_path = cut_lineage(undirected(edges).where("u <> v"), "propagation-edges")
@@ -226,7 +227,7 @@ def propagate_labels(vertices: DataFrame, edges: DataFrame, labels: DataFrame, m
     seen, _ = cut_lineage(seen, "propagated")
     for gone in (*steps, around_path):
         drop_table(spark, gone)
-    parts = components(vertices, edges).select("lei", "component")
+    parts = (components(vertices, edges) if parts is None else parts).select("lei", "component")
     votes = known.groupBy("lei").agg(F.min("label").alias("label")).join(parts, "lei").groupBy("component", "label").agg(F.count("*").alias("n"))
     total = votes.withColumn("of", F.sum("n").over(W.partitionBy("component")))
     out = seen.where("hops > 0").join(parts, "lei").join(total, ["component", "label"])

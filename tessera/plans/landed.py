@@ -157,12 +157,23 @@ def landed_addresses(spark, sf):
 @query("SELECT source_lei, target_lei, relationship_type, relationship_status, 'IFRS' AS accounting_standard, CASE WHEN _ord % 2 = 0 THEN '2023-12-31' ELSE '2022-12-31' END AS period_end FROM relationships WHERE relationship_type = 'direct_parent'", "relationships")
 def landed_relationships(spark, sf):
     """Of several periods the last counts."""
+    return _endpoint(spark, sf, "direct_parent")
+
+
+def _endpoint(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Links of one endpoint, landed as its responses and read again."""
     period = lambda y: F.struct(F.lit("IFRS").alias("accountingStandard"), F.lit(y).alias("endDate"))
     periods = F.when(F.col("_ord") % 2 == 0, F.array(period("2022-12-31"), period("2023-12-31"))).otherwise(F.array(period("2022-12-31")))
     end = lambda c: F.struct(F.col(c).alias("id"))
     link = F.struct(end("source_lei").alias("startNode"), end("target_lei").alias("endNode"), F.col("relationship_status").alias("status"), periods.alias("periods"))
-    rows = At(spark, sf).relationships.where("relationship_type = 'direct_parent'").withColumn("r", F.struct(F.struct(link.alias("relationship")).alias("attributes")))
-    return files.relationship_records(_lines(rows, folder(spark, "links")), "direct_parent").select("source_lei", "target_lei", "relationship_type", "relationship_status", "accounting_standard", "period_end")
+    rows = At(spark, sf).relationships.where(F.col("relationship_type") == kind).withColumn("r", F.struct(F.struct(link.alias("relationship")).alias("attributes")))
+    return files.relationship_records(_lines(rows, folder(spark, "links")), kind).select("source_lei", "target_lei", "relationship_type", "relationship_status", "accounting_standard", "period_end")
+
+
+@query("SELECT source_lei, target_lei, relationship_type, relationship_status, 'IFRS' AS accounting_standard, CASE WHEN _ord % 2 = 0 THEN '2023-12-31' ELSE '2022-12-31' END AS period_end FROM relationships WHERE relationship_type IN ('direct_parent', 'ultimate_parent')", "relationships")
+def landed_parents(spark, sf):
+    """Both endpoints, each link under the kind of the endpoint that gave it."""
+    return _endpoint(spark, sf, "direct_parent").union(_endpoint(spark, sf, "ultimate_parent"))
 
 
 @query("SELECT lei, exception_reason FROM exceptions WHERE exception_reason <> 'NON_PUBLIC'", "exceptions")

@@ -82,8 +82,12 @@ def graph_prediction(x: Inputs, matches: DataFrame | None = None, neg_ratio: int
     entities, _ = cut_lineage(ladder.combine_entities(x.domestic, x.parents), "entities")
     edges, _ = cut_lineage(graph.edges_of(rels), "edges")
     nodes, _ = cut_lineage(graph.vertices_of(entities, edges), "nodes")
+    # Components of the known links, into which the inferred ones merge.
+    known, _ = cut_lineage(graph.edges_of(x.relationships), "known-edges")
+    before, _ = cut_lineage(graph.components(graph.vertices_of(entities, known), known).select("lei", "component"), "known-components")
+    parts, _ = cut_lineage(graph.components_after(nodes, before, edges.join(known, ["src", "dst"], "left_anti")), "components")
     labels = jurisdiction.training_labels(rels, x.parents).select("lei", F.col("parent_country").alias("label"))
-    out = {"readiness": graph.readiness(x.domestic, rels, entities), "propagated": graph.propagate_labels(nodes, edges, labels)}
+    out = {"readiness": graph.readiness(x.domestic, rels, entities, parts=parts), "propagated": graph.propagate_labels(nodes, edges, labels, parts=parts)}
     pairs, _ = cut_lineage(links.training_pairs(rels, x.domestic, x.parents, neg_ratio), "training-pairs")
     trained = links.train(nodes, edges, pairs, **train)
     out |= {"training_pairs": pairs, "model": trained}

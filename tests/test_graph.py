@@ -88,6 +88,23 @@ def test_components_of_an_enriched_graph(spark):
     assert rows(graph.components_after(vertices, graph.components(v, e), added)) == rows(graph.components(vertices, e.union(added)))
 
 
+def test_the_graph_phase_merges_inferred_links_into_known_components(spark, monkeypatch):
+    from tessera.operators import ladder, links
+
+    monkeypatch.setattr(links, "train", lambda *_, **__: type("Untrained", (), {"model": None}))
+    d = frame(spark, "lei:s legal_name:s country_legal:s", [(f"D{i}", "n", "MY") for i in range(1, 7)])
+    p = frame(spark, "lei:s legal_name:s country_legal:s", [("P1", "p", "US"), ("P2", "q", "SG"), ("P3", "r", "US")])
+    r = frame(spark, REL, [("D1", "P1", "direct_parent"), ("D2", "P2", "direct_parent"), ("D3", "P2", "ultimate_parent")])
+    m = frame(spark, "lei:s matched_parent_lei:s brand_token:s match_score:d match_field:s", [("D4", "P1", "b", 100.0, "legal_name"), ("D5", "P3", "b", 95.0, "legal_name")])
+    x = pipelines.Inputs(d, p, r)
+    got, rels, entities = pipelines.graph_prediction(x, m), pipelines.enriched_relationships(x, m), ladder.combine_entities(d, p)
+    edges = graph.edges_of(rels)
+    labels = spark.createDataFrame([("D1", "US"), ("D2", "SG"), ("D3", "SG"), ("D4", "US"), ("D5", "US")], "lei string, label string")
+    assert got["readiness"].first() == graph.readiness(d, rels, entities).first()
+    want = graph.propagate_labels(graph.vertices_of(entities, edges), edges, labels)
+    assert by(got["propagated"], "lei") == by(want, "lei") and {"P1", "P2", "P3"} <= set(by(want, "lei"))
+
+
 def slow_pagerank(nodes, links, steps):
     out = {n: [b for a, b in links if a == n] for n in nodes}
     r = {n: 1 / len(nodes) for n in nodes}
