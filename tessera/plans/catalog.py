@@ -127,10 +127,17 @@ def country_profiles(spark, sf):
 EDGES = "edges AS (SELECT DISTINCT source_lei AS src, target_lei AS dst FROM relationships WHERE source_lei IS NOT NULL AND target_lei IS NOT NULL), nodes AS (SELECT lei FROM entities UNION SELECT src FROM edges UNION SELECT dst FROM edges), und AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges)"
 DEGREES = "degrees AS (SELECT lei, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM nodes LEFT JOIN (SELECT dst AS lei, count(*) AS i FROM edges GROUP BY 1) USING (lei) LEFT JOIN (SELECT src AS lei, count(*) AS o FROM edges GROUP BY 1) USING (lei))"
 REACH = "reach AS (SELECT lei, lei AS other FROM nodes UNION SELECT reach.lei, und.v FROM reach JOIN und ON reach.other = und.u), comps AS (SELECT lei, min(other) AS component, count(*) AS weakly_connected_component_size FROM reach GROUP BY 1)"
-_steps = ["fan AS (SELECT src, count(*) AS fan FROM edges GROUP BY 1)", "pr0 AS MATERIALIZED (SELECT lei, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
-for _k in range(RANKS):
-    _steps.append(f"pr{_k + 1} AS MATERIALIZED (SELECT p.lei, 0.85 * (coalesce(g.given, 0) + (SELECT coalesce(sum(r), 0) FROM pr{_k} WHERE lei NOT IN (SELECT src FROM fan)) / (SELECT count(*) FROM nodes)) + 0.15 / (SELECT count(*) FROM nodes) AS r FROM pr{_k} p LEFT JOIN (SELECT dst AS lei, sum(r / fan) AS given FROM edges JOIN fan USING (src) JOIN pr{_k} q ON q.lei = edges.src GROUP BY 1) g USING (lei))")
-PAGERANK = ", ".join(_steps)
+
+
+def pagerank_sql(steps: int) -> str:
+    """pr0 to pr<steps>: the ranks after each step."""
+    out = ["fan AS (SELECT src, count(*) AS fan FROM edges GROUP BY 1)", "pr0 AS MATERIALIZED (SELECT lei, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
+    for k in range(steps):
+        out.append(f"pr{k + 1} AS MATERIALIZED (SELECT p.lei, 0.85 * (coalesce(g.given, 0) + (SELECT coalesce(sum(r), 0) FROM pr{k} WHERE lei NOT IN (SELECT src FROM fan)) / (SELECT count(*) FROM nodes)) + 0.15 / (SELECT count(*) FROM nodes) AS r FROM pr{k} p LEFT JOIN (SELECT dst AS lei, sum(r / fan) AS given FROM edges JOIN fan USING (src) JOIN pr{k} q ON q.lei = edges.src GROUP BY 1) g USING (lei))")
+    return ", ".join(out)
+
+
+PAGERANK = pagerank_sql(RANKS)
 CENTRALITY = "centrality AS (SELECT lei, coalesce(d, 0)::DOUBLE / ((SELECT count(*) FROM nodes) - 1) AS degree_centrality FROM nodes LEFT JOIN (SELECT u AS lei, sum(CASE WHEN u = v THEN 2 ELSE 1 END) AS d FROM und GROUP BY 1) USING (lei))"
 FLAGS = "flags AS (SELECT source_lei AS lei, CAST(max(CASE WHEN relationship_type = 'direct_parent' THEN 1 ELSE 0 END) AS INT) AS has_parent_link, CAST(max(CASE WHEN relationship_type = 'ultimate_parent' THEN 1 ELSE 0 END) AS INT) AS has_ultimate_link FROM relationships WHERE relationship_type IN ('direct_parent', 'ultimate_parent') GROUP BY 1)"
 FOREIGN = "foreign_flags AS (SELECT DISTINCT source_lei AS lei, 1 AS foreign_parent FROM relationships JOIN entities e ON e.lei = target_lei WHERE relationship_type IN ('direct_parent', 'ultimate_parent') AND country_legal <> 'MY')"
@@ -181,6 +188,17 @@ def pagerank(spark, sf):
     return r6(graph.pagerank(*_graph(Shared(spark, sf)), max_iter=RANKS, tol=0), "pagerank")
 
 
+STEPS, TOLERANCE = 100, 1e-6  # graph.pagerank's own limits
+MOVES = " UNION ALL ".join(f"SELECT {k} AS k, (SELECT sum(abs(a.r - b.r)) FROM pr{k} a JOIN pr{k - 1} b USING (lei)) AS moved" for k in range(1, STEPS + 1))
+EVERY = " UNION ALL ".join(f"SELECT {k} AS k, lei, r FROM pr{k}" for k in range(1, STEPS + 1))
+
+
+@query(f"{EDGES}, {pagerank_sql(STEPS)}, moves AS ({MOVES}), stop AS (SELECT coalesce(min(k) FILTER (moved < (SELECT count(*) FROM nodes) * {TOLERANCE}), {STEPS}) AS k FROM moves) SELECT lei, round(r, 6) AS pagerank FROM ({EVERY}) JOIN stop USING (k)", "entities", "relationships")
+def pagerank_settled(spark, sf):
+    """Ranks of the first step whose change is small enough, as the operator finds it."""
+    return r6(graph.pagerank(*_graph(Shared(spark, sf)), max_iter=STEPS, tol=TOLERANCE), "pagerank")
+
+
 @query(f"{EDGES}, {CENTRALITY} SELECT lei, round(degree_centrality, 6) AS degree_centrality FROM centrality", "entities", "relationships")
 def degree_centrality(spark, sf):
     return r6(graph.degree_centrality(*_graph(Shared(spark, sf))), "degree_centrality")
@@ -475,6 +493,12 @@ def domestic_scope(spark, sf):
     return ladder.domestic_scope(At(spark, sf).domestic, "SG").select("lei", "legal_name", "country_legal")
 
 
+@query("SELECT lei, legal_name, country_legal FROM domestic WHERE country_legal = 'ZZ' OR NOT EXISTS (SELECT 1 FROM domestic WHERE country_legal = 'ZZ')", "domestic")
+def domestic_scope_without_host(spark, sf):
+    """No entity of the host country: all of them are in scope."""
+    return ladder.domestic_scope(At(spark, sf).domestic, "ZZ").select("lei", "legal_name", "country_legal")
+
+
 @query(f"{LADDER} SELECT host_country, uie_country, count(lei) AS total_entities, CAST(sum(is_known_uie) AS BIGINT) AS known_uie_entities, CAST(sum(is_inferred_uie) AS BIGINT) AS inferred_uie_entities, round(avg(CAST(uie_confidence AS DECIMAL(18, 4))), 4) AS avg_confidence FROM uie WHERE uie_country IS NOT NULL GROUP BY 1, 2", *LADDER_TABLES)
 def investor_economy_summary(spark, sf):
     return ladder.investor_summary(_assignments(Shared(spark, sf)))
