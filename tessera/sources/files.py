@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import html
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,19 +183,58 @@ def flatten_objects(lines: DataFrame, column: str = "value", depth: int = 3) ->
 # ---- Registry pages. ----
 
 
+class _Page(HTMLParser):
+    """Text and links of a page. Attributes may come in any order and quoting; tags inside a link part its words; scripts and styles are no text."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.words: list[str] = []
+        self.links: list[tuple[str, list[str]]] = []
+        self._open = self._hidden = False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a":  # a link ends where the next begins
+            href = dict(reversed(attrs)).get("href")
+            self._open = href is not None
+            if self._open:
+                self.links.append((href.strip(), []))
+        self._hidden = tag in ("script", "style")
+
+    def handle_endtag(self, tag: str) -> None:
+        self._hidden = False
+        if tag == "a":
+            self._open = False
+
+    def handle_data(self, data: str) -> None:
+        if not self._hidden:
+            self.words += data.split()
+            if self._open:
+                self.links[-1][1].extend(data.split())
+
+
+@F.udtf(returnType="href string, words string")
+class page_links:
+    """href and text (white space as one space) of each link of a page that has both, in page order; a null page has none."""
+
+    def eval(self, page: str) -> Iterator[tuple[str, str]]:
+        for href, words in _Page(page or "").links:
+            if href and words:
+                yield href, " ".join(words)
+
+
 @F.pandas_udf(T.StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Character references decoded."""
-    return text.map(lambda x: None if x is None else html.unescape(x))
+def page_text(page: pd.Series) -> pd.Series:
+    """A page's text, white space as one space; null: empty."""
+    return page.map(lambda x: " ".join(_Page(x or "").words))
 
 
 def registry_listing(pages: DataFrame, base: str = "", column: str = "html") -> DataFrame:
     """ctos_name, ctos_url of the company links of listing pages, each pair once; relative links get the base."""
-    tag = F.lit(r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*" + rules.REGISTRY_LINK + r"[^\"']*)[\"'][^>]*>(.*?)</a\s*>")
-    found = pages.select(F.explode(F.arrays_zip(F.regexp_extract_all(column, tag, F.lit(1)).alias("u"), F.regexp_extract_all(column, tag, F.lit(2)).alias("t"))).alias("x"))
-    name = F.trim(unescape(F.regexp_replace("x.t", "<[^>]*>", " ")))
-    url = F.when(F.col("x.u").startswith("/"), F.concat(F.lit(base), F.col("x.u"))).otherwise(F.col("x.u"))
-    return found.select(F.trim(F.regexp_replace(name, r"\s+", " ")).alias("ctos_name"), url.alias("ctos_url")).where("ctos_name <> ''").distinct()
+    found = pages.select(F.col(column).alias("_page")).lateralJoin(page_links(F.col("_page").outer())).where(F.col("href").contains(rules.REGISTRY_LINK))
+    url = F.when(F.col("href").startswith("/"), F.concat(F.lit(base), F.col("href"))).otherwise(F.col("href"))
+    return found.select(F.col("words").alias("ctos_name"), url.alias("ctos_url")).distinct()
 
 
 # Labels of a company page.
@@ -212,8 +252,7 @@ def _field(value: Column) -> Column:
 
 def registry_details(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with the four fields of a company page; null where a page has none."""
-    text = F.trim(F.regexp_replace(unescape(F.regexp_replace(column, "<[^>]+>", " ")), r"\s+", " "))
-    return pages.withColumn("_text", text).withColumns({n: _field(F.regexp_extract("_text", p, 1)) for n, p in DETAIL_FIELDS.items()}).drop("_text")
+    return pages.withColumn("_text", page_text(column)).withColumns({n: _field(F.regexp_extract("_text", p, 1)) for n, p in DETAIL_FIELDS.items()}).drop("_text")
 
 
 def enrich_directory(directory: DataFrame, details: DataFrame) -> DataFrame:

@@ -56,6 +56,26 @@ def test_registry_pages(spark):
     assert full["u"]["ctos_registration_no"] == "keep" and full["u"]["ctos_nature_of_business"] == "Trading" and full["w"]["ctos_state"] is None
 
 
+def test_links_and_text_in_any_spelling(spark):
+    import random
+
+    rng, pages, want = random.Random(3), [], []
+    for i in range(60):
+        url, name = f"{rules.REGISTRY_LINK}{i}", f"A{i} & <Co> B"
+        quote = rng.choice(["'", '"', ""])
+        attrs = [f"href={quote}{url}{quote}", "title='a > b'", 'data-x="</a>"', "download"]
+        rng.shuffle(attrs)
+        inner = rng.choice(["A{0} &amp; &lt;Co&gt; B", "<b>A{0}</b>\n &amp; <i class='</b>'>&lt;Co&gt;</i> B", "<span><span>A{0} &#38;</span> &#x3c;Co&gt;</span><br/>B", "<!-- <a href='/no'> -->A{0} &amp; &lt;Co> B"]).format(i)
+        end = rng.choice(["</a>", "</A >", "<a>other</a>", ""])
+        pages.append((f"<{rng.choice('aA')} {' '.join(attrs)}>{inner}{end}<script>'<a href=\"{url}/s\">s</a>'</script>",))
+        want.append((name, f"https://r{url}"))
+    got = files.registry_listing(spark.createDataFrame([*pages, (None,), ("",), ("<a href>x</a><a href='",)], "html string"), "https://r")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    odd = "<style>State no COMPANY DESCRIPTION</style><p title='State > x'>State<!-- <b> --> <b>Johor</b> COMPANY DESCRIPTION"
+    rows = by(files.registry_details(spark.createDataFrame([("u", odd), ("n", None)], "ctos_url string, html string")), "ctos_url")
+    assert rows["u"]["ctos_state"] == "Johor" and rows["n"]["ctos_state"] is None
+
+
 def test_csv_rules(spark, tmp_path):
     (tmp_path / "o.csv").write_text("﻿active,host_country,lei,uie_country,uie_confidence\n,my,L1,US,\nno,MY,L2,US,1\nTRUE,MY,L1,SG,0.5\nyes,SG,L3,US,1\ny,MY,L4,JP,abc\n", "utf-8")
     got = by(files.overrides(spark, str(tmp_path / "o.csv")), "lei")
