@@ -169,9 +169,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\n".join(run_scoring(spark, a.root, country)))
     else:
         x = inputs(spark, a.root, country)
+        fitted = {"trees": a.trees} | ({} if a.folds is None else {"folds": a.folds})
         run = {
             "profile": lambda: pipelines.entity_analysis(x), "compare": lambda: {"countries": pipelines.comparative_analysis(x)}, "exceptions": lambda: pipelines.reporting_exceptions(x), "names": lambda: pipelines.name_inference(x, a.threshold),
-            "addresses": lambda: pipelines.address_clustering(x, a.min_size), "model": lambda: pipelines.jurisdiction_prediction(x), "links": lambda: pipelines.graph_prediction(x),
+            "addresses": lambda: pipelines.address_clustering(x, a.min_size), "model": lambda: pipelines.jurisdiction_prediction(x, *pipelines.model_inputs(x, a.threshold), **fitted), "links": lambda: pipelines.graph_prediction(x, pipelines.name_inference(x, a.threshold)["matches"], **fitted),
         }[a.command]()
         print("\n".join(save(run, f"{a.root}/{a.command}/country={country.lower()}")))
     return 0

@@ -64,6 +64,12 @@ def jurisdiction_prediction(x: Inputs, matches: DataFrame | None = None, graph_t
     return {"labels": labels, "model": trained, "predictions": jurisdiction.predict(trained, rows.join(labels.select("lei"), "lei", "left_anti"))}
 
 
+def model_inputs(x: Inputs, threshold: int = 90) -> tuple[DataFrame, DataFrame]:
+    """What the phases before give the country model: name matches, and the graph's columns; written once each."""
+    matches, _ = cut_lineage(name_inference(x, threshold)["matches"], "name-matches")
+    return matches, cut_lineage(graph.graph_summary(ladder.combine_entities(x.domestic, x.parents), x.relationships), "graph-columns")[0]
+
+
 def enriched_relationships(x: Inputs, matches: DataFrame | None = None, addresses: DataFrame | None = None) -> DataFrame:
     """Relationships, then inferred links, each (source, target) once. Address links take part only where they are passed."""
     out = conform(x.relationships, RELATIONSHIP).withColumn("_from", F.lit(0)).drop("_ord")

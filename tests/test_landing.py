@@ -107,6 +107,27 @@ def test_batch_runs_all_phases_of_each_country_once(spark, tmp_path, capsys):
     assert cli.main(["profile", "--root", root], spark) == 0 and "profile/country=my" in capsys.readouterr().out
 
 
+def test_model_and_links_get_what_the_phases_before_found(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path), {}
+    country_tables(spark, root, "MY", "A")
+
+    def model(x, matches=None, graph_table=None, **train):
+        seen["model"] = ({r["lei"] for r in matches.collect()}, {r["lei"]: r["in_degree"] for r in graph_table.collect()}, train)
+        return {"labels": matches}
+
+    def graph_phase(x, matches=None, **train):
+        seen["links"] = ({r["lei"] for r in matches.collect()}, train)
+        return {"readiness": matches}
+
+    monkeypatch.setattr(cli.pipelines, "jurisdiction_prediction", model)
+    monkeypatch.setattr(cli.pipelines, "graph_prediction", graph_phase)
+    for command in ("model", "links"):
+        assert cli.main([command, "--root", root, "--trees", "7", "--folds", "2"], spark) == 0
+    named, ranks, train = seen["model"]
+    assert named == {"A20", "A21", "A22", "A23"} and (ranks["P1"], ranks["P2"], ranks["A90"]) == (10, 10, 0)
+    assert train == {"trees": 7, "folds": 2} and seen["links"] == (named, train)
+
+
 def test_pull_registry_tickers_and_benchmark_from_landed_files(spark, tmp_path):
     root = str(tmp_path)
 
