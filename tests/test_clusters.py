@@ -56,3 +56,8 @@ def test_summary(spark):
     assert (s["total_clustered_entities"], s["num_clusters"], s["largest_cluster"], s["office_hotel_entities"], s["avg_cluster_size"]) == (6, 2, 3, 3, 3.0)
     none = clusters.cluster_summary(frame(spark, CL, [])).first()
     assert none["total_clustered_entities"] == 0 and none["avg_cluster_size"] == 0
+
+
+def test_keys_are_made_once_an_address_and_not_by_the_scan_of_rows(spark):
+    plan = clusters.cluster_by_address(rows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
