@@ -1,5 +1,5 @@
 import pytest
-from helpers import frame
+from helpers import ENT, frame
 
 from tessera.functions import text
 from tessera.operators import names
@@ -163,3 +163,19 @@ def test_numbered_is_a_global_order(spark):
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[0], r[1]))
     assert sorted(r["rank"] for r in got) == list(range(1, 501))
     assert numbered(spark.createDataFrame([], "a long"), "a").count() == 0
+
+
+def test_registry_names_are_made_once_and_not_by_the_scan_of_rows(spark):
+    e = frame(spark, ENT, [("A", "Palm Oil Berhad", "MY"), ("B", "Palm Oil Berhad", "MY"), ("C", "Palm Oils Berhad", "MY"), ("D", None, "MY")])
+    d = frame(spark, "ctos_name:s ctos_url:s ctos_registration_no:s", [("PALM OIL BHD", "u", "1")])
+    got = names.match_registry(e, d, 85)
+    assert sorted((r["lei"], r["ctos_match_method"]) for r in got.collect()) == [("A", "exact"), ("B", "exact"), ("C", "fuzzy")]
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_names_are_cleaned_once(spark):
+    e = frame(spark, ENT, [("A", "Alphatron Sdn Bhd", "MY"), ("B", "Alphatron Sdn Bhd", "MY"), ("C", "ALPHATRON, SDN BHD", "MY"), ("D", None, "MY")])
+    brands = spark.createDataFrame([("ALPHATRON", "P")], "brand_token string, parent_lei string")
+    got = names.match_names(e, brands)
+    assert sorted((r["lei"], r["matched_parent_lei"], r["match_score"]) for r in got.collect()) == [(x, "P", 100.0) for x in "ABC"]
+    assert "coalesce(legal_name" not in got._jdf.queryExecution().optimizedPlan().toString()
