@@ -97,3 +97,24 @@ def test_first_rows_win(spark):
     assert ladder.first_relationships(rels, "direct_parent").collect()[0]["direct_parent_lei"] == "P2"
     both = ladder.combine_entities(entities(spark, [("X", "first", "MY")]), entities(spark, [("X", "second", "US"), (None, "no id", "US")]))
     assert [r["legal_name"] for r in both.collect()] == ["first"]
+
+
+def test_the_wide_table_stays_dealt_by_lei(spark):
+    """Parents' names join the evidence, not the entities: no join of the entities' own rows is by another key."""
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        d, p = entities(spark, MY), entities(spark, [("P1", "p", "SG")])
+        match = frame(spark, "lei:s matched_parent_lei:s brand_token:s match_score:d", [("A1", "P1", "X", 95.0)])
+        near = frame(spark, "lei:s inferred_parent_lei:s confidence:d", [("A1", "P1", 0.5)])
+        out = ladder.build_uie_assignments(d, frame(spark, REL, [("A1", "P1", "direct_parent")]), ladder.combine_entities(d, p), name_matches=match, address_inferred=near)
+        node, keys = out._jdf.queryExecution().sparkPlan(), []
+        while node.children().size():
+            if "Join" in node.nodeName():
+                keys.append(node.leftKeys().apply(0).name())
+            node = node.children().apply(0)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(keys) > 5 and set(keys) == {"lei"}
