@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -147,3 +148,20 @@ def test_conform_and_first_by(spark):
     assert schemas.conform(df, schemas.EXCEPTION).columns == [*schemas.EXCEPTION.names, "_ord"]
     assert sorted((r["lei"] or "", r["extra"]) for r in first_by(df, "lei").collect()) == [("", "z"), ("A", "x")]
     assert rules.country_rules("zz").code == "ZZ" and rules.supported_countries()[0] == "BN" and len(rules.COUNTRIES) == 11
+
+
+def test_tables_on_spark_have_the_rows_of_their_sql_and_join_fewer_orders(spark):
+    from tessera.sources import adapter
+
+    at = "/root/testdata/sf0.001"
+    reads = {t: spark.read.parquet(f"{at}/{t}.parquet") for t in adapter.BASE}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("domestic", "parents", "relationships"):
+        text = adapter.SQL[name]
+        for t in adapter.BASE:
+            text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
+        df = adapter.canonical(spark, at, name)
+        assert sorted(map(str, df.collect())) == sorted(map(str, spark.sql(text, **{t: reads[t] for t in adapter.BASE if f"{{{t}}}" in text}).collect()))
+    # Orders of other customers go before lines are joined.
+    rows = [x for x in plan(adapter.canonical(spark, at, "relationships")).splitlines() if "Filter" in x]
+    assert any("o_orderkey" in x and "% 3" in x for x in rows)
