@@ -153,3 +153,16 @@ def test_what_is_not_reached_is_not_touched(spark):
     assert got == {"a7-1": pytest.approx(-0.85), "a7-2": pytest.approx(-0.85**2)}
     parts = graph.components(nodes, edges)
     assert holdout.split_components(parts, edges, gone).count() == 3
+
+
+def test_candidates_are_formed_by_all_tasks_in_groups_of_a_target(spark):
+    own = spark.range(600).selectExpr("concat('C', id) AS lei")
+    up = spark.range(7).selectExpr("concat('S', id) AS lei")
+    linked = spark.range(0, 600, 3).selectExpr("concat('C', id) AS source_lei", "'S1' AS target_lei")
+    got = links.candidates(own, linked, up)
+    assert {tuple(r) for r in got.collect()} == {(f"C{i}", f"S{j}") for i in range(600) if i % 3 for j in range(7)} and got.count() == 400 * 7
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    parts: dict[int, list[str]] = {}
+    for r in got.select(F.spark_partition_id().alias("p"), "target_lei").collect():
+        parts.setdefault(r["p"], []).append(r["target_lei"])
+    assert all(sum(a != b for a, b in zip(t, t[1:])) < len(t) / 10 for t in parts.values())
